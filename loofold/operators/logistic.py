@@ -123,39 +123,22 @@ def narrow_sums(rows: DataFrame, w: np.ndarray) -> Sums:
     )
 
 
-def fold_sums(rows: DataFrame, weights: np.ndarray, fold: str | None = None) -> Sums:
-    """K weight vectors in one pass; with ``fold``, vector k skips the rows of fold k.
+def summed_blocks(rows: DataFrame, add_chunk, k: int, width: int, cost: int) -> np.ndarray:
+    """A k x width table of sums over all rows.
 
-    Each task turns its Arrow batches into matrices and adds up one block per weight
-    vector. The cells of the blocks are then combined by a grouped sum, so no task and
-    no group holds more than its share. The caller bounds K (see ``block_size``).
+    ``add_chunk(totals, columns)`` adds some rows, given as one array per column, to a
+    task's own table; ``cost`` is how many doubles it needs per row. The cells of the
+    task tables are combined by a grouped sum, so no task and no group holds more than
+    its share. The caller bounds k (see ``block_size``).
     """
-    k, d1 = weights.shape
-    d = d1 - 1
-    upper = np.triu_indices(d1)
-    width = 3 + d1 + len(upper[0])
-    columns = [f"x{i}" for i in range(d)] + ["y"] + ([fold] if fold else [])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((k, width))
-        chunk = max(1, CHUNK_CELLS // (k + width))
+        chunk = max(1, CHUNK_CELLS // cost)
         for batch in batches:
-            whole = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             for at in range(0, batch.num_rows, chunk):
-                data = [c[at : at + chunk] for c in whole]
-                y = data[d]
-                a = np.column_stack([*data[:d], np.ones(len(y))])
-                eta = a @ weights.T
-                p = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
-                used = np.ones_like(eta)
-                if fold:
-                    used = (data[d + 1][:, None] != np.arange(k)[None, :]).astype(float)
-                loss = np.logaddexp(0.0, eta) - y[:, None] * eta
-                totals[:, 0] += used.sum(axis=0)
-                totals[:, 1] += y @ used
-                totals[:, 2] += (loss * used).sum(axis=0)
-                totals[:, 3 : 3 + d1] += ((p - y[:, None]) * used).T @ a
-                totals[:, 3 + d1 :] += (p * (1.0 - p) * used).T @ (a[:, upper[0]] * a[:, upper[1]])
+                add_chunk(totals, [c[at : at + chunk] for c in columns])
         cells = np.arange(width)
         for i in range(k):
             yield pa.RecordBatch.from_arrays(
@@ -164,33 +147,62 @@ def fold_sums(rows: DataFrame, weights: np.ndarray, fold: str | None = None) ->
             )
 
     sums = (
-        rows.select(*columns)
-        .mapInArrow(partial, "k int, cell int, value double")
+        rows.mapInArrow(partial, "k int, cell int, value double")
         .groupBy("k", "cell")
         .agg(F.sum("value").alias("value"))
         .toArrow()
     )
     table = np.zeros((k, width))
     table[sums["k"].to_numpy(), sums["cell"].to_numpy()] = sums["value"].to_numpy()
+    return table
+
+
+def fold_sums(rows: DataFrame, weights: np.ndarray, fold: str | None = None) -> Sums:
+    """K weight vectors in one pass; with ``fold``, vector k skips the rows of fold k."""
+    k, d1 = weights.shape
+    d = d1 - 1
+    upper = np.triu_indices(d1)
+    width = 3 + d1 + len(upper[0])
+
+    def add_chunk(totals: np.ndarray, data: list[np.ndarray]) -> None:
+        y = data[d]
+        a = np.column_stack([*data[:d], np.ones(len(y))])
+        eta = a @ weights.T
+        p = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
+        used = (data[d + 1][:, None] != np.arange(k)).astype(float) if fold else np.ones_like(eta)
+        loss = np.logaddexp(0.0, eta) - y[:, None] * eta
+        totals[:, 0] += used.sum(axis=0)
+        totals[:, 1] += y @ used
+        totals[:, 2] += (loss * used).sum(axis=0)
+        totals[:, 3 : 3 + d1] += ((p - y[:, None]) * used).T @ a
+        totals[:, 3 + d1 :] += (p * (1.0 - p) * used).T @ (a[:, upper[0]] * a[:, upper[1]])
+
+    columns = [f"x{i}" for i in range(d)] + ["y"] + ([fold] if fold else [])
+    table = summed_blocks(rows.select(*columns), add_chunk, k, width, k + width)
     hessian = np.zeros((k, d1, d1))
     hessian[:, upper[0], upper[1]] = table[:, 3 + d1 :]
     hessian[:, upper[1], upper[0]] = table[:, 3 + d1 :]
     return Sums(table[:, 0], table[:, 1], table[:, 2], table[:, 3 : 3 + d1], hessian)
 
 
-def block_size(d1: int, budget: int = 2_000_000) -> int:
+def block_size(width: int, budget: int = 2_000_000) -> int:
     """How many weight vectors share a pass: their sums stay within ``budget`` doubles."""
-    return max(1, min(4096, budget // (3 + d1 + d1 * (d1 + 1) // 2)))
+    return max(1, min(4096, budget // width))
+
+
+def sums_width(d: int) -> int:
+    return 3 + (d + 1) + (d + 1) * (d + 2) // 2
 
 
-def newton(sums_at, weights: np.ndarray, c: float, max_passes: int = MAX_PASSES):
+def newton(sums_at, weights: np.ndarray, ridge: np.ndarray, anchor: np.ndarray | float = 0.0):
     """Drive K fits to their optimum; ``sums_at(weights, index)`` is one pass.
 
-    A step that raises the objective is halved. Returns the weights, the Hessians of the
-    last pass (penalty included), the losses and the number of passes.
+    ``ridge`` holds the penalty of each weight. ``anchor`` is added to every Hessian, to
+    fix a direction the objective does not depend on. A step that raises the objective is
+    halved. Returns the weights, the Hessians of the last pass (penalty and anchor
+    included), the losses and the number of passes.
     """
     k, d1 = weights.shape
-    ridge = penalty(d1 - 1, c)
     best = weights.copy()
     best_value = np.full(k, np.inf)
     step = np.zeros_like(weights)
@@ -198,7 +210,7 @@ def newton(sums_at, weights: np.ndarray, c: float, max_passes: int = MAX_PASSES)
     loss = np.zeros(k)
     active = np.arange(k)
     passes = 0
-    while len(active) and passes < max_passes:
+    while len(active) and passes < MAX_PASSES:
         trial = best[active] + step[active]
         s = sums_at(trial, active)
         passes += 1
@@ -212,7 +224,7 @@ def newton(sums_at, weights: np.ndarray, c: float, max_passes: int = MAX_PASSES)
                     still.append(f)
                 continue
             best[f], best_value[f], loss[f] = trial[i], value[i], s.loss[i]
-            hessian[f] = s.hessian[i] + np.diag(ridge)
+            hessian[f] = s.hessian[i] + np.diag(ridge) + anchor
             step[f] = -np.linalg.solve(hessian[f], s.gradient[i] + ridge * trial[i])
             if np.abs(step[f]).max() <= STEP_TOLERANCE:
                 best[f] = best[f] + step[f]
@@ -243,7 +255,7 @@ def fit_logistic(
         seen["n"], seen["positives"] = int(s.n[0]), int(s.positives[0])
         return s
 
-    best, hessian, loss, passes = newton(sums_at, weights, c)
+    best, hessian, loss, passes = newton(sums_at, weights, penalty(d, c))
     return LogisticFit(
         list(features), label, c, best[0], seen["n"], seen["positives"], hessian[0], float(loss[0]), passes
     )

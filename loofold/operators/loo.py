@@ -45,6 +45,8 @@ from loofold.operators.logistic import (
     mllib_start,
     model_rows,
     newton,
+    penalty,
+    sums_width,
 )
 from loofold.operators.split import fold_of
 from loofold.session import scratch_folder
@@ -148,7 +150,7 @@ def refit_folds(
         )
 
     start = np.repeat(fit.weights[None], len(labels), axis=0)
-    best, _, _, _ = newton(sums_at, start, fit.c)
+    best, _, _, _ = newton(sums_at, start, penalty(len(fit.features), fit.c))
     return np.einsum("ij,ij->i", a, best)
 
 
@@ -162,7 +164,7 @@ def _refit_in_batches(
     """
     spark = rows.sparkSession
     features = [f"x{i}" for i in range(len(fit.features))]
-    size = block_size(len(features) + 1)
+    size = block_size(sums_width(len(features)))
     schema = T.StructType([rows.schema[key], T.StructField("eta_exact", T.DoubleType())])
     todo = todo.select(quoted(key), "y", *features).orderBy(quoted(key))
     done, last, folder = 0, None, None
@@ -294,8 +296,8 @@ def kfold_logistic(
 ) -> KFoldResult:
     """Out-of-fold scores of k converged fits that share every pass."""
     d = len(features)
-    if k > block_size(d + 1):
-        raise ValueError(f"at most {block_size(d + 1)} folds for {d} features")
+    if k > block_size(sums_width(d)):
+        raise ValueError(f"at most {block_size(sums_width(d))} folds for {d} features")
     assigned = df.withColumn("__fold", fold if fold is not None else fold_of(F.col(quoted(key)), k))
     rows = model_rows(assigned, features, label, [key, "__fold"])
     with reused(rows):
@@ -318,7 +320,7 @@ def kfold_logistic(
                     full.n[pick], full.positives[pick], full.loss[pick], full.gradient[pick], full.hessian[pick]
                 )
 
-            weights[fits] = newton(sums_at, np.repeat(start[None], len(fits), axis=0), c)[0]
+            weights[fits] = newton(sums_at, np.repeat(start[None], len(fits), axis=0), penalty(d, c))[0]
     single = {int(f): int(train_s[f] > 0) for f in range(k) if f not in fits}
     eta = F.lit(None).cast("double")
     only = F.lit(None).cast("int")

@@ -1,50 +1,53 @@
-"""Evaluation of targets with three or more classes, by MLlib's multinomial model."""
+"""k-fold evaluation for any number of classes by one MLlib fit per fold."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loofold.functions.scalars import quoted
 from loofold.operators.logistic import mllib_model
 from loofold.operators.loo import reused
-from loofold.operators.prep import assemble, fit_prep
+from loofold.operators.prep import fit_prep
+from loofold.operators.softmax import class_counts, score_by_fold
 from loofold.operators.split import fold_of
+from loofold.session import written_table
 
+NEVER = -1e30
+"""Intercept of a class that the training rows do not show."""
 
-def _class_codes(df: DataFrame, label: str) -> list:
-    """Sorted classes; the model sees their positions."""
-    return [r[0] for r in df.select(quoted(label)).distinct().orderBy(quoted(label)).collect()]
 
+def class_code(label: str, classes: list) -> Column:
+    return (F.array_position(F.array(*[F.lit(v) for v in classes]), F.col(quoted(label))) - 1).cast("double")
 
-def _scored_fold(
-    train: DataFrame, test: DataFrame, features: Sequence[str], label: str, classes: list, c: float, keep: list[str]
-) -> DataFrame:
-    """Rows of ``test`` with the class and the largest probability of a fit on ``train``."""
-    position = F.array_position(F.array(*[F.lit(v) for v in classes]), F.col(quoted(label))) - 1
-    coded = train.withColumn("__y", position.cast("double"))
-    present = coded.agg(F.count(F.lit(1)).alias("n"), F.min("__y").alias("lo"), F.max("__y").alias("hi")).first()
-    kept = [F.col(quoted(k)) for k in keep]
-    names = F.array(*[F.lit(v) for v in classes])
-    if present["lo"] == present["hi"]:
-        only = F.lit(int(present["lo"] or 0))
-        return test.select(
-            *kept, F.col(quoted(label)).alias("label"), F.get(names, only).alias("prediction"),
-            F.lit(1.0).alias("p"), F.lit("single_class").alias("status"),
-        )
-    # Two classes share one weight vector; with more, every class has its own.
-    family = "binomial" if len(classes) == 2 else "multinomial"
-    model = mllib_model(coded, features, "__y", c, present["n"], family=family)
-    scored = model.transform(assemble(test, features, "__f"))
-    return scored.select(
-        *kept, F.col(quoted(label)).alias("label"),
-        F.get(names, F.col("prediction").cast("int")).alias("prediction"),
-        F.array_max(vector_to_array("probability")).alias("p"), F.lit("ok").alias("status"),
-    )
+
+def fold_weights(train: DataFrame, features: Sequence[str], n_classes: int, c: float) -> np.ndarray:
+    """Weights per class (n_classes x (d+1)) of an MLlib fit on rows with class codes ``y``.
+
+    Two classes share one weight vector, the difference of theirs; with more, every class
+    has its own.
+    """
+    weights = np.zeros((n_classes, len(features) + 1))
+    weights[:, -1] = NEVER
+    seen = train.agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi")).first()
+    if seen["n"] == 0:
+        raise ValueError("a fold has no training rows")
+    if seen["lo"] == seen["hi"]:
+        weights[int(seen["lo"]), -1] = 0.0
+        return weights
+    family = "binomial" if n_classes == 2 else "multinomial"
+    model = mllib_model(train, features, "y", c, seen["n"], family=family)
+    if n_classes == 2:
+        weights[0] = 0.0
+        weights[1] = np.append(model.coefficients.toArray(), model.intercept)
+    else:
+        found = np.column_stack([model.coefficientMatrix.toArray(), model.interceptVector.toArray()])
+        weights[: len(found)] = found
+    return weights
 
 
 def kfold_multinomial(
@@ -56,19 +59,22 @@ def kfold_multinomial(
     c: float = 1.0,
     fold: Column | None = None,
 ) -> DataFrame:
-    """Out-of-fold class of every row: key, fold, label, prediction, p, status. k fits."""
-    by = fold if fold is not None else fold_of(F.col(quoted(key)), k)
-    rows = df.select(quoted(key), by.alias("fold"), *map(quoted, features), quoted(label))
+    """Out-of-fold class of every row: key, fold, label, prediction, p.
+
+    k fits, then one scan that scores every row under the weights of its fold.
+    """
+    by = (fold if fold is not None else fold_of(F.col(quoted(key)), k)).alias("fold")
+    names = [f"x{i}" for i in range(len(features))]
+    classes, _ = class_counts(df, label)
+    rows = df.select(
+        quoted(key), by, class_code(label, classes).alias("y"),
+        *[F.col(quoted(f)).cast("double").alias(n) for f, n in zip(features, names, strict=True)],
+    )
     with reused(rows):
-        classes = _class_codes(rows, label)
-        parts = [
-            _scored_fold(
-                rows.where(F.col("fold") != f), rows.where(F.col("fold") == f),
-                features, label, classes, c, [key, "fold"],
-            )
-            for f in range(k)
-        ]
-    return reduce(DataFrame.unionByName, parts)
+        weights = np.array(
+            [fold_weights(rows.where(F.col("fold") != f), names, len(classes), c) for f in range(k)]
+        )
+    return score_by_fold(rows, key, weights, classes)
 
 
 def kfold_in_fold_prep(
@@ -84,24 +90,26 @@ def kfold_in_fold_prep(
     """Like ``kfold_multinomial`` for raw columns: fill values, scales and levels of each
     fold come from its training rows only. Levels unseen in training become zeros.
 
-    Rows without a target are left out of fitting and scoring.
+    The raw columns are written once by fold, so that reading a fold, or all but one,
+    touches just those files. Rows without a target are neither fitted nor scored.
     """
-    by = fold if fold is not None else fold_of(F.col(quoted(key)), k)
-    used = [*numeric, *categorical, target]
-    rows = df.where(F.col(quoted(target)).isNotNull()).select(quoted(key), by.alias("fold"), *map(quoted, used))
-    with reused(rows):
-        classes = _class_codes(rows, target)
-        parts = []
-        for f in range(k):
-            train = rows.where(F.col("fold") != f)
-            prep = fit_prep(train, numeric, categorical, target)
-            names = [f"x{i}" for i in range(len(prep.feature_names))]
-            keep = [key, "fold"]
-            parts.append(
-                _scored_fold(
-                    prep.transform(train, keep, names),
-                    prep.transform(rows.where(F.col("fold") == f), keep, names),
-                    names, target, classes, c, keep,
-                )
-            )
+    by = (fold if fold is not None else fold_of(F.col(quoted(key)), k)).alias("fold")
+    used = df.where(F.col(quoted(target)).isNotNull()).select(
+        quoted(key), by, *map(quoted, [*numeric, *categorical, target])
+    )
+    rows = written_table(used, "folds", ("fold",))
+    classes, _ = class_counts(rows, target)
+    parts = []
+    for f in range(k):
+        train = rows.where(F.col("fold") != f)
+        prep = fit_prep(train, numeric, categorical)
+        names = [f"x{i}" for i in range(len(prep.feature_names))]
+
+        def model_rows(part: DataFrame, prep=prep, names=names) -> DataFrame:
+            coded = part.withColumn("y", class_code(target, classes))
+            return prep.transform(coded, [key, "fold", "y"], names)
+
+        weights = np.zeros((k, len(classes), len(names) + 1))
+        weights[f] = fold_weights(model_rows(train), names, len(classes), c)
+        parts.append(score_by_fold(model_rows(rows.where(F.col("fold") == f)), key, weights, classes))
     return reduce(DataFrame.unionByName, parts)

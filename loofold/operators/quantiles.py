@@ -36,9 +36,10 @@ def middle_median(column: str) -> Column:
     return F.median(F.col(quoted(column)))
 
 
-def percentile_disc(expression: str, p: float) -> Column:
+def percentile_disc(expression: str, p: float | list[float]) -> Column:
     """The SQL aggregate; it has no counterpart in ``pyspark.sql.functions``."""
-    return F.expr(f"percentile_disc({p!r}D) WITHIN GROUP (ORDER BY {expression})")
+    shares = f"array({', '.join(f'{x!r}D' for x in p)})" if isinstance(p, list) else f"{p!r}D"
+    return F.expr(f"percentile_disc({shares}) WITHIN GROUP (ORDER BY {expression})")
 
 
 @dataclass
@@ -79,18 +80,23 @@ def order_statistics(
     while open_targets:
         small = [t for t in open_targets if t.inside <= exact_rows]
         large = [t for t in open_targets if t.inside > exact_rows]
+        # Targets with the same open range share one aggregate.
+        shared: dict[str, list[_Target]] = {}
+        for t in small:
+            shared.setdefault(t.values_inside(), []).append(t)
         bracket = []
-        for i, t in enumerate(small):
-            share = (t.rank - t.below - 0.5) / t.inside
-            bracket.append(percentile_disc(t.values_inside(), share).alias(f"s{i}"))
+        for i, (values, group) in enumerate(shared.items()):
+            shares = [(t.rank - t.below - 0.5) / t.inside for t in group]
+            bracket.append(percentile_disc(values, shares).alias(f"s{i}"))
         for i, t in enumerate(large):
             share = (t.rank - t.below - 0.5) / t.inside
             margin = 2.0 / accuracy
             ends = [max(share - margin, 0.0), min(share + margin, 1.0)]
             bracket.append(F.percentile_approx(F.expr(t.values_inside()), ends, accuracy).alias(f"l{i}"))
         first = df.agg(*bracket).first()
-        for i, t in enumerate(small):
-            t.value = float(first[f"s{i}"])
+        for i, group in enumerate(shared.values()):
+            for t, value in zip(group, first[f"s{i}"], strict=True):
+                t.value = float(value)
         if large:
             tally = []
             for i, t in enumerate(large):

@@ -15,6 +15,7 @@ from loofold.operators.loo import loo_logistic
 from loofold.operators.multiclass import kfold_multinomial
 from loofold.operators.prep import AllNull, PrepModel, TooManyLevels, fit_prep
 from loofold.operators.rows import normalise_types, numeric_features
+from loofold.operators.softmax import TooManyWeights, loo_softmax
 from loofold.plans.ledger import ledger_rows
 from loofold.sources.catalog import pair_status, path_of, roles_of
 from loofold.sources.tables import read_csv, with_row_id
@@ -45,7 +46,8 @@ def prepare(
 
 
 def evaluate(df: DataFrame, categorical: list[str], target: str, key: str, c: float = 1.0, folds: int = 10) -> Evaluation:
-    """Preparation on all rows, then leave-one-out for two classes, k-fold for more.
+    """Preparation on all rows, then leave-one-out. Only where classes times features are
+    too many for a dense Hessian are there ``folds`` folds instead.
 
     The clock covers the evaluation, not the preparation.
     """
@@ -58,7 +60,10 @@ def evaluate(df: DataFrame, categorical: list[str], target: str, key: str, c: fl
         row = mcc_binary(predictions).first()
         n = row["tp"] + row["tn"] + row["fp"] + row["fn"]
     else:
-        predictions = kfold_multinomial(model, key, names, target, folds, c)
+        try:
+            predictions = loo_softmax(model, key, names, target, c).predictions
+        except TooManyWeights:
+            predictions = kfold_multinomial(model, key, names, target, folds, c)
         row = mcc_multiclass(predictions).first()
         n = row["n"]
     return Evaluation(predictions, classes, row["mcc"], n, len(names), time.monotonic() - begun)

@@ -11,6 +11,7 @@ from loofold.operators.logistic import fit_logistic, score
 from loofold.operators.loo import kfold_logistic, loo_logistic
 from loofold.operators.multiclass import kfold_in_fold_prep, kfold_multinomial
 from loofold.operators.prep import fit_prep
+from loofold.operators.softmax import kfold_softmax, loo_softmax
 from loofold.operators.split import key_bucket
 from loofold.queries.newton_sql import MCC, SCORED, fold_bucket, newton_ctes
 from loofold.queries.registry import query, r6, table
@@ -133,9 +134,8 @@ def loo_wide(spark, folder):
 LETTERS = "eaisn"
 
 
-@query()
-def kfold_multinomial_lang(spark, folder):
-    """Out-of-fold language of every document from letter shares."""
+def letter_model(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
+    """doc_id, standardised letter shares, lang. The texts are read once."""
     text = F.lower("text")
     shares = {
         f"share_{c}": (F.length("text") - F.length(F.replace(text, F.lit(c), F.lit("")))) / F.length("text")
@@ -146,9 +146,32 @@ def kfold_multinomial_lang(spark, folder):
     measured = written_table(
         documents.select("doc_id", *[c.alias(n) for n, c in shares.items()], "lang"), "letter-shares"
     )
-    model = fit_prep(measured, list(shares), [], "lang").transform(measured, ["doc_id"])
+    return fit_prep(measured, list(shares), [], "lang").transform(measured, ["doc_id"]), list(shares)
+
+
+@query()
+def loo_many_classes(spark, folder):
+    """Left-out language of every document from letter shares."""
+    model, features = letter_model(spark, folder)
+    return loo_softmax(model, "doc_id", features, "lang").predictions.select("doc_id", "label", "prediction", "status")
+
+
+@query()
+def kfold_many_classes(spark, folder):
+    """Out-of-fold language of every document; the fits share their passes."""
+    model, features = letter_model(spark, folder)
+    folds = key_bucket(F.col("doc_id"), FOLDS)
+    return kfold_softmax(model, "doc_id", features, "lang", FOLDS, fold=folds).select(
+        "doc_id", "fold", "label", "prediction"
+    )
+
+
+@query()
+def kfold_multinomial_mllib(spark, folder):
+    """The same by one MLlib fit per fold, the way for very many classes or features."""
+    model, features = letter_model(spark, folder)
     folds = key_bucket(F.col("doc_id"), FOLDS)
-    return kfold_multinomial(model, "doc_id", list(shares), "lang", FOLDS, fold=folds).select(
+    return kfold_multinomial(model, "doc_id", features, "lang", FOLDS, fold=folds).select(
         "doc_id", "fold", "label", "prediction"
     )
 

@@ -111,7 +111,7 @@ def ordered_distinct(spark, folder):
 @query("""
 WITH w AS (SELECT doc_id, string_split(text, ' ') AS words, string_split(text, chr(10)) AS lines FROM documents)
 SELECT doc_id, CAST(len(list_distinct(words)) AS INTEGER) AS n_words,
-       CAST(len(list_filter(list_distinct(words), x -> NOT list_contains(lines, x))) AS INTEGER) AS n_other
+       CAST(len(list_distinct(words)) - len(list_intersect(list_distinct(words), list_distinct(lines))) AS INTEGER) AS n_other
 FROM w
 """)
 def name_difference(spark, folder):

@@ -42,12 +42,12 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
 
-def written_table(df: DataFrame, purpose: str) -> DataFrame:
+def written_table(df: DataFrame, purpose: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """The frame as a table in the shared folder.
 
     For narrow results of costly work, such as a few numbers per long text: every later
     pass, also after a lost executor, reads the numbers and not the text.
     """
     folder = scratch_folder(df.sparkSession, purpose)
-    df.write.parquet(folder)
+    df.write.partitionBy(*partition_by).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
