@@ -1,9 +1,10 @@
 """L2 logistic regression, converged, with the sums that leave-one-out needs.
 
 The objective is the sum of log-losses plus ||w||^2 / (2 C); the intercept carries no
-penalty. MLlib fits the model. One aggregate then yields loss, gradient and Hessian at
-its weights, which finishes the fit with a Newton step and is what evaluation builds on.
-The folds of a cross-validation share each such pass, so their number does not change
+penalty. One aggregate over the rows yields loss, gradient and Hessian, which is a Newton
+step and also what evaluation builds on; under ten such passes converge. With many
+features the Hessian is dear, and MLlib's fit, whose passes are cheaper but more, comes
+first. The folds of a cross-validation share each pass, so their number does not change
 the number of jobs.
 """
 
@@ -22,6 +23,8 @@ from loofold.operators.linear import NARROW
 from loofold.operators.prep import assemble
 
 MAX_FEATURES = 2_000
+WIDE = 128
+"""With more features than this MLlib fits first and Newton only finishes."""
 CHUNK_CELLS = 4_000_000
 """Doubles that a task's temporary matrices may hold."""
 STEP_TOLERANCE = 1e-6
@@ -239,20 +242,24 @@ def fit_logistic(
 ) -> LogisticFit:
     """Fit to full convergence. Cache ``df`` first if it is costly to recompute.
 
-    ``start`` replaces the MLlib fit with known weights, as for a repeated run.
+    ``start`` gives known weights to begin with, as for a repeated run.
     """
     d = len(features)
     if d > MAX_FEATURES:
         raise ValueError(f"{d} features: the Hessian is dense, the limit is {MAX_FEATURES}")
     rows = model_rows(df, features, label)
     if start is None:
-        start = mllib_start(df, features, label, c)
+        start = mllib_start(df, features, label, c) if d > WIDE else np.zeros(d + 1)
     weights = np.asarray(start, float)[None]
     seen: dict[str, float] = {}
 
     def sums_at(w: np.ndarray, _index: np.ndarray) -> Sums:
         s = narrow_sums(rows, w[0]) if d < NARROW else fold_sums(rows, w)
         seen["n"], seen["positives"] = int(s.n[0]), int(s.positives[0])
+        if seen["n"] == 0:
+            raise ValueError("no rows to fit")
+        if seen["positives"] in (0, seen["n"]):
+            raise SingleClass(int(seen["positives"] > 0))
         return s
 
     best, hessian, loss, passes = newton(sums_at, weights, penalty(d, c))
@@ -265,7 +272,7 @@ def mllib_model(df: DataFrame, features: Sequence[str], label: str, c: float, n:
     """MLlib's estimator under the same objective: its penalty multiplies the mean loss."""
     from pyspark.ml.classification import LogisticRegression
 
-    settings = {"maxIter": 50, "tol": 1e-10, **options}
+    settings = {"maxIter": 50, "tol": 1e-6, **options}
     estimator = LogisticRegression(
         featuresCol="__f", labelCol="__y", regParam=1.0 / (c * n), elasticNetParam=0.0,
         standardization=False, **settings,

@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 from loofold.functions.scalars import linear_predictor, quoted, sigmoid
 from loofold.operators.linear import NARROW, quadratic_form
 from loofold.operators.logistic import (
+    WIDE,
     LogisticFit,
     SingleClass,
     Sums,
@@ -149,7 +150,11 @@ def refit_folds(
             s.hessian - (p * (1 - p))[:, None, None] * out[:, :, None] * out[:, None, :],
         )
 
-    start = np.repeat(fit.weights[None], len(labels), axis=0)
+    # The first step from the full fit needs no pass: its sums are known.
+    p = 1.0 / (1.0 + np.exp(-(a @ fit.weights)))
+    v = p * (1.0 - p)
+    down = fit.hessian - v[:, None, None] * a[:, :, None] * a[:, None, :]
+    start = fit.weights + np.linalg.solve(down, ((p - labels)[:, None] * a)[:, :, None])[:, :, 0]
     best, _, _, _ = newton(sums_at, start, penalty(len(fit.features), fit.c))
     return np.einsum("ij,ij->i", a, best)
 
@@ -164,7 +169,7 @@ def _refit_in_batches(
     """
     spark = rows.sparkSession
     features = [f"x{i}" for i in range(len(fit.features))]
-    size = block_size(sums_width(len(features)))
+    size = block_size((len(features) + 1) ** 2)
     schema = T.StructType([rows.schema[key], T.StructField("eta_exact", T.DoubleType())])
     todo = todo.select(quoted(key), "y", *features).orderBy(quoted(key))
     done, last, folder = 0, None, None
@@ -309,7 +314,8 @@ def kfold_logistic(
         fits = np.flatnonzero((train_s > 0) & (train_s < train_n))
         weights = np.zeros((k, d + 1))
         if len(fits):
-            start = mllib_start(rows, [f"x{i}" for i in range(d)], "y", c)
+            names = [f"x{i}" for i in range(d)]
+            start = mllib_start(rows, names, "y", c) if d > WIDE else np.zeros(d + 1)
             # Folds that need no fit keep their place, so fold k still skips its own rows.
             def sums_at(w: np.ndarray, index: np.ndarray) -> Sums:
                 everyone = np.zeros((k, d + 1))

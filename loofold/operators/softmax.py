@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loofold.functions.scalars import quoted
-from loofold.operators.logistic import Sums, block_size, mllib_model, newton, summed_blocks
+from loofold.operators.logistic import WIDE, Sums, block_size, mllib_model, newton, summed_blocks
 from loofold.operators.loo import BROADCAST_ROWS, ROUND_OFF, reused
 from loofold.operators.split import fold_of
 from loofold.session import scratch_folder
@@ -126,13 +126,15 @@ def _model_rows(df: DataFrame, features: Sequence[str], label: str, classes: lis
 
 
 def fit_softmax(rows: DataFrame, d: int, classes: list, c: float, counts: np.ndarray) -> SoftmaxFit:
-    """Fit on model rows; MLlib first, then Newton to full convergence."""
+    """Fit on model rows to full convergence; with many weights MLlib goes first."""
     k = len(classes)
     names = [f"x{i}" for i in range(d)]
     n = int(counts.sum())
-    model = mllib_model(rows, names, "y", c, n, family="multinomial")
-    start = np.column_stack([model.coefficientMatrix.toArray(), model.interceptVector.toArray()])
-    start[:, -1] -= start[:, -1].mean()
+    start = np.zeros((k, d + 1))
+    if k * (d + 1) > WIDE:
+        model = mllib_model(rows, names, "y", c, n, family="multinomial")
+        start = np.column_stack([model.coefficientMatrix.toArray(), model.interceptVector.toArray()])
+        start[:, -1] -= start[:, -1].mean()
 
     def sums_at(w: np.ndarray, _index: np.ndarray) -> Sums:
         return softmax_sums(rows, w.reshape(1, k, d + 1))
@@ -381,7 +383,9 @@ def kfold_softmax(
             sizes[r["fold"], int(r["y"])] = r["n"]
         if (counts - sizes == 0).any():
             raise ValueError("a class lies within one fold, use kfold_multinomial")
-        start = fit_softmax(rows, d, classes, c, counts).weights.reshape(1, -1)
+        start = np.zeros((1, n_classes * (d + 1)))
+        if start.size > WIDE:
+            start = fit_softmax(rows, d, classes, c, counts).weights.reshape(1, -1)
 
         def sums_at(w: np.ndarray, index: np.ndarray) -> Sums:
             # All folds keep their place, so fold f skips its own rows.

@@ -24,6 +24,7 @@ def with_row_id(df: DataFrame, key: str = "row_id") -> DataFrame:
     back. Nothing depends on a scan being split the same way twice.
     """
     names = [f"c{i}" for i in range(len(df.columns))]
+    renamed = [F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)]
     staged = written_table(
         df.select(
             *[F.col(quoted(c)).alias(n) for n, c in zip(names, df.columns, strict=True)],
@@ -41,13 +42,15 @@ def with_row_id(df: DataFrame, key: str = "row_id") -> DataFrame:
     for r in sorted(pieces.collect()):
         offsets.append((r["__file"], r["__block"], r["__from"], offset))
         offset += r["n"]
+    if len(offsets) <= 1:
+        first = offsets[0][2] if offsets else 0
+        return staged.select((F.col("__at") - first).alias(key), *renamed)
     starts = df.sparkSession.createDataFrame(
         offsets, "__file string, __block bigint, __from bigint, __offset bigint"
     )
     numbered = staged.join(starts, ["__file", "__block"])
     return numbered.select(
-        (F.col("__offset") + F.col("__at") - F.col("__from")).alias(key),
-        *[F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)],
+        (F.col("__offset") + F.col("__at") - F.col("__from")).alias(key), *renamed
     )
 
 
