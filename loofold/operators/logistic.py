@@ -30,6 +30,7 @@ CHUNK_CELLS = 4_000_000
 STEP_TOLERANCE = 1e-6
 """A Newton step this small leaves an error of about its square, so it is the last one."""
 MAX_PASSES = 60
+MISSING = "missing values among features or labels; impute them first"
 
 
 @dataclass
@@ -107,6 +108,7 @@ def narrow_sums(rows: DataFrame, w: np.ndarray) -> Sums:
         .selectExpr("*", "p - y AS r", "p * (1D - p) AS v")
         .selectExpr(
             "count(1) AS n",
+            "count(y * eta) AS complete",
             "sum(y) AS positives",
             f"sum({loss}) AS loss",
             *[f"sum(r * {a[i]}) AS g{i}" for i in range(d + 1)],
@@ -114,6 +116,8 @@ def narrow_sums(rows: DataFrame, w: np.ndarray) -> Sums:
         )
         .first()
     )
+    if row["complete"] != row["n"]:
+        raise ValueError(MISSING)
     hessian = np.zeros((d + 1, d + 1))
     for i, j in cells:
         hessian[i, j] = hessian[j, i] = row[f"h{i}_{j}"] or 0.0
@@ -217,6 +221,8 @@ def newton(sums_at, weights: np.ndarray, ridge: np.ndarray, anchor: np.ndarray |
         trial = best[active] + step[active]
         s = sums_at(trial, active)
         passes += 1
+        if not np.isfinite(s.gradient).all():
+            raise ValueError(MISSING)
         value = s.loss + 0.5 * (trial * trial) @ ridge
         still = []
         for i, f in enumerate(active):

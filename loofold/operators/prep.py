@@ -8,17 +8,18 @@ shuffle, and the scan reads only the columns in use.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loofold.functions.scalars import fill_null, level_indicator, quoted, z_score
+from loofold.operators.profile import distinct_counts
 
 MAX_LEVELS = 2_000
+MAX_INDEXED = 1_000_000
 
 
 class TooManyLevels(ValueError):
@@ -213,10 +214,17 @@ def fit_prep(
 
 
 def sparse_one_hot(df: DataFrame, columns: Sequence[str], output: str = "onehot") -> DataFrame:
-    """All levels of wide columns as one sparse vector; unseen levels and nulls are zeros."""
+    """All levels of wide columns as one sparse vector; unseen levels and nulls are zeros.
+
+    The dictionary of levels is held in memory, so their number is counted first and
+    refused beyond ``MAX_INDEXED``.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 
+    n_levels = distinct_counts(df, columns).agg(F.sum("n_levels")).first()[0] or 0
+    if n_levels > MAX_INDEXED:
+        raise TooManyLevels(f"{n_levels} levels in {list(columns)}")
     index = [f"__i{i}" for i in range(len(columns))]
     codes = [f"__v{i}" for i in range(len(columns))]
     text = [f"__t{i}" for i in range(len(columns))]

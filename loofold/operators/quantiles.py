@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loofold.functions.scalars import quoted
 
-EXACT_ROWS = 1_000_000
+EXACT_ROWS = 100_000
 ACCURACY = 10_000
 
 
@@ -78,42 +78,41 @@ def order_statistics(
     targets = [_Target(c, k, inside=counts[c]) for c, k in dict.fromkeys(ranks)]
     open_targets = list(targets)
     while open_targets:
-        small = [t for t in open_targets if t.inside <= exact_rows]
-        large = [t for t in open_targets if t.inside > exact_rows]
         # Targets with the same open range share one aggregate.
-        shared: dict[str, list[_Target]] = {}
-        for t in small:
-            shared.setdefault(t.values_inside(), []).append(t)
+        ranges: dict[str, list[_Target]] = {}
+        for t in open_targets:
+            ranges.setdefault(t.values_inside(), []).append(t)
         bracket = []
-        for i, (values, group) in enumerate(shared.items()):
+        for i, (values, group) in enumerate(ranges.items()):
             shares = [(t.rank - t.below - 0.5) / t.inside for t in group]
-            bracket.append(percentile_disc(values, shares).alias(f"s{i}"))
-        for i, t in enumerate(large):
-            share = (t.rank - t.below - 0.5) / t.inside
-            margin = 2.0 / accuracy
-            ends = [max(share - margin, 0.0), min(share + margin, 1.0)]
-            bracket.append(F.percentile_approx(F.expr(t.values_inside()), ends, accuracy).alias(f"l{i}"))
+            if group[0].inside <= exact_rows:
+                bracket.append(percentile_disc(values, shares).alias(f"r{i}"))
+            else:
+                margin = 2.0 / accuracy
+                ends = [min(max(x + m, 0.0), 1.0) for x in shares for m in (-margin, margin)]
+                bracket.append(F.percentile_approx(F.expr(values), ends, accuracy).alias(f"r{i}"))
         first = df.agg(*bracket).first()
-        for i, group in enumerate(shared.values()):
-            for t, value in zip(group, first[f"s{i}"], strict=True):
-                t.value = float(value)
+        large: list[tuple[_Target, str, float, float]] = []
+        for i, (values, group) in enumerate(ranges.items()):
+            found = [float(v) for v in first[f"r{i}"]]
+            if group[0].inside <= exact_rows:
+                for t, value in zip(group, found, strict=True):
+                    t.value = value
+            else:
+                large += [(t, values, found[2 * j], found[2 * j + 1]) for j, t in enumerate(group)]
         if large:
+            pivots = list(dict.fromkeys((values, p) for _, values, lo, hi in large for p in (lo, hi)))
             tally = []
-            for i, t in enumerate(large):
-                lo, hi = (float(v) for v in first[f"l{i}"])
-                x = F.expr(t.values_inside())
-                for name, test in (
-                    ("a", x < F.lit(lo)),
-                    ("b", x <= F.lit(lo)),
-                    ("c", x < F.lit(hi)),
-                    ("d", x <= F.lit(hi)),
-                ):
-                    tally.append(F.count_if(test).alias(f"{name}{i}"))
+            for i, (values, p) in enumerate(pivots):
+                tally += [
+                    F.count_if(F.expr(values) < F.lit(p)).alias(f"lt{i}"),
+                    F.count_if(F.expr(values) <= F.lit(p)).alias(f"le{i}"),
+                ]
             second = df.agg(*tally).first()
-            for i, t in enumerate(large):
-                lo, hi = (float(v) for v in first[f"l{i}"])
-                _narrow(t, lo, hi, *(second[f"{name}{i}"] for name in "abcd"))
-        open_targets = [t for t in large if t.value is None]
+            counted = {pivot: (second[f"lt{i}"], second[f"le{i}"]) for i, pivot in enumerate(pivots)}
+            for t, values, lo, hi in large:
+                _narrow(t, lo, hi, *counted[values, lo], *counted[values, hi])
+        open_targets = [t for t, _, _, _ in large if t.value is None]
     return {(t.column, t.rank): t.value for t in targets}
 
 

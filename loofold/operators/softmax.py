@@ -240,8 +240,13 @@ def refit_classes(rows: DataFrame, x: np.ndarray, y: np.ndarray, fit: SoftmaxFit
         gradient = np.einsum("mk,mi->mki", p, out).reshape(m, k * d1)
         return Sums(s.n - 1, s.positives, s.loss - loss, s.gradient - gradient, s.hessian - block)
 
-    start = np.repeat(fit.weights.reshape(1, -1), len(y), axis=0)
-    best = newton(sums_at, start, _ridge(k, d1 - 1, fit.c), _anchor(k, d1 - 1))[0].reshape(-1, k, d1)
+    # The first step from the full fit needs no pass: its sums are known.
+    p = _probabilities(a @ fit.weights.T)
+    v = p[:, :, None] * (np.eye(k) - p[:, None, :])
+    down = fit.hessian - np.einsum("mkl,mi,mj->mkilj", v, a, a).reshape(len(y), k * d1, k * d1)
+    p[np.arange(len(y)), codes] -= 1.0
+    step = np.linalg.solve(down, np.einsum("mk,mi->mki", p, a).reshape(len(y), -1, 1))[:, :, 0]
+    best = newton(sums_at, fit.weights.reshape(1, -1) + step, _ridge(k, d1 - 1, fit.c), _anchor(k, d1 - 1))[0].reshape(-1, k, d1)
     p = _probabilities(np.einsum("mki,mi->mk", best, a))
     return p.argmax(axis=1), p.max(axis=1)
 
@@ -316,7 +321,7 @@ def _refits(rows: DataFrame, todo: DataFrame, key: str, fit: SoftmaxFit) -> tupl
     """Refits of the rows of ``todo``, a bounded batch at a time, in key order."""
     spark, schema = rows.sparkSession, _refit_schema(rows, key)
     k, d1 = fit.size
-    size = block_size(_width(k, d1 - 1))
+    size = block_size((k * d1) ** 2)
     todo = todo.orderBy(quoted(key))
     done, last, folder = 0, None, None
     while True:

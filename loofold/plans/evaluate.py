@@ -14,7 +14,7 @@ from loofold.functions.scalars import METHOD_NONE, quoted
 from loofold.operators.loo import loo_logistic
 from loofold.operators.multiclass import kfold_multinomial
 from loofold.operators.prep import AllNull, PrepModel, TooManyLevels, fit_prep
-from loofold.operators.rows import normalise_types, numeric_features
+from loofold.operators.rows import normalise_types, numeric_features, tail_rows
 from loofold.operators.softmax import TooManyWeights, loo_softmax
 from loofold.plans.ledger import ledger_rows
 from loofold.sources.catalog import pair_status, path_of, roles_of
@@ -69,6 +69,12 @@ def evaluate(df: DataFrame, categorical: list[str], target: str, key: str, c: fl
     return Evaluation(predictions, classes, row["mcc"], n, len(names), time.monotonic() - begun)
 
 
+def preview(catalog: DataFrame, dataset: str, n: int = 5) -> DataFrame:
+    """The last rows of a dataset, without any modelling."""
+    df = with_row_id(read_csv(catalog.sparkSession, path_of(catalog, dataset)), "row_id")
+    return tail_rows(df, "row_id", n).orderBy("row_id")
+
+
 def run_pairs(
     catalog: DataFrame, pairs: DataFrame, platform: str, c: float = 1.0, folds: int = 10
 ) -> DataFrame:

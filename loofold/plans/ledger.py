@@ -9,8 +9,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loofold.functions.scalars import fixed_decimals, run_stamp, seconds_to_ms
+from loofold.functions.scalars import fixed_decimals, method_label, run_stamp, seconds_to_ms
 from loofold.operators.sets import concatenate
+from loofold.plans.energy import attach_energy
 
 LEDGER_SCHEMA = (
     "dataset string, target string, run_ts timestamp, platform string, n_rows bigint, n_features int, "
@@ -34,6 +35,15 @@ def ledger_rows(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
     return spark.createDataFrame(list(rows), LEDGER_SCHEMA)
 
 
+def measured(
+    ledger: DataFrame, readings: DataFrame, by: Sequence[str], value: str, unit: str | None = None
+) -> DataFrame:
+    """Runs with the energy of their reading, and the method label that goes with it."""
+    joined = attach_energy(ledger, readings, by, value, unit)
+    has_reading = F.col("energy_kwh").isNotNull()
+    return joined.withColumn("method", method_label(F.col("platform"), has_reading)).select(*ledger.columns)
+
+
 def append_ledger(ledger: DataFrame, path: str) -> bool:
     """Appends a batch of runs under ``run_date=``; an empty batch writes nothing."""
     if ledger.isEmpty():

@@ -28,7 +28,7 @@ def text_model(spark: SparkSession, folder: str) -> DataFrame:
     labelled document.
     """
     words = F.split("text", " ")
-    odd = F.length(F.regexp_replace("text", "[A-Za-z ]", "")) / F.length("text")
+    odd = F.length(F.regexp_replace("text", "[A-Za-z ]+", "")) / F.length("text")
     labels = table(spark, folder, "labels").select("doc_id", "quality")
     measured = written_table(
         table(spark, folder, "documents").select("doc_id", "text").join(labels, "doc_id").select(
@@ -87,14 +87,14 @@ def log_loss(spark, folder):
 
 @query(BY_ROW + "SELECT doc_id, CAST(y AS INTEGER) AS label, CAST(eta >= 0 AS INTEGER) AS prediction FROM o")
 def loo_predictions(spark, folder):
-    result = loo_logistic(text_model(spark, folder), "doc_id", TEXT, "quality", persist=False)
+    result = loo_logistic(text_model(spark, folder), "doc_id", TEXT, "quality")
     return result.predictions.select("doc_id", "label", "prediction")
 
 
 @query(BY_ROW + MCC.format(labelled=LABELLED))
 def loo_mcc(spark, folder):
     """Flagship: Matthews correlation of leave-one-out predictions."""
-    result = loo_logistic(text_model(spark, folder), "doc_id", TEXT, "quality", persist=False)
+    result = loo_logistic(text_model(spark, folder), "doc_id", TEXT, "quality")
     return metrics.mcc_binary(result.predictions).withColumn("mcc", r6("mcc"))
 
 
@@ -131,18 +131,17 @@ def loo_wide(spark, folder):
     return metrics.mcc_binary(result.predictions).withColumn("mcc", r6("mcc"))
 
 
-LETTERS = "eaisn"
+LETTERS = "eai"
 
 
 def letter_model(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
     """doc_id, standardised letter shares, lang. The texts are read once."""
-    text = F.lower("text")
     shares = {
-        f"share_{c}": (F.length("text") - F.length(F.replace(text, F.lit(c), F.lit("")))) / F.length("text")
+        f"share_{c}": (F.length("low") - F.length(F.replace("low", F.lit(c), F.lit("")))) / F.length("low")
         for c in LETTERS
     }
-    shares["share_marked"] = 1 - F.length(F.regexp_replace("text", "[^\\x00-\\x7F]", "")) / F.length("text")
-    documents = table(spark, folder, "documents")
+    shares["share_marked"] = 1 - F.length(F.regexp_replace("low", "[^\\x00-\\x7F]+", "")) / F.length("low")
+    documents = table(spark, folder, "documents").select("doc_id", F.lower("text").alias("low"), "lang")
     measured = written_table(
         documents.select("doc_id", *[c.alias(n) for n, c in shares.items()], "lang"), "letter-shares"
     )

@@ -64,8 +64,9 @@ SHARES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 def exact_quantiles(spark, folder):
     lineitem = table(spark, folder, "lineitem")
     names = ["l_extendedprice", "l_quantity"]
-    lower = exact_percentiles(lineitem, names, SHARES, interpolate=False)
-    middle = exact_percentiles(lineitem, names, SHARES)
+    size = lineitem.agg(*[F.count(c).alias(c) for c in names]).first().asDict()
+    lower = exact_percentiles(lineitem, names, SHARES, interpolate=False, counts=size)
+    middle = exact_percentiles(lineitem, names, SHARES, counts=size)
     values = [(c, p, lower[c][i], middle[c][i]) for c in names for i, p in enumerate(SHARES)]
     found = spark.createDataFrame(values, "column string, share double, lower double, middle double")
     return found.withColumn("middle", r6("middle"))

@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 from loofold.functions.scalars import quoted
 from loofold.session import written_table
 
+BROADCAST_PIECES = 200_000
+"""Up to this many file pieces, some 20 MB, their offsets go to every executor."""
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """A CSV table with a header row. Give a schema for large files: inferring costs a pass."""
@@ -37,7 +40,7 @@ def with_row_id(df: DataFrame, key: str = "row_id") -> DataFrame:
     pieces = staged.groupBy("__file", "__block").agg(
         F.count(F.lit(1)).alias("n"), F.min("__at").alias("__from")
     )
-    # One row per piece of file, some thousand for a terabyte: the offsets add up on the driver.
+    # One row per piece of file, about 8,000 per terabyte: the offsets add up on the driver.
     offset, offsets = 0, []
     for r in sorted(pieces.collect()):
         offsets.append((r["__file"], r["__block"], r["__from"], offset))
@@ -48,6 +51,8 @@ def with_row_id(df: DataFrame, key: str = "row_id") -> DataFrame:
     starts = df.sparkSession.createDataFrame(
         offsets, "__file string, __block bigint, __from bigint, __offset bigint"
     )
+    if len(offsets) <= BROADCAST_PIECES:
+        starts = F.broadcast(starts)
     numbered = staged.join(starts, ["__file", "__block"])
     return numbered.select(
         (F.col("__offset") + F.col("__at") - F.col("__from")).alias(key), *renamed

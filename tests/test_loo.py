@@ -190,3 +190,11 @@ def test_plan_has_no_cartesian_product(spark):
     df, names, _, _ = binary_table(spark, 40, 2, 3)
     plan = plan_of(loo.loo_logistic(df, "key", names, "y").predictions)
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "MapInArrow" not in plan and "EvalPython" not in plan
+
+
+@pytest.mark.parametrize("d", [2, 18])
+def test_missing_values_are_refused(spark, d):
+    df, names, _, _ = binary_table(spark, 40, d, 3)
+    holed = df.withColumn(names[0], F.when(F.col("key") != "k0003", F.col(f"`{names[0]}`")))
+    with pytest.raises(ValueError, match="impute"):
+        loo.loo_logistic(holed, "key", names, "y")

@@ -57,9 +57,19 @@ def test_catalog_and_requests(spark, patients):
     ]
     assert out[0]["n_rows"] == 40 and out[0]["n_features"] == 5 and out[0]["mcc"] > 0.5
     assert out[6]["n_features"] == 4 and out[0]["time_ms"] == pytest.approx(out[0]["time_s"] * 1000)
+    last = evaluate.preview(listed, "patients", 2).collect()
+    assert [r["row_id"] for r in last] == [38, 39]
     assert out[3]["reason"] == "patients has no column nope"
 
 
+def test_measured_runs(spark):
+    rows = ledger_of(spark, 0.5)
+    reading = spark.createDataFrame([("d", "t", 7.2e9, "mJ")], "dataset string, target string, e double, unit string")
+    out = {r["dataset"]: r for r in ledger.measured(rows, reading, ["dataset", "target"], "e", "unit").collect()}
+    assert out["d"]["energy_kwh"] == 2.0 and out["d"]["method"] == "RAPL interface"
+    assert out["bad"]["energy_kwh"] is None and out["bad"]["method"] == "None"
+
+
 def ledger_of(spark, *mccs):
     return ledger.ledger_rows(
         spark,
