@@ -52,8 +52,10 @@ from loofold.operators.logistic import (
 from loofold.operators.split import fold_of
 from loofold.session import scratch_folder
 
-ROUND_OFF = 1e-5
-"""Scores this close to the threshold are refitted whatever the bound says."""
+ROUND_OFF = 1e-9
+"""Error that the converged weights leave in a score."""
+STEP_ERROR = 1e-4
+"""Relative error of the left-out step; the Hessian belongs to weights one tiny step back."""
 EXACT_WORK = 100_000_000
 """Row-fold pairs that exact leave-one-out of whole tables may cost."""
 BROADCAST_ROWS = 100_000
@@ -123,7 +125,8 @@ def is_certain(max_q: float) -> Column:
     s = f"(sqrt({max_q!r}D * q) * abs(t))"
     return F.expr(
         f"{s} <= 0.75D AND abs(eta_loo) > "
-        f"0.5D * sqrt(q / {max_q!r}D) * {s} * {s} * exp(2.24D * {s}) + {ROUND_OFF!r}D"
+        f"0.5D * sqrt(q / {max_q!r}D) * {s} * {s} * exp(2.24D * {s}) "
+        f"+ {STEP_ERROR!r}D * abs(q * t) + {ROUND_OFF!r}D"
     )
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from loofold.functions.scalars import quoted
 from loofold.operators.logistic import WIDE, Sums, block_size, mllib_model, newton, summed_blocks
-from loofold.operators.loo import BROADCAST_ROWS, ROUND_OFF, reused
+from loofold.operators.loo import BROADCAST_ROWS, ROUND_OFF, STEP_ERROR, reused
 from loofold.operators.split import fold_of
 from loofold.session import scratch_folder
 
@@ -204,7 +204,8 @@ def left_out_classes(rows: DataFrame, key: str, fit: SoftmaxFit, inverse: np.nda
             reach = np.exp(s) * (np.expm1(s) - s)
             step = -np.log1p(-np.minimum(reach, 0.99)) / width
             spread = np.sqrt(np.maximum(_differences(moved)[np.arange(m), pick], 0.0))
-            safe = lead > spread * step[:, None] * (1 + 1e-6) + ROUND_OFF
+            shift = np.abs(np.einsum("mkl,ml->mk", moved, g)).max(axis=1)
+            safe = lead > spread * step[:, None] + (STEP_ERROR * shift + ROUND_OFF)[:, None]
             safe[np.arange(m), pick] = True
             certain = safe.all(axis=1) & (reach < 0.99) & (free > 1e-6)
             p = _probabilities(eta)[np.arange(m), pick]
