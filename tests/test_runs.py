@@ -8,8 +8,6 @@ from loofold.plans import energy, evaluate, ledger
 from loofold.sources import catalog, tables
 from loofold.streaming import readings
 
-HEADER = "age,`score, points`,risk ,outcome"
-
 
 def write(path, text):
     path.write_text(text)
