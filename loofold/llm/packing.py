@@ -18,10 +18,8 @@ from pyspark.sql import functions as F
 from loofold.llm.words import coded, slices, spread, starts, texts_of
 
 #: Text taken at once in a task, and words whose ids a worker keeps. Both bound memory only.
-CHUNK_BYTES = 8 << 20
-KEPT_WORDS = 400_000
-
-_kept: dict[str, tuple[object, dict[bytes, np.ndarray]]] = {}
+CHUNK_BYTES = 4 << 20
+KEPT_WORDS = 600_000
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int, offset long"
 
@@ -33,44 +31,77 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def word_ids(tokenizer: str, words: list[bytes]) -> list[np.ndarray]:
-    """Ids of each word.
+class Vocabulary:
+    """Ids of words seen so far in this worker, word after word in one array.
 
     The tokenizer drops white space before it cuts, so a text's ids are those of its words.
     A comma or full stop after an ASCII letter is a token run of its own: such words are
     looked up without it, which makes most of them known already.
     """
-    if tokenizer not in _kept:
+
+    def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
-        place = tokenizer if tokenizer.startswith("/") else public_tokenizer(tokenizer)
-        _kept[tokenizer] = Tokenizer.from_file(place), {}
-    model, known = _kept[tokenizer]
-    bodies, tails = [], []
-    for w in words:
-        cut = len(w) > 1 and w[-1] in b".," and w[-2:-1].isalpha()
-        bodies.append((w[:-1] if cut else w).lower())
-        tails.append(w[-1:] if cut else b"")
-    if len(known) > KEPT_WORDS:
-        known.clear()
-    new = list({w for w in (*bodies, b".", b",") if w not in known})
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        found = model.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-        known.update((w, np.array(e.ids, np.uint32)) for w, e in zip(part, found, strict=True))
-    ends = {b"": None, b".": known[b"."], b",": known[b","]}
-    return [known[w] if not t else np.concatenate((known[w], ends[t])) for w, t in zip(bodies, tails, strict=True)]
+        self.model = Tokenizer.from_file(tokenizer if tokenizer.startswith("/") else public_tokenizer(tokenizer))
+        names = self.model.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.code: dict[bytes, int] = {b"": 0}
+        self.sizes, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words. Words of letters alone go in one call and are told apart by word ends."""
+        text = [w.decode("utf-8", "replace") for w in words]
+        if all(map(str.isalpha, text)):
+            ids = np.array(self.model.encode(" ".join(text), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(text):
+                return np.diff(ends, prepend=0), ids
+        found = [e.ids for e in self.model.encode_batch(text, add_special_tokens=False)]
+        return np.array(list(map(len, found)), np.int64), np.array([i for ids in found for i in ids], np.uint32)
+
+    def learn(self, words: list[bytes]) -> None:
+        new = [w for w in dict.fromkeys(words) if w not in self.code]
+        plain = [w for w in new if w.decode("utf-8", "replace").isalpha()]
+        other = [w for w in new if not w.decode("utf-8", "replace").isalpha()]
+        sizes, flat = [self.sizes], [self.flat]
+        for part in (k[i : i + 4000] for k in (plain, other) for i in range(0, len(k), 4000)):
+            self.code.update(zip(part, range(len(self.code), len(self.code) + len(part)), strict=True))
+            for all_of, here in zip((sizes, flat), self.encoded(part), strict=True):
+                all_of.append(here)
+        self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words, one after another."""
+        cut = [len(w) > 1 and w[-1] in b".," and w[-2:-1].isalpha() for w in words]
+        bodies = [(w[:-1] if c else w).lower() for w, c in zip(words, cut, strict=True)]
+        if len(self.code) > KEPT_WORDS:
+            self.clear()
+        self.learn([*bodies, b".", b","])
+        get = self.code.__getitem__
+        slots = np.zeros(2 * len(words), np.int64)
+        slots[::2] = np.fromiter(map(get, bodies), np.int64, len(words))
+        slots[1::2] = np.fromiter((get(w[-1:]) if c else 0 for w, c in zip(words, cut, strict=True)), np.int64, len(words))
+        sizes = self.sizes[slots]
+        return sizes[::2] + sizes[1::2], self.flat[spread(starts(self.sizes)[slots], sizes)]
+
+
+_vocabularies: dict[str, Vocabulary] = {}
 
 
 def token_ids(tokenizer: str, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each followed by ``end_id``, and where each text begins."""
+    if tokenizer not in _vocabularies:
+        _vocabularies[tokenizer] = Vocabulary(tokenizer)
     codes, words, bounds = coded(texts)
-    ids = [*word_ids(tokenizer, words), np.array([end_id], np.uint32)]
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat, begin = np.concatenate(ids), starts(sizes)[:-1]
+    sizes, flat = _vocabularies[tokenizer].ids(words)
+    sizes, flat = np.append(sizes, 1), np.append(flat, np.uint32(end_id))
     every = np.insert(codes, bounds[1:], len(words))  # the end stands behind each text's words
     token_starts = starts(sizes[every])
-    return flat[spread(begin[every], sizes[every])], token_starts[bounds + np.arange(len(bounds))]
+    return flat[spread(starts(sizes)[every], sizes[every])], token_starts[bounds + np.arange(len(bounds))]
 
 
 def pieces(sizes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -4,12 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loofold.llm import rules, sql
+from loofold.llm.mixing import mix
 from loofold.llm.packing import pack
 from loofold.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op4_quality_rules", sql.QUALITY_RULES)
+def op4_quality_rules(spark, folder):
+    """The ledger of all documents under the latest policy."""
+    rows = rules.ledger(table(spark, folder, "documents"))
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~rules.passes(rules.POLICIES[0])).alias("base_failed"),
+        rules.passes(rules.POLICIES[-1]).alias("kept"),
+        "failed",
+    )
+
+
 @query("op7_packing")
 def op7_packing(spark, folder):
     """Every sequence of the whole table; the ids as their checksum."""
@@ -17,3 +31,10 @@ def op7_packing(spark, folder):
     return packed.withColumn("ids_crc32", F.crc32("ids")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query("op8_mixing", sql.MIXING)
+def op8_mixing(spark, folder):
+    """Words that the mix takes of each document."""
+    rows = mix(table(spark, folder, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
