@@ -8,18 +8,20 @@ sequence holds tokens of two documents.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loofold.llm.words import coded, slices, spread, starts, texts_of
+from loofold.llm.words import slices, spread, starts, texts_of
 
 #: Text taken at once in a task, and words whose ids a worker keeps. Both bound memory only.
-CHUNK_BYTES = 4 << 20
-KEPT_WORDS = 600_000
+CHUNK_BYTES = 2 << 20
+KEPT_WORDS = 300_000
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int, offset long"
 
@@ -35,71 +37,85 @@ class Vocabulary:
     """Ids of words seen so far in this worker, word after word in one array.
 
     The tokenizer drops white space before it cuts, so a text's ids are those of its words.
-    A comma or full stop after an ASCII letter is a token run of its own: such words are
-    looked up without it, which makes most of them known already.
+    A comma or full stop after an ASCII letter is a token run of its own, so such a word is
+    put together from the rest and that sign. Words of Latin-1 letters are lower-cased here and
+    go to the model itself, which spares the tokenizer's book-keeping; the first are compared
+    with the tokenizer, and if any differs, all words go through the tokenizer.
     """
 
-    def __init__(self, tokenizer: str):
+    def __init__(self, tokenizer: str, end_id: int):
         from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(tokenizer if tokenizer.startswith("/") else public_tokenizer(tokenizer))
-        names = self.model.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(names.values()) + 1, bool)
-        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.full = Tokenizer.from_file(tokenizer if tokenizer.startswith("/") else public_tokenizer(tokenizer))
+        self.model, self.end_id = self.full.model, end_id
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(128, 256)) if c.isalpha()}
+        self.direct = True
+        self.direct = all(self.encoded(w) == self.full.encode(w, add_special_tokens=False).ids for w in PROBES)
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[bytes, int] = {b"": 0}
-        self.sizes, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes and ids of words. Words of letters alone go in one call and are told apart by word ends."""
-        text = [w.decode("utf-8", "replace") for w in words]
-        if all(map(str.isalpha, text)):
-            ids = np.array(self.model.encode(" ".join(text), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(text):
-                return np.diff(ends, prepend=0), ids
-        found = [e.ids for e in self.model.encode_batch(text, add_special_tokens=False)]
-        return np.array(list(map(len, found)), np.int64), np.array([i for ids in found for i in ids], np.uint32)
+        self.code: dict[bytes | None, int] = {None: 0}  # the end
+        self.sizes, self.flat = array("q", [1]), array("I", [self.end_id])
+
+    def encoded(self, word: str) -> list[int]:
+        if self.direct and word.isalpha() and max(word) < "\u0100":
+            return [t.id for t in self.model.tokenize(word.lower().translate(self.letters))]
+        return self.full.encode(word, add_special_tokens=False).ids
+
+    def add(self, word: bytes, ids) -> None:
+        self.code[word] = len(self.sizes)
+        self.sizes.append(len(ids))
+        self.flat.extend(ids)
 
     def learn(self, words: list[bytes]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.code]
-        plain = [w for w in new if w.decode("utf-8", "replace").isalpha()]
-        other = [w for w in new if not w.decode("utf-8", "replace").isalpha()]
-        sizes, flat = [self.sizes], [self.flat]
-        for part in (k[i : i + 4000] for k in (plain, other) for i in range(0, len(k), 4000)):
-            self.code.update(zip(part, range(len(self.code), len(self.code) + len(part)), strict=True))
-            for all_of, here in zip((sizes, flat), self.encoded(part), strict=True):
-                all_of.append(here)
-        self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
-
-    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes and ids of words, one after another."""
-        cut = [len(w) > 1 and w[-1] in b".," and w[-2:-1].isalpha() for w in words]
-        bodies = [(w[:-1] if c else w).lower() for w, c in zip(words, cut, strict=True)]
+        places = starts(np.array(self.sizes)).tolist()
+        fresh: dict[bytes, list[int]] = {}
+
+        def ids_of(word: bytes) -> list[int]:
+            at = self.code.get(word)
+            if at is not None and at < len(places) - 1:
+                return self.flat[places[at] : places[at + 1]].tolist()
+            if word not in fresh:
+                fresh[word] = self.encoded(word.decode("utf-8", "replace"))
+                if at is None:
+                    self.add(word, fresh[word])
+            return fresh[word]
+
+        for word in words:
+            cut = len(word) > 1 and word[-1] in b".," and word[-2:-1].isalpha()
+            body = (word[:-1] if cut else word).lower()
+            ids = ids_of(body) + ids_of(word[-1:]) if cut else ids_of(body)
+            if word not in self.code:
+                self.add(word, ids)
+
+    def codes(self, words: list[bytes]) -> np.ndarray:
         if len(self.code) > KEPT_WORDS:
             self.clear()
-        self.learn([*bodies, b".", b","])
-        get = self.code.__getitem__
-        slots = np.zeros(2 * len(words), np.int64)
-        slots[::2] = np.fromiter(map(get, bodies), np.int64, len(words))
-        slots[1::2] = np.fromiter((get(w[-1:]) if c else 0 for w, c in zip(words, cut, strict=True)), np.int64, len(words))
-        sizes = self.sizes[slots]
-        return sizes[::2] + sizes[1::2], self.flat[spread(starts(self.sizes)[slots], sizes)]
+        found = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0).tolist()
+        self.learn(list(dict.fromkeys(words[i] for i in missing)))
+        found[missing] = [self.code[words[i]] for i in missing]
+        return found
+
 
+#: Words on which the short way is compared with the tokenizer.
+PROBES = ("the", "Paper", "nation", "\u00e9tude", "Stra\u00dfe", "\u00c9tion", "ni\u00f1o", "\u00ea", "THRESHOLD")
 
-_vocabularies: dict[str, Vocabulary] = {}
+_vocabularies: dict[tuple[str, int], Vocabulary] = {}
 
 
 def token_ids(tokenizer: str, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each followed by ``end_id``, and where each text begins."""
-    if tokenizer not in _vocabularies:
-        _vocabularies[tokenizer] = Vocabulary(tokenizer)
-    codes, words, bounds = coded(texts)
-    sizes, flat = _vocabularies[tokenizer].ids(words)
-    sizes, flat = np.append(sizes, 1), np.append(flat, np.uint32(end_id))
-    every = np.insert(codes, bounds[1:], len(words))  # the end stands behind each text's words
+    if (tokenizer, end_id) not in _vocabularies:
+        _vocabularies[tokenizer, end_id] = Vocabulary(tokenizer, end_id)
+    vocabulary = _vocabularies[tokenizer, end_id]
+    lists = [t.split() for t in texts]
+    bounds = starts(np.fromiter(map(len, lists), np.int64, len(lists)))
+    codes = vocabulary.codes(list(chain.from_iterable(lists)))
+    every = np.insert(codes, bounds[1:], 0)  # the end stands behind each text's words
+    sizes, flat = np.array(vocabulary.sizes), np.array(vocabulary.flat)
     token_starts = starts(sizes[every])
     return flat[spread(starts(sizes)[every], sizes[every])], token_starts[bounds + np.arange(len(bounds))]
 
