@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loofold.llm import rules, sql
+from loofold.llm.fuzzyhash import edited_and_next
 from loofold.llm.mixing import mix
 from loofold.llm.packing import pack
 from loofold.llm.registry import ORACLES, QUERIES, query, table
+from loofold.llm.substrings import without_repeats
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op1_substring_dedup", sql.SUBSTRINGS)
+def op1_substring_dedup(spark, folder):
+    """What is left of each document; the kept words as their digest."""
+    rows = without_repeats(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_document_fingerprints")
+def op2_document_fingerprints(spark, folder):
+    """Each text against its edit and against the next text."""
+    return edited_and_next(table(spark, folder, "documents"))
+
+
 @query("op4_quality_rules", sql.QUALITY_RULES)
 def op4_quality_rules(spark, folder):
     """The ledger of all documents under the latest policy."""

@@ -2,6 +2,24 @@
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+SUBSTRINGS = rf"""
+WITH d AS (
+  SELECT doc_id, {WORDS} AS words FROM documents
+), w AS (
+  SELECT doc_id, p, array_to_string(words[p + 1 : p + 50], ' ') AS line
+  FROM (SELECT doc_id, words, unnest(range(len(words) - 49)) AS p FROM d)
+), twice AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY line) AS first FROM w) WHERE first < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, p + k AS p FROM twice, range(50) t(k)
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS line, count(*) AS n
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS p FROM d) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 QUALITY_RULES = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS words,
