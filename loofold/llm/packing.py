@@ -8,6 +8,7 @@ sequence holds tokens of two documents.
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -17,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loofold.llm.words import slices, spread, starts, texts_of
+from loofold.llm.words import parts, release, spread, starts
 
 #: Text taken at once in a task, and words whose ids a worker keeps. Both bound memory only.
-CHUNK_BYTES = 2 << 20
-KEPT_WORDS = 300_000
+CHUNK_BYTES = 1 << 20
+KEPT_WORDS = 200_000
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int, offset long"
 
@@ -51,43 +52,44 @@ class Vocabulary:
         self.model, self.end_id = self.full.model, end_id
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(128, 256)) if c.isalpha()}
+        self.latin = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
         self.direct = True
-        self.direct = all(self.encoded(w) == self.full.encode(w, add_special_tokens=False).ids for w in PROBES)
+        self.direct = all(self.encoded(w.encode()) == self.full.encode(w, add_special_tokens=False).ids for w in PROBES)
         self.clear()
 
     def clear(self) -> None:
         self.code: dict[bytes | None, int] = {None: 0}  # the end
-        self.sizes, self.flat = array("q", [1]), array("I", [self.end_id])
-
-    def encoded(self, word: str) -> list[int]:
-        if self.direct and word.isalpha() and max(word) < "\u0100":
-            return [t.id for t in self.model.tokenize(word.lower().translate(self.letters))]
-        return self.full.encode(word, add_special_tokens=False).ids
-
-    def add(self, word: bytes, ids) -> None:
-        self.code[word] = len(self.sizes)
+        self.begin, self.sizes, self.flat = array("q", [0]), array("q", [1]), array("I", [self.end_id])
+
+    def encoded(self, word: bytes) -> list[int]:
+        if self.direct and word.isalpha():
+            return [t.id for t in self.model.tokenize(word.decode().lower())]
+        text = word.decode("utf-8", "replace")
+        if self.direct and self.latin(text):
+            return [t.id for t in self.model.tokenize(text.lower().translate(self.letters))]
+        return self.full.encode(text, add_special_tokens=False).ids
+
+    def add(self, word: bytes, ids) -> int:
+        at = self.code[word] = len(self.sizes)
+        self.begin.append(len(self.flat))
         self.sizes.append(len(ids))
         self.flat.extend(ids)
+        return at
 
     def learn(self, words: list[bytes]) -> None:
-        places = starts(np.array(self.sizes)).tolist()
-        fresh: dict[bytes, list[int]] = {}
-
-        def ids_of(word: bytes) -> list[int]:
-            at = self.code.get(word)
-            if at is not None and at < len(places) - 1:
-                return self.flat[places[at] : places[at + 1]].tolist()
-            if word not in fresh:
-                fresh[word] = self.encoded(word.decode("utf-8", "replace"))
-                if at is None:
-                    self.add(word, fresh[word])
-            return fresh[word]
-
+        code, signs = self.code, {sign: self.encoded(sign) for sign in (b".", b",")}
         for word in words:
-            cut = len(word) > 1 and word[-1] in b".," and word[-2:-1].isalpha()
+            end = word[-1:]
+            cut = end in signs and word[-2:-1].isalpha()
             body = (word[:-1] if cut else word).lower()
-            ids = ids_of(body) + ids_of(word[-1:]) if cut else ids_of(body)
-            if word not in self.code:
+            at = code.get(body)
+            if at is None:
+                at = self.add(body, self.encoded(body))
+            if body != word:
+                begin = self.begin[at]
+                ids = self.flat[begin : begin + self.sizes[at]]
+                if cut:
+                    ids.extend(signs[end])
                 self.add(word, ids)
 
     def codes(self, words: list[bytes]) -> np.ndarray:
@@ -160,9 +162,9 @@ def pack(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = batch.column(0), texts_of(batch.column(1))
-            for part in slices([len(t) for t in texts], CHUNK_BYTES):
-                ids, bounds = token_ids(tokenizer, texts[part], end_id)
+            keys = batch.column(0)
+            for part, texts in parts(batch.column(1), CHUNK_BYTES):
+                ids, bounds = token_ids(tokenizer, texts, end_id)
                 sizes = np.diff(bounds)
                 rows, begin, length = pieces(sizes, longest)
                 raw, at = memoryview(ids.astype("<u4").tobytes()), 4 * (bounds[rows] + begin)
@@ -178,6 +180,7 @@ def pack(
                     ],
                     names=["doc_id", "start", "length", "ids", "doc_tokens", "bucket", "offset"],
                 )
+        release()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     cuts = narrow.mapInArrow(cut, PIECES)

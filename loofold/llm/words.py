@@ -6,11 +6,14 @@ carriage return, so splitting UTF-8 bytes equals splitting code points.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -30,6 +33,22 @@ def slices(sizes: list[int], limit: int) -> Iterator[slice]:
         yield slice(begin, len(sizes))
 
 
+def parts(column: pa.Array, limit: int) -> Iterator[tuple[slice, list[bytes]]]:
+    """A column's rows a few megabytes of text at a time, with the texts of each part."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for part in slices(sizes, limit):
+        yield part, texts_of(column.slice(part.start, part.stop - part.start))
+
+
+def release() -> None:
+    """Gives freed memory back at the end of a partition; reused workers else keep their peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def starts(counts: np.ndarray) -> np.ndarray:
     """Where each run begins, and after the last where it ends."""
     out = np.zeros(len(counts) + 1, np.int64)
