@@ -65,7 +65,7 @@ def _boundaries(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _prefix_sums(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sum of (byte + 1) * ODD^place before each place in ``at`` (ascending), and BACK^place."""
     sums, backs = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-    before = np.uint64(0)
+    before = 0
     cuts = np.searchsorted(at, np.arange(0, len(data) + BLOCK + 1, BLOCK))
     for b, begin in enumerate(range(0, len(data) + 1, BLOCK)):
         here = slice(cuts[b], cuts[b + 1])
@@ -73,9 +73,9 @@ def _prefix_sums(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
         local = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(part * _UP[: len(part)], out=local[1:])
         up, down = np.uint64(pow(ODD, begin, 1 << 64)), np.uint64(pow(BACK, begin, 1 << 64))
-        sums[here] = local[at[here] - begin] * up + before
+        sums[here] = local[at[here] - begin] * up + np.uint64(before)
         backs[here] = _DOWN[at[here] - begin] * down
-        before = before + local[-1] * up
+        before = (before + int(local[-1]) * int(up)) % (1 << 64)
     return sums, backs
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loofold.llm import rules, sql
 from loofold.llm.fuzzyhash import edited_and_next
+from loofold.llm.language import fold, identify, trained_on_folds
 from loofold.llm.mixing import mix
 from loofold.llm.packing import pack
 from loofold.llm.registry import ORACLES, QUERIES, query, table
@@ -53,3 +54,11 @@ def op8_mixing(spark, folder):
     """Words that the mix takes of each document."""
     rows = mix(table(spark, folder, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op9_language_id")
+def op9_language_id(spark, folder):
+    """Language of every document; rows of fold 0 are never learned from."""
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(fold() == 0, F.lit(True)).alias("held_out")
+    return identify(docs, trained_on_folds(docs)).select("doc_id", held_out, "lang_pred", "score", "n_switches")
