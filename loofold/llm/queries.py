@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loofold.llm import rules, sql
+from loofold.llm import rules, secrets, sql
 from loofold.llm.fuzzyhash import edited_and_next
 from loofold.llm.language import fold, identify, trained_on_folds
 from loofold.llm.mixing import mix
+from loofold.llm.neardup import near_duplicates
 from loofold.llm.packing import pack
 from loofold.llm.registry import ORACLES, QUERIES, query, table
+from loofold.llm.scoring import scored
 from loofold.llm.substrings import without_repeats
+from loofold.llm.toolcalls import SCHEMAS, derived, linked
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -28,6 +31,12 @@ def op2_document_fingerprints(spark, folder):
     return edited_and_next(table(spark, folder, "documents"))
 
 
+@query("op3_lm_scoring")
+def op3_lm_scoring(spark, folder):
+    """Scores of every document, learned from those whose fold is not 1."""
+    return scored(table(spark, folder, "documents"), fold() != 1)
+
+
 @query("op4_quality_rules", sql.QUALITY_RULES)
 def op4_quality_rules(spark, folder):
     """The ledger of all documents under the latest policy."""
@@ -40,6 +49,18 @@ def op4_quality_rules(spark, folder):
     )
 
 
+@query("op5_minhash_neardup")
+def op5_minhash_neardup(spark, folder):
+    """Class of every document."""
+    return near_duplicates(table(spark, folder, "documents")).select("doc_id", "class_id", "class_size")
+
+
+@query("op6_chat_formatting")
+def op6_chat_formatting(spark, folder):
+    """Records of the calls and results derived from all conversations."""
+    return linked(*derived(table(spark, folder, "conversations")), SCHEMAS)
+
+
 @query("op7_packing")
 def op7_packing(spark, folder):
     """Every sequence of the whole table; the ids as their checksum."""
@@ -62,3 +83,11 @@ def op9_language_id(spark, folder):
     docs = table(spark, folder, "documents")
     held_out = F.coalesce(fold() == 0, F.lit(True)).alias("held_out")
     return identify(docs, trained_on_folds(docs)).select("doc_id", held_out, "lang_pred", "score", "n_switches")
+
+
+@query("op10_secret_scan")
+def op10_secret_scan(spark, folder):
+    """Every candidate of every document with the forest's verdict; values as their digest."""
+    docs = table(spark, folder, "documents")
+    found = secrets.findings(docs, secrets.trained(docs))
+    return found.select("doc_id", "nth", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
