@@ -27,7 +27,7 @@ def canonical(frame: pd.DataFrame) -> list[tuple]:
 def main() -> int:
     folder, names = sys.argv[1], sys.argv[2:] or list(QUERIES)
     spark = build_session(
-        master="local[8]",
+        master=os.environ.get("COMPARE_MASTER", "local[8]"),
         **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"},
     )
     spark.sparkContext.setLogLevel("OFF")
