@@ -2,6 +2,8 @@
 
 Output is a softmax over classes of subword ids: frequent ids are classes of their own, all
 others share one class and are told apart by their frequency in the whole training corpus.
+Attention adds to the log frequency of a class behind the id before it, also counted over the
+whole corpus, so the weights only learn what longer context tells.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ class Shape:
     stride: int = 24
     width: int = 24
     hidden: int = 48
-    classes: int = 192
+    classes: int = 384
     inputs: int = 1536
-    steps: int = 700
-    batch: int = 192
-    rate: float = 4e-3
+    steps: int = 1000
+    batch: int = 128
+    rate: float = 6e-3
     seed: int = 3
 
 
@@ -35,6 +37,7 @@ class Model:
     input_of: np.ndarray  # row of the embedding by subword id
     class_of: np.ndarray  # class by subword id; the last class is shared
     within: np.ndarray  # log probability of an id within its class
+    prior: np.ndarray  # log frequency of each class behind each input row
     weights: dict[str, np.ndarray] = field(default_factory=dict)
 
 
@@ -63,9 +66,32 @@ def prepared(counts: np.ndarray, end: int, shape: Shape) -> Model:
         "query": draw(d, d), "key": draw(d, d), "value": draw(d, d), "out": draw(d, d) * np.float32(0.5),
         "up": draw(d, h), "bias": np.zeros(h, np.float32), "down": draw(h, d) * np.float32(0.5),
         "top": draw(d, shape.classes) * np.float32(0.3),
-        "prior": np.log(totals / totals.sum()).astype(np.float32),
     }
-    return Model(shape, input_of, class_of, within, weights)
+    prior = np.log(totals / totals.sum()).astype(np.float32)
+    return Model(shape, input_of, class_of, within, np.tile(prior, (shape.inputs, 1)), weights)
+
+
+def pair_counts(model: Model, ids: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
+    """How often each class stands behind each input row, flat; sequences with their ends."""
+    before = previous(ids, lengths, end)
+    cells = model.input_of[before] * model.shape.classes + model.class_of[ids]
+    return np.bincount(cells, minlength=model.shape.inputs * model.shape.classes)
+
+
+def with_pairs(model: Model, counts: np.ndarray, weight: float = 8.0) -> Model:
+    """The model with log frequencies of classes behind each input, drawn to those of all."""
+    counts = counts.reshape(model.shape.inputs, model.shape.classes).astype(np.float64)
+    overall = np.exp(model.prior[0].astype(np.float64))
+    model.prior = np.log((counts + weight * overall) / (counts.sum(axis=1, keepdims=True) + weight)).astype(np.float32)
+    return model
+
+
+def previous(ids: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
+    """The id before each; the end before a sequence begins."""
+    before = np.empty(len(ids), np.int64)
+    before[1:] = ids[:-1]
+    before[starts(lengths)[:-1]] = end
+    return before
 
 
 def windows(lengths: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
@@ -88,28 +114,31 @@ def _mask(shape: Shape) -> np.ndarray:
     return np.where(np.arange(shape.window) <= scored[:, None], 0, -1e4).astype(np.float32)
 
 
-def forward(w: dict[str, np.ndarray], inputs: np.ndarray, shape: Shape, mask: np.ndarray):
-    """Class logits of the scored places (windows, stride, classes), and what the gradient needs."""
+def hidden(w: dict[str, np.ndarray], inputs: np.ndarray, shape: Shape, mask: np.ndarray):
+    """Last hidden state of the scored places (windows, stride, width), and what the gradient needs."""
     past = shape.window - shape.stride
     known = inputs >= 0
     x = w["embed"][np.maximum(inputs, 0)] + w["place"]
     xs = x[:, past:]
     q, k, v = xs @ w["query"], x @ w["key"], x @ w["value"]
-    score = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(1 / np.sqrt(shape.width)) + mask
-    score += np.where(known, np.float32(0), np.float32(-1e4))[:, None, :]
-    score -= score.max(axis=2, keepdims=True)
+    score = np.matmul(q * np.float32(1 / np.sqrt(shape.width)), k.transpose(0, 2, 1))
+    score += mask
+    if not known.all():
+        score += np.where(known, np.float32(0), np.float32(-1e4))[:, None, :]
+    np.minimum(score, np.float32(60), out=score)  # each place sees itself, so no sum is 0
     np.exp(score, out=score)
     score /= score.sum(axis=2, keepdims=True)
     seen = np.matmul(score, v)
     h = xs + seen @ w["out"]
     f = np.maximum(h @ w["up"] + w["bias"], 0)
     g = h + f @ w["down"]
-    return g @ w["top"] + w["prior"], (x, xs, q, k, v, score, seen, h, f, g)
+    return g, (x, xs, q, k, v, score, seen, h, f, g)
 
 
-def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, shape: Shape, mask: np.ndarray):
+def gradient(w: dict[str, np.ndarray], prior: np.ndarray, inputs: np.ndarray, targets: np.ndarray, shape: Shape, mask: np.ndarray):
     """Mean loss of the targets (-1 for none) and its gradient."""
-    logits, (x, xs, q, k, v, a, seen, h, f, g) = forward(w, inputs, shape, mask)
+    g, (x, xs, q, k, v, a, seen, h, f, _) = hidden(w, inputs, shape, mask)
+    logits = g @ w["top"] + prior[np.maximum(inputs[:, shape.window - shape.stride :], 0)]
     use = targets >= 0
     n = max(1, int(use.sum()))
     logits -= logits.max(axis=2, keepdims=True)
@@ -120,7 +149,7 @@ def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     np.put_along_axis(p, at, np.take_along_axis(p, at, 2) - 1, 2)
     p *= (use / np.float32(n)).astype(np.float32)[..., None]
     flat = lambda m: m.reshape(-1, m.shape[-1])
-    d = {"top": flat(g).T @ flat(p), "prior": flat(p).sum(axis=0)}
+    d = {"top": flat(g).T @ flat(p)}
     dg = p @ w["top"].T
     d["down"] = flat(f).T @ flat(dg)
     df = (dg @ w["down"].T) * (f > 0)
@@ -158,7 +187,7 @@ def fitted(model: Model, sequences: list[np.ndarray], end: int) -> Model:
     second = {k: np.zeros_like(x) for k, x in w.items()}
     for step in range(1, shape.steps + 1):
         pick = rng.integers(len(place), size=shape.batch)
-        _, d = gradient(w, inputs[pick], goals[pick], shape, mask)
+        _, d = gradient(w, model.prior, inputs[pick], goals[pick], shape, mask)
         rate = shape.rate * min(1.0, 10 * step / shape.steps, 0.05 + 1.5 * (1 - step / shape.steps))
         for k, x in w.items():
             first[k] += np.float32(0.1) * (d[k] - first[k])
@@ -170,29 +199,27 @@ def fitted(model: Model, sequences: list[np.ndarray], end: int) -> Model:
 
 def network_inputs(model: Model, ids: np.ndarray, lengths: np.ndarray, place: np.ndarray, end: int) -> np.ndarray:
     """Embedding rows at each place of the windows: the token before it, the end before the first."""
-    before = np.empty(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    before[starts(lengths)[:-1]] = end
-    rows = model.input_of[before]
+    rows = model.input_of[previous(ids, lengths, end)]
     return np.where(place >= 0, rows[np.maximum(place, 0)], -1)
 
 
 def log_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray, end: int, at_once: int = 48) -> np.ndarray:
-    """Natural log probability of each sequence (ids with their ends, lengths of all)."""
+    """Natural log probability of each id of some sequences, which hold their ends."""
     shape, mask = model.shape, _mask(model.shape)
-    place, owner = windows(lengths, shape)
+    past = shape.window - shape.stride
+    share, reach = np.exp(model.prior), np.sqrt((model.weights["top"] ** 2).sum(axis=0)).max()
+    place, _ = windows(lengths, shape)
     inputs = network_inputs(model, ids, lengths, place, end)
-    scored = place[:, shape.window - shape.stride :]
-    classes = model.class_of[ids]
-    total = np.bincount(np.repeat(np.arange(len(lengths)), lengths), model.within[ids], minlength=len(lengths))
+    classes, out = model.class_of[ids], model.within[ids]
     for i in range(0, len(place), at_once):
-        part = slice(i, i + at_once)
-        logits, _ = forward(model.weights, inputs[part], shape, mask)
-        at = scored[part]
-        goal = np.take_along_axis(logits, classes[np.maximum(at, 0)][..., None], 2)[..., 0]
-        top = logits.max(axis=2)
-        logits -= top[..., None]
-        np.exp(logits, out=logits)
-        found = np.where(at >= 0, goal - top - np.log(logits.sum(axis=2)), 0.0)
-        total += np.bincount(owner[part], found.sum(axis=1), minlength=len(lengths))
-    return total
+        seen, at = inputs[i : i + at_once], place[i : i + at_once, past:].ravel()
+        g, _ = hidden(model.weights, seen, shape, mask)
+        use = np.flatnonzero(at >= 0)
+        at, row = at[use], seen[:, past:].ravel()[use]
+        g = g.reshape(-1, shape.width)[use]
+        g *= np.minimum(1, 60 / (np.sqrt((g * g).sum(axis=1)) * reach + 1e-6))[:, None]  # exp stays finite
+        lift = g @ model.weights["top"]
+        goal = lift[np.arange(len(at)), classes[at]] + model.prior[row, classes[at]]
+        np.exp(lift, out=lift)
+        out[at] += goal - np.log(np.einsum("ij,ij->i", lift, share[row]))
+    return out

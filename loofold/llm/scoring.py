@@ -1,9 +1,11 @@
 """Log probability of texts under a causal self-attention model, beside a unigram baseline.
 
-Texts are cut into chunks of a few megabytes, each a row with its distinct words and their
-places. Word counts meet in one shuffle of (word, chunk) pairs and go back to their chunks, so
-neither the vocabulary nor the texts pass through one task. Frequencies of subword ids cover
-all training texts; the attention weights are fitted on a bounded sample of them.
+Texts are cut into chunks of a few megabytes, each a row with its distinct words, their subword
+ids and their places. Word counts meet in one shuffle of (word, chunk) pairs and go back to
+their chunks, so neither the vocabulary nor the texts pass through one task. Frequencies of
+subword ids and of their pairs cover all training texts; the attention weights are fitted on a
+bounded sample of them. A word's probability mixes what attention says of its subwords with
+its own discounted frequency, whose discount also goes to attention.
 """
 
 from __future__ import annotations
@@ -15,15 +17,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loofold.llm.attention import Model, Shape, fitted, log_probabilities, prepared
+from loofold.llm.attention import Model, Shape, fitted, log_probabilities, pair_counts, prepared, with_pairs
 from loofold.llm.packing import public_tokenizer
 from loofold.llm.words import coded, parts, release, spread, starts
 from loofold.session import written_table
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 6 << 20
 #: Characters of the texts (whole ones) that the weights are fitted on, about.
 SAMPLE_BYTES = 3 << 20
 
+#: What is taken off the count of each known word, and the share that attention has anyway.
+DISCOUNT, ATTENTION = 0.75, 0.5
+
 TOKENIZER = "byte_bpe_50k.json"
 _tokenizers: dict[str, tuple] = {}
 
@@ -69,11 +74,22 @@ def _opened(data: bytes) -> bytes:
     return pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
 
 
-CHUNKS = "words binary, codes binary, bounds binary, docs binary, flags binary"
+CHUNKS = "words binary, codes binary, bounds binary, docs binary, flags binary, sizes binary, ids binary"
+FIELDS = tuple(f.split()[0] for f in CHUNKS.split(", "))
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, first all their lowest bytes and so on, which pack better."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
 
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, train, text) as chunks: distinct words, codes of all words, where texts begin."""
+
+def chunked(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Rows (doc_id, train, text) as chunks: distinct words and their subword ids, codes of all
+    words, where texts begin, and the ids and flags of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,21 +97,25 @@ def chunked(docs: DataFrame) -> DataFrame:
                 codes, words, bounds = coded([t.lower() for t in texts])
                 n = part.stop - part.start
                 keys = batch.column(0).slice(part.start, n)
-                ids = np.array([0 if x is None else x for x in keys.to_pylist()], np.int64)
+                docs_ = np.array([0 if x is None else x for x in keys.to_pylist()], np.int64)
                 flags = np.array(batch.column(1).slice(part.start, n).to_pylist(), np.uint8)
                 flags |= np.array(keys.is_null().to_pylist(), np.uint8) << 1
-                columns = (b"\n".join(words), codes.astype("<u4").tobytes(), bounds.astype("<i8").tobytes(), ids.tobytes(), flags.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([_squeezed(c)], pa.binary()) for c in columns], names=["words", "codes", "bounds", "docs", "flags"])
+                sizes, ids, _ = subwords(tokenizer, words)
+                columns = (
+                    b"\n".join(words), _planes(codes), bounds.astype("<i8").tobytes(), docs_.tobytes(), flags.tobytes(),
+                    _planes(sizes), _planes(ids),
+                )
+                yield pa.RecordBatch.from_arrays([pa.array([_squeezed(c)], pa.binary()) for c in columns], names=list(FIELDS))
         release()
 
     return docs.mapInArrow(run, CHUNKS)
 
 
 class Chunk:
-    def __init__(self, words, codes, bounds, docs, flags):
+    def __init__(self, words, codes, bounds, docs, flags, sizes, ids):
         raw = _opened(words)
         self.words = raw.split(b"\n") if raw else []
-        self.codes = np.frombuffer(_opened(codes), "<u4").astype(np.int64)
+        self.codes, self.sizes, self.ids = (_numbers(_opened(x)) for x in (codes, sizes, ids))
         self.bounds = np.frombuffer(_opened(bounds), "<i8")
         self.docs = np.frombuffer(_opened(docs), np.int64)
         flags = np.frombuffer(_opened(flags), np.uint8)
@@ -105,10 +125,28 @@ class Chunk:
     def train_counts(self) -> np.ndarray:
         return np.bincount(self.codes[self.train[self.owner]], minlength=len(self.words))
 
+    def tokens(self, end: int, rows: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Subword ids of some texts, each with its end; how many each word has; and each text."""
+        ids, sizes = np.append(self.ids, end), np.append(self.sizes, 1)
+        bounds = self.bounds[rows.start : rows.stop + 1]
+        every = np.insert(self.codes[bounds[0] : bounds[-1]], bounds[1:] - bounds[0], len(self.words))
+        per_word = sizes[every]
+        lengths = np.diff(starts(per_word)[bounds - bounds[0] + np.arange(len(bounds))])
+        return ids[spread(starts(sizes)[every], per_word)], per_word, lengths
+
+    def row_parts(self, tokens: int) -> Iterator[slice]:
+        """Runs of texts of about so many subword ids."""
+        per_text = np.bincount(self.owner, self.sizes[self.codes], minlength=len(self.docs)) + 1
+        cuts, begin = starts(per_text.astype(np.int64)), 0
+        while begin < len(per_text):
+            stop = max(begin + 1, int(np.searchsorted(cuts, cuts[begin] + tokens, "right")) - 1)
+            yield slice(begin, stop)
+            begin = stop
+
 
 def chunk_columns(batch: pa.RecordBatch) -> Iterator[tuple[int, Chunk]]:
     for i in range(batch.num_rows):
-        yield batch.column("chunk")[i].as_py(), Chunk(*(batch.column(c)[i].as_py() for c in ("words", "codes", "bounds", "docs", "flags")))
+        yield batch.column("chunk")[i].as_py(), Chunk(*(batch.column(c)[i].as_py() for c in FIELDS))
 
 
 def word_entries(chunks: DataFrame) -> DataFrame:
@@ -127,26 +165,64 @@ def word_entries(chunks: DataFrame) -> DataFrame:
     return chunks.mapInArrow(run, "chunk long, code int, word binary, n long")
 
 
-def subword_counts(chunks: DataFrame, tokenizer: str) -> np.ndarray:
-    """Training tokens of each subword id over the whole corpus, in one vector per task."""
-    size, end = vocabulary_size(tokenizer)
+def word_counts(chunks: DataFrame) -> DataFrame:
+    """chunk, counts (code and corpus count of each of its words) and the chunk's share of totals."""
+    same = Window.partitionBy("word")
+    counted = word_entries(chunks).select(
+        "chunk", "code", "n", F.sum("n").over(same).alias("c"), (F.min("chunk").over(same) == F.col("chunk")).alias("least")
+    )
+    return counted.groupBy("chunk").agg(
+        F.collect_list(F.struct("code", "c")).alias("counts"),
+        F.sum("n").alias("tokens"),
+        F.count(F.when(F.col("least") & (F.col("c") > 0), 1)).alias("kinds"),
+    )
+
+
+def summed(chunks: DataFrame, size: int, count) -> np.ndarray:
+    """A vector of ``size`` sums over all chunks; each task sends one, and vectors add up in parts."""
+    width = 1 << 13
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for _, chunk in chunk_columns(batch):
-                sizes, ids, _ = subwords(tokenizer, chunk.words)
-                total += np.bincount(ids, np.repeat(chunk.train_counts(), sizes), minlength=size).astype(np.int64)
-                total[end] += int(chunk.train.sum())
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["id", "n"])
+                count(total, chunk)
+        pieces = [total[i : i + width] for i in range(0, size, width)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(len(pieces)), pa.int32()), pa.array([_squeezed(p.tobytes()) for p in pieces], pa.binary())], names=["part", "sums"]
+        )
         release()
 
-    rows = chunks.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row per subword id
-    out = np.zeros(size, np.int64)
-    for r in rows:
-        out[r["id"]] = r["n"]
-    return out
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(_opened(x), np.int64) for x in table.column("sums").to_pylist())
+        return pa.table({"part": table.column("part").slice(0, 1), "sums": pa.array([_squeezed(total.tobytes())], pa.binary())})
+
+    schema = "part int, sums binary"
+    rows = {r["part"]: _opened(bytes(r["sums"])) for r in chunks.mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect()}
+    return np.frombuffer(b"".join(rows[i] for i in sorted(rows)), np.int64) if rows else np.zeros(size, np.int64)
+
+
+def subword_counts(chunks: DataFrame, size: int, end: int) -> np.ndarray:
+    """Training tokens of each subword id over the whole corpus."""
+
+    def count(total: np.ndarray, chunk: Chunk) -> None:
+        total += np.bincount(chunk.ids, np.repeat(chunk.train_counts(), chunk.sizes), minlength=size).astype(np.int64)
+        total[end] += int(chunk.train.sum())
+
+    return summed(chunks, size, count)
+
+
+def subword_pairs(chunks: DataFrame, model: Model, end: int) -> np.ndarray:
+    """Training pairs of neighbouring subword ids over the whole corpus, by input row and class."""
+    shared = chunks.sparkSession.sparkContext.broadcast(model)
+
+    def count(total: np.ndarray, chunk: Chunk) -> None:
+        for part in chunk.row_parts(200_000):
+            tokens, _, lengths = chunk.tokens(end, part)
+            learn = np.repeat(chunk.train[part], lengths)
+            total += pair_counts(shared.value, tokens[learn], lengths[chunk.train[part]], end)
+
+    return summed(chunks, model.shape.inputs * model.shape.classes, count)
 
 
 def sample_sequences(docs: DataFrame, tokenizer: str) -> list[np.ndarray]:
@@ -179,41 +255,46 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
-    chunks = written_table(chunked(rows).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
-    same = Window.partitionBy("word")
-    counted = word_entries(chunks).withColumn("c", F.sum("n").over(same)).withColumn("least", F.min("chunk").over(same) == F.col("chunk"))
-    counts = written_table(counted.select("chunk", "code", "n", "c", "least"), "counts")
-    n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("least") & (F.col("c") > 0), 1))).first()
-    n_docs = rows.where("train").count()
-    total, kinds = n_words + n_docs, distinct + (n_docs > 0)
+    chunks = written_table(chunked(rows, tokenizer).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    counts = written_table(word_counts(chunks), "counts")
+    n_words, distinct = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     size, end = vocabulary_size(tokenizer)
-    model = prepared(subword_counts(chunks, tokenizer), end, shape)
+    subword = subword_counts(chunks, size, end)
+    n_docs = int(subword[end])
+    total, kinds = n_words + n_docs, distinct + (n_docs > 0)
+    model = prepared(subword, end, shape)
+    model = with_pairs(model, subword_pairs(chunks, model, end))
     model = fitted(model, sample_sequences(rows, tokenizer), end)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by its shape and the vocabulary
-
-    back = counts.groupBy("chunk").agg(F.collect_list(F.struct("code", "c")).alias("counts"))
-    joined = chunks.join(back, "chunk", "left")
+    joined = chunks.join(counts.select("chunk", "counts"), "chunk", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Model = shared.value
         unit = total + 0.5 * (kinds + 1)
+        spare = DISCOUNT * kinds / max(total, 1)
         for batch in batches:
             for i, (_, chunk) in enumerate(chunk_columns(batch)):
                 pairs = batch.column("counts")[i]
-                c = np.zeros(len(chunk.words), np.int64)
+                c = np.zeros(len(chunk.words) + 1, np.int64)
+                c[-1] = n_docs
                 if pairs.is_valid:
                     flat = pairs.values
                     c[flat.field("code").to_numpy()] = flat.field("c").to_numpy()
                 n = len(chunk.docs)
-                per_word = np.log10((c + 0.5) / unit)
-                base = np.bincount(chunk.owner, per_word[chunk.codes], minlength=n) + np.log10((n_docs + 0.5) / unit)
+                per_word, own = np.log10((c + 0.5) / unit), np.maximum(c - DISCOUNT, 0) / max(total, 1)
+                base = np.bincount(chunk.owner, per_word[chunk.codes], minlength=n) + per_word[-1]
                 known = np.bincount(chunk.owner, c[chunk.codes] > 0, minlength=n).astype(np.int64) + (n_docs > 0)
-                sizes, ids, _ = subwords(tokenizer, chunk.words)
-                ids, sizes = np.append(ids, end), np.append(sizes, 1)
-                every = np.insert(chunk.codes, chunk.bounds[1:], len(chunk.words))
-                tokens = ids[spread(starts(sizes)[every], sizes[every])]
-                lengths = np.diff(starts(sizes[every])[chunk.bounds + np.arange(n + 1)])
-                score = texts_scored(held, tokens, lengths, end)
+                score = np.zeros(n)
+                for part in chunk.row_parts(200_000):
+                    tokens, per, lengths = chunk.tokens(end, part)
+                    bounds = chunk.bounds[part.start : part.stop + 1]
+                    logs = np.add.reduceat(log_probabilities(held, tokens, lengths, end), starts(per)[:-1])
+                    every = np.insert(chunk.codes[bounds[0] : bounds[-1]], bounds[1:] - bounds[0], len(chunk.words))
+                    words = np.logaddexp(
+                        np.log(ATTENTION + (1 - ATTENTION) * spare) + logs, np.log((1 - ATTENTION) * own[every] + 1e-300)
+                    )
+                    texts = np.repeat(np.arange(part.start, part.stop), np.diff(bounds) + 1)
+                    score += np.bincount(texts, words, minlength=n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(chunk.docs, mask=chunk.null),
@@ -229,13 +310,3 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         release()
 
     return joined.mapInArrow(run, SCORES)
-
-
-def texts_scored(model: Model, tokens: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
-    """Log probabilities of texts, some at a time so that windows stay small in memory."""
-    out, begin, cuts = np.zeros(len(lengths)), 0, starts(lengths)
-    while begin < len(lengths):
-        stop = max(begin + 1, int(np.searchsorted(cuts, cuts[begin] + 200_000, "right")) - 1)
-        out[begin:stop] = log_probabilities(model, tokens[cuts[begin] : cuts[stop]], lengths[begin:stop], end)
-        begin = stop
-    return out
