@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from loofold.llm.words import coded, slices, spread, starts, texts_of
 
@@ -269,7 +270,9 @@ def chunk_marginals(model: Field, texts: list[bytes]):
     return codes, words, bounds, marginals(scores, np.diff(bounds), model.change, model.start) if len(codes) else scores
 
 
-PREDICTED = "doc_id long, lang_pred string, score double, n_switches long"
+def predicted() -> list[StructField]:
+    kinds = {"doc_id": LongType(), "lang_pred": StringType(), "score": DoubleType(), "n_switches": LongType()}
+    return [StructField(name, kind) for name, kind in kinds.items()]
 
 
 def identify(docs: DataFrame, model: Field | None, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
@@ -311,7 +314,7 @@ def identify(docs: DataFrame, model: Field | None, id_col: str = "doc_id", text_
 
     row = [F.struct("*").alias("row")] if keep_row else []
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row)
-    schema = PREDICTED + (f", row {narrow.schema['row'].dataType.simpleString()}" if keep_row else "")
+    schema = StructType(predicted() + narrow.schema.fields[2:])
     return narrow.mapInArrow(run, schema)
 
 

@@ -28,6 +28,8 @@ CHUNK_BYTES = 1 << 20
 #: Runs share a document frequency by the low bits of their hash, so the table is bounded.
 FREQUENCY_BITS = 18
 FREQUENCY_PARTS = 64
+#: Rows of an id and a digest that may be broadcast: at most 64 MB.
+BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -362,3 +364,28 @@ def near_duplicates(docs: DataFrame, how: Settings = Settings(), id_col: str = "
     members = written_table(members, "members")
     classes = members.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return members.join(classes, "root").select("doc_id", "node", "class_id", "class_size")
+
+
+def one_of_each(docs: DataFrame, how: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class the row of the smallest id.
+
+    Of equal ids the text with the least digest stays, and of equal rows one. The rows to leave
+    out are broadcast if there are few, by count; else they meet the texts in a join.
+    """
+    members = written_table(near_duplicates(docs, how, id_col, text_col), "classes")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    # class_id is null where no member has an id: then the text alone names the class
+    name = F.coalesce(F.col("class_id").cast("string"), F.concat(F.lit("node:"), "node"))
+    named = members.withColumn("class", name)
+    best = named.groupBy("class").agg(F.min(order).alias("best"))
+    judged = named.join(best, "class").withColumn("stays", order == F.col("best"))
+    out = written_table(judged.where(~F.col("stays")).select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct(), "dropped")
+    many = judged.where("stays").groupBy("class").count().where("count > 1")
+    repeated = not many.isEmpty()
+    if out.count() <= BROADCAST_ROWS:
+        out = F.broadcast(out)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("__key"), node_of(text_col, id_col).alias("__text"))
+    kept = rows.join(out, rows["__key"].eqNullSafe(out["__id"]) & (rows["__text"] == out["__node"]), "left_anti")
+    if repeated:
+        kept = kept.dropDuplicates(["__key", "__text"])
+    return kept.select("row.*")

@@ -185,3 +185,10 @@ def pack(
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     cuts = narrow.mapInArrow(cut, PIECES)
     return cuts.withColumn("sequence_id", F.shiftleft(F.monotonically_increasing_id(), 4).bitwiseOR(F.col("bucket")))
+
+
+def packed_pieces(docs: DataFrame, **options) -> DataFrame:
+    """The sequences with their ids as a checksum."""
+    return pack(docs, **options).withColumn("ids_crc32", F.crc32("ids")).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from loofold.llm import rules, secrets, sql
 from loofold.llm.fuzzyhash import edited_and_next
 from loofold.llm.language import fold, identify, trained_on_folds
 from loofold.llm.mixing import mix
 from loofold.llm.neardup import near_duplicates
-from loofold.llm.packing import pack
+from loofold.llm.packing import packed_pieces
 from loofold.llm.registry import ORACLES, QUERIES, query, table
 from loofold.llm.scoring import scored
 from loofold.llm.substrings import without_repeats
@@ -64,10 +65,7 @@ def op6_chat_formatting(spark, folder):
 @query("op7_packing")
 def op7_packing(spark, folder):
     """Every sequence of the whole table; the ids as their checksum."""
-    packed = pack(table(spark, folder, "documents"))
-    return packed.withColumn("ids_crc32", F.crc32("ids")).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
-    )
+    return packed_pieces(table(spark, folder, "documents"))
 
 
 @query("op8_mixing", sql.MIXING)
@@ -91,3 +89,6 @@ def op10_secret_scan(spark, folder):
     docs = table(spark, folder, "documents")
     found = secrets.findings(docs, secrets.trained(docs))
     return found.select("doc_id", "nth", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
