@@ -286,53 +286,49 @@ def verified(pairs: DataFrame, nodes: DataFrame, held: DataFrame, weights: np.nd
 
 def links(nodes: DataFrame, texts: DataFrame, weights: np.ndarray, how: Settings) -> DataFrame:
     """Verified links (node, hub) between different texts, enough to connect each class."""
-    spark = nodes.sparkSession
-    entries = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    bands = nodes.select("node", F.posexplode("keys").alias("band", "more"))
+    entries = bands.select("node", F.xxhash64("more", "band").alias("key"), F.expr("shiftleft(1L, band)").alias("used"))
     sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = written_table(entries.join(sizes, "key"), "buckets")
     drawn = shared.groupBy("node").agg(F.sum("n").alias("drawn"))
-    table = written_table(shared.join(drawn, "node").select("key", "band", "node", "n", "drawn"), "buckets")
+    table = written_table(shared.join(drawn, "node").select("key", "used", "node", "n", "drawn"), "buckets")
     held = written_table(vectors(drawn.select("node").join(texts, "node").dropDuplicates(["node"]).select("node", "text"), how), "runs")
 
     good, tried = [], None
     while True:
         hubs = table.groupBy("key").agg(F.max(F.struct("drawn", "node"))["node"].alias("hub"))
-        spokes = written_table(table.join(hubs, "key").where("node != hub").select("key", "band", "node", "n", "hub"), "spokes")
+        spokes = written_table(table.join(hubs, "key").where("node != hub").select("key", "node", "n", "hub"), "spokes")
         pairs = spokes.select("node", "hub").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["node", "hub"], "left_anti")
-        found = written_table(verified(pairs, nodes, held, weights, how), "links")
-        good.append(found)
-        every = good[0]
-        for more in good[1:]:
-            every = every.unionByName(more)
-        left = written_table(spokes.join(every, ["node", "hub"], "left_anti"), "left")
-        state = left.agg(F.count("*"), F.count(F.when(F.col("n") > how.small, 1))).first()
-        if not state[0]:
-            break
-        few = left.where(F.col("n") <= how.small).select("key", "node")
-        mates = table.where(F.col("n") <= how.small).select("key", F.col("node").alias("mate")).join(hubs.withColumnRenamed("hub", "mate"), ["key", "mate"], "left_anti")
-        rest = (
-            few.join(mates, "key").where("node != mate")
-            .select(F.greatest("node", "mate").alias("node"), F.least("node", "mate").alias("hub")).distinct()
-        )
-        good.append(written_table(verified(rest, nodes, held, weights, how), "links"))
-        if not state[1]:
-            break
-        # large buckets with texts left over: members meet again under a further, later band
+        fresh = pairs if tried is None else pairs.join(tried, ["node", "hub"], "left_anti")
+        good.append(written_table(verified(fresh, nodes, held, weights, how), "links"))
+        left = written_table(spokes.join(_union(good), ["node", "hub"], "left_anti"), "left")
+        n_left, n_large = left.agg(F.count("*"), F.count(F.when(F.col("n") > how.small, 1))).first()
+        if n_left:
+            few = left.where(F.col("n") <= how.small).select("key", "node")
+            mates = spokes.where(F.col("n") <= how.small).select("key", F.col("node").alias("mate"))
+            rest = (
+                few.join(mates, "key").where("node != mate")
+                .select(F.greatest("node", "mate").alias("node"), F.least("node", "mate").alias("hub")).distinct()
+            )
+            good.append(written_table(verified(rest, nodes, held, weights, how), "links"))
+        if not n_large:
+            return _union(good)
+        # members of large buckets with texts left over, but for the centre, which all have met, meet
+        # again under each further band; where they share all bands, under the next centre
         keys = left.where(F.col("n") > how.small).select("key").distinct()
-        open_ = table.join(keys, "key").select("key", "band", "node", "drawn")
-        later = nodes.select("node", F.posexplode("keys").alias("next", "more"))
-        deeper = open_.join(later, "node").where("next > band").select(
-            F.xxhash64("key", "more").alias("key"), F.col("next").alias("band"), "node", "drawn"
-        )
+        members = table.join(keys, "key").join(hubs.withColumnRenamed("hub", "node"), ["key", "node"], "left_anti")
+        further = members.join(bands, "node").where("used & shiftleft(1L, band) = 0")
+        deeper = (
+            further.select((F.col("key").bitwiseXOR(F.xxhash64("more", "band"))).alias("key"), F.expr("used | shiftleft(1L, band)").alias("used"), "node", "drawn")
+            .unionByName(members.where(F.col("used") == (1 << how.bands) - 1).select("key", "used", "node", "drawn"))
+            .dropDuplicates(["key", "node"])
+        )
         sizes = deeper.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        table = written_table(deeper.join(sizes, "key").select("key", "band", "node", "n", "drawn"), "buckets")
-        tried = spokes.select("node", "hub").distinct() if tried is None else tried.unionByName(spokes.select("node", "hub").distinct())
-    return _union(good, spark)
+        table = written_table(deeper.join(sizes, "key").select("key", "used", "node", "n", "drawn"), "buckets")
+        tried = pairs if tried is None else tried.unionByName(pairs)
 
 
-def _union(frames: list[DataFrame], spark) -> DataFrame:
+def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)

@@ -145,7 +145,8 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Da
     results = results.select(F.col("conv_id").cast("long").alias("conv_id"), "call_id", F.col("turn").cast("long").alias("turn"), "content")
     named = calls.where("conv_id is not null and call_id is not null")
     body = F.struct("turn", "name", "arguments", F.sort_array("needs").alias("needs"))
-    first = written_table(named.groupBy(*key).agg(F.min(body).alias("call"), F.count("*").alias("copies")), "calls")
+    bodies = named.groupBy(*key, body.alias("call")).agg(F.count("*").alias("copies"))
+    first = written_table(bodies.groupBy(*key).agg(F.min("call").alias("call")), "calls")
     order = levels(first.select(*key, F.col("call.needs").alias("needs")))
     answers = (
         results.where("conv_id is not null and call_id is not null")
@@ -163,8 +164,10 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Da
         "call.name", "call.arguments", F.col("call.needs").alias("needs"), F.col("result.content").alias("content"),
     ]
     kept = met.withColumn("status", status)
+    times = F.col("copies") - F.when(F.col("call").eqNullSafe(F.col("least")), 1).otherwise(0)
     again = (
-        first.where("copies > 1").select(*key, "call", F.explode(F.sequence(F.lit(2), F.col("copies"))).alias("copy"))
+        bodies.join(first.select(*key, F.col("call").alias("least")), key).withColumn("times", times).where("times > 0")
+        .select(*key, "call", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
         .withColumns({"status": F.lit("duplicate"), "level": F.lit(None).cast("int"), "n_results": F.lit(0), "result": F.lit(None).cast("struct<turn:long,content:string>")})
     )
     alone = calls.where("conv_id is null or call_id is null").select(
