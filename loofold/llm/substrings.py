@@ -3,7 +3,7 @@
 A window is k consecutive words. Its minimiser is the least hash among the shorter runs of m
 words inside it. Consecutive windows with one minimiser travel as one packed string to the
 minimiser's bucket, so equal windows meet and each word travels about three times instead of k
-times. There windows are sorted by hash and compared word by word, and every window but those
+times. There windows are sorted by hash and their words compared, and every window but those
 of the smallest document is a repeat.
 
 The same fold runs before the shuffle over a few megabytes of documents and again in the
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loofold.llm.words import coded, slices, spread, starts, texts_of
+from loofold.llm.words import parts, release, spread, texts_of
 
 #: Text that is folded at once, and average text per bucket. Neither changes a result.
 CHUNK_BYTES = 4 << 20
@@ -45,28 +45,68 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _grown(base: int):
+    """Powers of a base, computed once for the longest array asked for."""
+    held = _powers(base, 1 << 10)
+
+    def of(n: int) -> np.ndarray:
+        nonlocal held
+        if len(held) < n:
+            held = _powers(base, max(n, 2 * len(held)))
+        return held[:n]
+
+    return of
+
+
+_up, _down = _grown(ODD), _grown(BACK)
+#: Masks that keep the lowest 0 to 8 bytes of a number.
+_LOW = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+LONG_WORD = 64
+
+
+def _word_hashes(line: bytes, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, eight bytes at a time for all words together."""
+    padded = line + b"\0" * 8
+    eights = np.ndarray((len(line),), "<u8", padded, strides=(1,))
+    out = size.astype(np.uint64)
+    at, rest = np.arange(len(begin)), size
+    for t in range(0, LONG_WORD, 8):
+        value = eights[begin[at] + t] & _LOW[np.minimum(rest - t, 8)]
+        out[at] = _mixed(out[at] * np.uint64(ODD) ^ value)
+        more = rest > t + 8
+        at, rest = at[more], rest[more]
+        if not len(at):
+            return out
+    for i in at.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(line[begin[i] : begin[i] + size[i]])
+    return out
+
+
 class Segments:
-    """Strings of words, ordered by document, with all their windows of k words."""
+    """Strings of words joined by one space, ordered by document, with all their windows of k words."""
 
     def __init__(self, texts: list[bytes], docs: np.ndarray, rows: np.ndarray, first: np.ndarray, k: int):
-        order = np.argsort(docs, kind="stable")
+        order = [i for i in np.argsort(docs, kind="stable").tolist() if texts[i]]
         self.k, self.docs, self.rows, self.first = k, docs[order], rows[order], first[order]
-        self.codes, self.words, self.bounds = coded([texts[i] for i in order])
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
-        self.hashes = hashes[self.codes]
+        self.line = b"\n".join([*map(texts.__getitem__, order), b""])
+        data = np.frombuffer(self.line, np.uint8)
+        self.ends = np.flatnonzero((data == 32) | (data == 10))
+        self.begins = np.append(0, self.ends + 1)[:-1]
+        self.bounds = np.append(0, np.flatnonzero(data[self.ends] == 10) + 1)
+        self.hashes = _word_hashes(self.line, self.begins, self.ends - self.begins)
         counts = np.maximum(np.diff(self.bounds) - k + 1, 0)
         self.at = spread(self.bounds[:-1], counts)  # where each window begins
         self.segment = np.repeat(np.arange(len(counts)), counts)
 
     def window_hashes(self) -> np.ndarray:
-        n = len(self.codes)
+        n = len(self.hashes)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hashes * _powers(ODD, n), out=sums[1:])
-        return (sums[self.at + self.k] - sums[self.at]) * _powers(BACK, n)[self.at]
+        np.cumsum(self.hashes * _up(n), out=sums[1:])
+        return _mixed((sums[self.at + self.k] - sums[self.at]) * _down(n)[self.at])
 
     def least_runs(self, m: int) -> np.ndarray:
         """Minimiser of each window: the least hash of its runs of m words."""
-        n, width = len(self.codes), self.k - m + 1
+        n, width = len(self.hashes), self.k - m + 1
         runs = np.zeros(n, np.uint64)
         for j in range(m):
             runs[: n - j] += self.hashes[j:] * np.uint64(pow(ODD, 2 * j + 1, 1 << 64))
@@ -76,24 +116,41 @@ class Segments:
             span *= 2
         return np.minimum(least[self.at], least[self.at + width - span])
 
-    def firsts(self) -> np.ndarray:
-        """For each window the first equal one; windows are in document order."""
-        _, index, group = np.unique(self.window_hashes(), return_index=True, return_inverse=True)
-        first = index[group]
-        later = np.flatnonzero(first != np.arange(len(first)))
-        step, inside = 20_000, np.arange(self.k)
-        for i in range(0, len(later), step):  # equal hashes are compared word by word
-            part = later[i : i + step]
-            same = self.codes[self.at[part, None] + inside] == self.codes[self.at[first[part], None] + inside]
-            if not same.all():
-                self._told_apart(first, np.unique(first[part[~same.all(axis=1)]]), group)
-        return first
+    def string(self, window: int, count: int = 1) -> bytes:
+        """The words of some windows that follow each other."""
+        return self.line[self.begins[self.at[window]] : self.ends[self.at[window] + count + self.k - 2]]
 
-    def _told_apart(self, first: np.ndarray, wrong: np.ndarray, group: np.ndarray) -> None:
-        for g in np.unique(group[wrong]):
+    def firsts(self) -> np.ndarray:
+        """For each window the first equal one; windows are in document order.
+
+        Hashes are sorted with the window's number in their low bits. Windows that follow each
+        other, as their firsts do, are then compared with them as one string.
+        """
+        n = len(self.at)
+        low = max(1, (n - 1).bit_length())
+        keys = (self.window_hashes() >> np.uint64(low) << np.uint64(low)) | np.arange(n, dtype=np.uint64)
+        keys.sort()
+        order = (keys & np.uint64((1 << low) - 1)).astype(np.int64)
+        keys >>= np.uint64(low)
+        head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        first = np.empty(n, np.int64)
+        first[order] = np.repeat(order[head], np.diff(np.append(head, n)))
+        later = np.flatnonzero(first != np.arange(n))
+        if not len(later):
+            return first
+        to = first[later]
+        new = (np.diff(later) != 1) | (np.diff(to) != 1) | (np.diff(self.segment[later]) != 0) | (np.diff(self.segment[to]) != 0)
+        begin = np.flatnonzero(np.append(True, new))
+        counts = np.diff(np.append(begin, len(later)))
+        wrong: set[int] = set()
+        for a, b, c in zip(later[begin].tolist(), to[begin].tolist(), counts.tolist(), strict=True):
+            if self.string(a, c) != self.string(b, c):
+                wrong.update(first[a : a + c].tolist())
+        for head_ in wrong:  # equal hashes of different words: told apart by the words
             seen: dict[bytes, int] = {}
-            for w in np.flatnonzero(group == g).tolist():
-                first[w] = seen.setdefault(self.codes[self.at[w] : self.at[w] + self.k].tobytes(), w)
+            for w in np.flatnonzero(first == head_).tolist():
+                first[w] = seen.setdefault(self.string(w), w)
+        return first
 
     def repeats(self) -> np.ndarray:
         """Whether each window also begins in a smaller document here."""
@@ -121,13 +178,10 @@ class Segments:
 
     def packed(self, begin: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[np.ndarray]]:
         """Strings of runs of windows, and their docs, rows and first words."""
-        sizes = np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1
-        places = starts(sizes[self.codes])
-        line = b" ".join([*map(self.words.__getitem__, self.codes.tolist()), b""])
-        a, b = places[self.at[begin]], places[self.at[begin] + counts + self.k - 1] - 1
+        a, b = self.begins[self.at[begin]], self.ends[self.at[begin] + counts + self.k - 2]
         seg = self.segment[begin]
         first = self.first[seg] + self.at[begin] - self.bounds[seg]
-        return [line[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], [self.docs[seg], self.rows[seg], first]
+        return [self.line[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], [self.docs[seg], self.rows[seg], first]
 
 
 PARCELS = "bucket int, kind int, size long, strings binary, meta binary"
@@ -149,9 +203,9 @@ def super_kmers(docs: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.array([LAST if x is None else x for x in batch.column(0).to_pylist()], np.int64)
-            rows, texts = batch.column(1).to_numpy(), texts_of(batch.column(2))
-            for part in slices([len(t) for t in texts], CHUNK_BYTES):
-                here = Segments(texts[part], ids[part], rows[part], np.zeros(part.stop - part.start, np.int64), k)
+            rows = batch.column(1).to_numpy()
+            for part, texts in parts(batch.column(2), CHUNK_BYTES):
+                here = Segments([b" ".join(t.split()) for t in texts], ids[part], rows[part], np.zeros(part.stop - part.start, np.int64), k)
                 repeat = here.repeats()
                 if not len(repeat):
                     continue
@@ -172,6 +226,8 @@ def super_kmers(docs: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
                     names=["bucket", "kind", "size", "strings", "meta"],
                 )
 
+        release()
+
     return docs.mapInArrow(run, PARCELS)
 
 
@@ -226,6 +282,7 @@ def counted(parcels: DataFrame, k: int) -> DataFrame:
                 held += size
         if strings and held:
             yield from folded(True)
+        release()
 
     return parcels.mapInArrow(run, SPANS)
 
