@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -28,6 +30,24 @@ def build_session(app_name: str = "loofold", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers of all executors, once per session.
+
+    Functions that run in workers import it there. ``spark-submit --py-files`` or an installed
+    wheel does the same; then, or where PYTHONPATH already leads here, nothing is sent.
+    """
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if getattr(context, "_loofold_shipped", False) or (context.master.startswith("local") and root in map(os.path.abspath, filter(None, known))):
+        return
+    folder = tempfile.mkdtemp(prefix="loofold-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = shutil.make_archive(os.path.join(folder, "loofold-package"), "zip", root, "loofold")
+    context.addPyFile(archive)  # Spark serves it to executors from the driver
+    context._loofold_shipped = True
+
+
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for intermediate tables.
 
@@ -39,6 +59,7 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="loofold-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
 
