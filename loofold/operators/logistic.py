@@ -30,6 +30,14 @@ CHUNK_CELLS = 4_000_000
 STEP_TOLERANCE = 1e-6
 """A Newton step this small leaves an error of about its square, so it is the last one."""
 MAX_PASSES = 60
+
+
+class TooManyFeatures(ValueError):
+    """More features than a dense Hessian may have."""
+
+
+class NotConverged(ValueError):
+    """A fit that did not come to rest; its weights are not given."""
 MISSING = "missing values among features or labels; impute them first"
 
 
@@ -206,7 +214,7 @@ def newton(sums_at, weights: np.ndarray, ridge: np.ndarray, anchor: np.ndarray |
 
     ``ridge`` holds the penalty of each weight. ``anchor`` is added to every Hessian, to
     fix a direction the objective does not depend on. A step that raises the objective is
-    halved. Returns the weights, the Hessians of the last pass (penalty and anchor
+    halved; a fit that still moves after MAX_PASSES raises. Returns the weights, the Hessians of the last pass (penalty and anchor
     included), the losses and the number of passes.
     """
     k, d1 = weights.shape
@@ -240,6 +248,8 @@ def newton(sums_at, weights: np.ndarray, ridge: np.ndarray, anchor: np.ndarray |
             else:
                 still.append(f)
         active = np.array(still, dtype=int)
+    if len(active):
+        raise NotConverged(f"{len(active)} of {k} fits still move after {passes} passes")
     return best, hessian, loss, passes
 
 
@@ -252,7 +262,7 @@ def fit_logistic(
     """
     d = len(features)
     if d > MAX_FEATURES:
-        raise ValueError(f"{d} features: the Hessian is dense, the limit is {MAX_FEATURES}")
+        raise TooManyFeatures(f"{d} features: the Hessian is dense, the limit is {MAX_FEATURES}")
     rows = model_rows(df, features, label)
     if start is None:
         start = mllib_start(df, features, label, c) if d > WIDE else np.zeros(d + 1)

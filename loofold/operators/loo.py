@@ -196,13 +196,17 @@ def _refit_in_batches(
 def _finish(
     base: DataFrame, key: str, refits: DataFrame | None, n_refits: int, positives: int, n: int
 ) -> DataFrame:
-    """Columns of the result; rows whose removal leaves one class get that class."""
-    eta = F.col("eta_loo")
+    """Columns of the result; rows whose removal leaves one class get that class.
+
+    ``eta`` and ``p`` are those of the refit, or null where a row was not refitted; the first
+    Newton step, which settled the class there, is ``eta_step``.
+    """
+    eta = F.lit(None).cast("double")
     refitted = F.lit(False)
     if refits is not None:
         small = F.broadcast(refits) if n_refits <= BROADCAST_ROWS else refits
         base = base.join(small, key, "left")
-        eta = F.coalesce("eta_exact", "eta_loo")
+        eta = F.col("eta_exact")
         refitted = F.col("eta_exact").isNotNull()
     lone = F.lit(False)
     if positives == 1:
@@ -218,8 +222,9 @@ def _finish(
             F.col("y").cast("int").alias("label"),
             "eta",
             F.when(lone, rest.cast("double")).otherwise(sigmoid(F.col("eta"))).alias("p"),
-            F.when(lone, rest).otherwise((F.col("eta") >= 0).cast("int")).alias("prediction"),
+            F.when(lone, rest).otherwise((F.coalesce("eta", "eta_loo") >= 0).cast("int")).alias("prediction"),
             "refitted",
+            F.when(~lone, F.col("eta_loo")).alias("eta_step"),
             F.when(lone, "single_class").otherwise("ok").alias("status"),
         )
     )
@@ -233,6 +238,7 @@ def _one_class(rows: DataFrame, key: str, label: int) -> LooResult:
         F.lit(float(label)).alias("p"),
         F.lit(label).alias("prediction"),
         F.lit(False).alias("refitted"),
+        F.lit(None).cast("double").alias("eta_step"),
         F.lit("single_class").alias("status"),
     )
     return LooResult(None, predictions, 0)
@@ -243,8 +249,9 @@ def loo_logistic(
 ) -> LooResult:
     """Left-out class of every row, for any number of rows.
 
-    ``key`` must be unique. Classes equal those of n separate refits; ``eta`` is exact
-    where ``refitted`` and the first Newton step elsewhere. After the fit there are two
+    ``key`` must be unique. Classes equal those of n separate refits; ``eta`` and ``p`` are
+    given where ``refitted`` and null elsewhere, where the step in ``eta_step`` is enough for
+    the class (``loo_exact`` gives them for every row). After the fit there are two
     more passes over the narrow model frame, and a few for refits if any; none of them
     shuffles rows. ``persist=False`` is for a frame that is cheap to read, as a table.
     """

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loofold.functions.scalars import fill_null, level_indicator, quoted, z_score
+from loofold.functions.scalars import fill_null, level_indicator, nan_to_null, quoted, z_score
 from loofold.operators.profile import distinct_counts
 
 MAX_LEVELS = 2_000
@@ -69,7 +69,7 @@ class PrepModel:
         """The column with its fill value in place of nulls."""
         c = F.col(quoted(name))
         if name in self.numeric:
-            return fill_null(c.cast("double"), F.lit(self.numeric[name].mean))
+            return fill_null(nan_to_null(c.cast("double")), F.lit(self.numeric[name].mean))
         stats = self.target_stats if name == self.target else self.categorical[name]
         return fill_null(c, F.lit(stats.median))
 
@@ -118,7 +118,7 @@ def numeric_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, NumericSta
         return {}
     parts = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(columns):
-        c = F.col(quoted(name)).cast("double")
+        c = nan_to_null(F.col(quoted(name)).cast("double"))
         parts += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}")]
     row = df.agg(*parts).first()
     stats = {}
@@ -213,9 +213,14 @@ def fit_prep(
     )
 
 
-def sparse_one_hot(df: DataFrame, columns: Sequence[str], output: str = "onehot") -> DataFrame:
+def sparse_one_hot(
+    df: DataFrame, columns: Sequence[str], output: str = "onehot", positions: str | None = None
+) -> DataFrame:
     """All levels of wide columns as one sparse vector; unseen levels and nulls are zeros.
 
+    ``positions`` names a further column: the place of each column's level in the vector, null
+    where it is unseen, without ever building the vector's zeros.
+
     The dictionary of levels is held in memory, so their number is counted first and
     refused beyond ``MAX_INDEXED``.
     """
@@ -239,7 +244,15 @@ def sparse_one_hot(df: DataFrame, columns: Sequence[str], output: str = "onehot"
             VectorAssembler(inputCols=codes, outputCol=output),
         ]
     ).fit(named)
-    return fitted.transform(named).drop(*index, *codes, *text)
+    out = fitted.transform(named)
+    if positions:
+        sizes = [len(labels) for labels in fitted.stages[0].labelsArray]
+        at = [
+            F.when(F.col(i) < n, F.col(i).cast("int") + sum(sizes[:k]))
+            for k, (i, n) in enumerate(zip(index, sizes, strict=True))
+        ]
+        out = out.withColumn(positions, F.array(*at))
+    return out.drop(*index, *codes, *text)
 
 
 def assemble(df: DataFrame, features: Sequence[str], output: str = "features") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loofold.functions.scalars import quoted
+from loofold.functions.scalars import nan_to_null, quoted
 from loofold.operators.quantiles import EXACT_ROWS, exact_percentiles
 
 PROFILE_SCHEMA = (
@@ -24,7 +24,7 @@ def column_profile(df: DataFrame, columns: Sequence[str], exact_rows: int = EXAC
     """
     parts = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(columns):
-        c = F.col(quoted(name)).cast("double")
+        c = nan_to_null(F.col(quoted(name)).cast("double"))
         parts += [
             F.count(c).alias(f"n{i}"),
             F.avg(c).alias(f"mean{i}"),
@@ -48,8 +48,11 @@ def column_profile(df: DataFrame, columns: Sequence[str], exact_rows: int = EXAC
 
 
 def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row with the number of missing values of each column."""
-    return df.agg(*[F.count_if(F.col(quoted(c)).isNull()).alias(c) for c in columns])
+    """One row with the number of missing values of each column; NaN counts as missing."""
+    types = dict(df.dtypes)
+    missing = {c: F.col(quoted(c)).isNull() for c in columns}
+    missing |= {c: missing[c] | F.isnan(quoted(c)) for c in columns if types[c] in ("double", "float")}
+    return df.agg(*[F.count_if(missing[c]).alias(c) for c in columns])
 
 
 def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

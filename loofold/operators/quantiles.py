@@ -146,29 +146,48 @@ def exact_percentiles(
     if counts is None:
         row = df.agg(*[F.count(F.col(quoted(c))).alias(f"n{i}") for i, c in enumerate(columns)]).first()
         counts = {c: row[f"n{i}"] for i, c in enumerate(columns)}
-    wanted: dict[tuple[str, float], tuple[int, int, float]] = {}
-    for c in columns:
-        n = counts[c]
-        if n == 0:
-            continue
-        for p in probabilities:
-            if interpolate:
-                position = p * (n - 1)
-                k = math.floor(position)
-                wanted[c, p] = (k + 1, min(k + 2, n), position - k)
-            else:
-                k = max(math.ceil(p * n), 1)
-                wanted[c, p] = (k, k, 0.0)
-    found = order_statistics(
-        df, [(c, k) for (c, _), (a, b, _) in wanted.items() for k in (a, b)], counts, exact_rows
-    )
-    result: dict[str, list[float | None]] = {c: [] for c in columns}
-    for c in columns:
-        for p in probabilities:
-            if (c, p) not in wanted:
-                result[c].append(None)
-                continue
-            a, b, share = wanted[c, p]
-            low, high = found[c, a], found[c, b]
-            result[c].append(low if share == 0 else low + (high - low) * share)
-    return result
+    return _percentiles(df, columns, probabilities, [interpolate], counts, exact_rows)[0]
+
+
+def exact_percentile_pairs(
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: Sequence[float],
+    counts: dict[str, int],
+    exact_rows: int = EXACT_ROWS,
+) -> list[dict[str, list[float | None]]]:
+    """Lower values and interpolated percentiles, both from one search."""
+    return _percentiles(df, columns, probabilities, [False, True], counts, exact_rows)
+
+
+def _rank(p: float, n: int, interpolate: bool) -> tuple[int, int, float]:
+    if interpolate:
+        position = p * (n - 1)
+        k = math.floor(position)
+        return k + 1, min(k + 2, n), position - k
+    k = max(math.ceil(p * n), 1)
+    return k, k, 0.0
+
+
+def _percentiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: Sequence[float],
+    kinds: Sequence[bool],
+    counts: dict[str, int],
+    exact_rows: int,
+) -> list[dict[str, list[float | None]]]:
+    wanted = {
+        (c, p, kind): _rank(p, counts[c], kind) for c in columns if counts[c] for p in probabilities for kind in kinds
+    }
+    ranks = list(dict.fromkeys((c, k) for (c, _, _), (a, b, _) in wanted.items() for k in (a, b)))
+    found = order_statistics(df, ranks, counts, exact_rows)
+
+    def value(c: str, p: float, kind: bool) -> float | None:
+        if (c, p, kind) not in wanted:
+            return None
+        a, b, share = wanted[c, p, kind]
+        low, high = found[c, a], found[c, b]
+        return low if share == 0 else low + (high - low) * share
+
+    return [{c: [value(c, p, kind) for p in probabilities] for c in columns} for kind in kinds]

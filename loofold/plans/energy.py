@@ -35,9 +35,16 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def last_reading(readings: DataFrame, value: str, ts: str, by: Sequence[str] = ("run_id",)) -> DataFrame:
-    """Newest reading of each run by timestamp, one partial aggregate per task."""
-    return readings.groupBy(*map(quoted, by)).agg(
-        F.max_by(quoted(value), quoted(ts)).alias(value), F.max(quoted(ts)).alias(ts)
+    """Newest reading of each run by timestamp, one partial aggregate per task.
+
+    Of readings with one timestamp the largest counts: what is measured only grows.
+    """
+    newest = F.max(F.struct(F.col(quoted(ts)).alias("ts"), F.col(quoted(value)).alias("value")))
+    return (
+        readings.where(F.col(quoted(ts)).isNotNull())
+        .groupBy(*map(quoted, by))
+        .agg(newest.alias("__newest"))
+        .select(*map(quoted, by), F.col("__newest.value").alias(value), F.col("__newest.ts").alias(ts))
     )
 
 

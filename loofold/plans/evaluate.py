@@ -6,17 +6,19 @@ import time
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loofold.functions.metrics import mcc_binary, mcc_multiclass
 from loofold.functions.scalars import METHOD_NONE, quoted
+from loofold.operators.logistic import NotConverged, TooManyFeatures
 from loofold.operators.loo import loo_logistic
-from loofold.operators.multiclass import kfold_multinomial
+from loofold.operators.multiclass import kfold_in_fold_prep, kfold_multinomial
 from loofold.operators.prep import AllNull, PrepModel, TooManyLevels, fit_prep
 from loofold.operators.rows import normalise_types, numeric_features, tail_rows
 from loofold.operators.softmax import TooManyWeights, loo_softmax
-from loofold.plans.ledger import ledger_rows
+from loofold.plans.ledger import append_ledger, ledger_rows
 from loofold.sources.catalog import pair_status, path_of, roles_of
 from loofold.sources.tables import read_csv, with_row_id
 
@@ -45,28 +47,66 @@ def prepare(
     return prep.transform(typed, [key], names), names, prep
 
 
-def evaluate(df: DataFrame, categorical: list[str], target: str, key: str, c: float = 1.0, folds: int = 10) -> Evaluation:
-    """Preparation on all rows, then leave-one-out. Only where classes times features are
-    too many for a dense Hessian are there ``folds`` folds instead.
+METHODS, PREPS = ("loo", "kfold"), ("all", "in_fold")
 
-    The clock covers the evaluation, not the preparation.
+
+class NotNumeric(ValueError):
+    """Feature columns that are neither numbers nor in the categorical role."""
+
+
+class NoRows(ValueError):
+    """A dataset without rows, or without a row that has a target."""
+
+
+def evaluate(
+    df: DataFrame,
+    categorical: list[str],
+    target: str,
+    key: str,
+    c: float = 1.0,
+    folds: int = 10,
+    method: str = "loo",
+    prep: str = "all",
+) -> Evaluation:
+    """Out-of-fold classes of one target by the method the caller asks for, and no other.
+
+    ``method`` is ``loo`` or ``kfold``, ``prep`` is ``all`` (statistics of all rows) or
+    ``in_fold`` (of training rows only; with ``kfold``). What cannot be done raises: a width
+    beyond a dense Hessian ``TooManyWeights``, text features ``NotNumeric``, no rows ``NoRows``.
+    The clock covers the evaluation, not the preparation, but for ``in_fold`` both.
     """
-    model, names, prep = prepare(df, categorical, target, key)
-    classes = prep.classes
+    if method not in METHODS or prep not in PREPS or (method, prep) == ("loo", "in_fold"):
+        raise ValueError(f"no evaluation by {method} with preparation {prep}")
+    if df.where(F.col(quoted(target)).isNotNull()).isEmpty():
+        raise NoRows(target)
+    text = [n for n, t in df.dtypes if t == "string" and n not in categorical and n not in (target, key)]
+    if text:
+        raise NotNumeric(", ".join(text))
+    if prep == "in_fold":
+        begun = time.monotonic()
+        typed = normalise_types(df, [*categorical, key])
+        numeric = [n for n in numeric_features(typed, categorical, target) if n != key]
+        features = [n for n in categorical if n != target]
+        predictions = kfold_in_fold_prep(typed, key, numeric, features, target, folds, c)
+        classes, n_features = [], len(numeric) + len(features)
+        return _judged(predictions, classes, n_features, begun)
+    model, names, fitted = prepare(df, categorical, target, key)
     begun = time.monotonic()
+    classes = fitted.classes
+    if method == "kfold":
+        return _judged(kfold_multinomial(model, key, names, target, folds, c), classes, len(names), begun)
     if len(classes) <= 2:
         coded = model.withColumn("__y", (F.col(quoted(target)) == F.lit(classes[-1])).cast("int"))
         predictions = loo_logistic(coded, key, names, "__y", c).predictions
         row = mcc_binary(predictions).first()
         n = row["tp"] + row["tn"] + row["fp"] + row["fn"]
-    else:
-        try:
-            predictions = loo_softmax(model, key, names, target, c).predictions
-        except TooManyWeights:
-            predictions = kfold_multinomial(model, key, names, target, folds, c)
-        row = mcc_multiclass(predictions).first()
-        n = row["n"]
-    return Evaluation(predictions, classes, row["mcc"], n, len(names), time.monotonic() - begun)
+        return Evaluation(predictions, classes, row["mcc"], n, len(names), time.monotonic() - begun)
+    return _judged(loo_softmax(model, key, names, target, c).predictions, classes, len(names), begun)
+
+
+def _judged(predictions: DataFrame, classes: list, n_features: int, begun: float) -> Evaluation:
+    row = mcc_multiclass(predictions).first()
+    return Evaluation(predictions, classes, row["mcc"], row["n"], n_features, time.monotonic() - begun)
 
 
 def preview(catalog: DataFrame, dataset: str, n: int = 5) -> DataFrame:
@@ -76,34 +116,55 @@ def preview(catalog: DataFrame, dataset: str, n: int = 5) -> DataFrame:
 
 
 def run_pairs(
-    catalog: DataFrame, pairs: DataFrame, platform: str, c: float = 1.0, folds: int = 10
+    catalog: DataFrame,
+    pairs: DataFrame,
+    platform: str,
+    c: float = 1.0,
+    folds: int = 10,
+    method: str = "loo",
+    prep: str = "all",
+    ledger: str | None = None,
 ) -> DataFrame:
     """One ledger row per request; a request that cannot run gets a status, not an error.
 
-    The loop is over requests, a handful of names; each evaluation is a set of Spark jobs.
+    With ``ledger``, a folder, each row is appended there as soon as it is done, so a run that
+    ends early keeps what it has. A dataset is read once for all its targets. The loop is over
+    requests, a handful of names; each evaluation is a set of Spark jobs.
     """
     spark = catalog.sparkSession
-    rows = []
-    for request in pair_status(pairs, catalog).orderBy("position").collect():
+    rows, staged = [], {}
+    for request in pair_status(pairs, catalog).orderBy("position").toLocalIterator():
         dataset, target = request["dataset"], request["target"]
         status, reason = request["status"], request["reason"]
         result = None
         if status == "ok":
             try:
                 roles = roles_of(catalog, dataset)
-                df = with_row_id(read_csv(spark, path_of(catalog, dataset)), "row_id")
+                if dataset not in staged:
+                    staged[dataset] = with_row_id(read_csv(spark, path_of(catalog, dataset)), "row_id")
                 marked = [name for name, role in roles.items() if role == "categorical"]
-                result = evaluate(df, marked, target, "row_id", c, folds)
+                result = evaluate(staged[dataset], marked, target, "row_id", c, folds, method, prep)
             except AllNull as e:
                 status, reason = "all_null", f"{e} has no values"
             except TooManyLevels as e:
                 status, reason = "too_many_levels", str(e)
-        rows.append(
-            (
-                dataset, target, datetime.now(timezone.utc), platform,
-                result.n_rows if result else None, result.n_features if result else None,
-                result.seconds if result else None, result.seconds * 1000.0 if result else None,
-                result.mcc if result else None, None, METHOD_NONE, status, reason,
-            )
-        )
+            except (TooManyWeights, TooManyFeatures) as e:
+                status, reason = "too_wide", str(e)
+            except NotNumeric as e:
+                status, reason = "not_numeric", f"text in {e}"
+            except NoRows as e:
+                status, reason = "no_rows", f"no row has a {e}"
+            except NotConverged as e:
+                status, reason = "not_converged", str(e)
+            except AnalysisException as e:  # the file went since it was registered
+                status, reason = "unreadable", e.getCondition() or "file"
+        row = (
+            dataset, target, datetime.now(timezone.utc), platform,
+            result.n_rows if result else None, result.n_features if result else None,
+            result.seconds if result else None, result.seconds * 1000.0 if result else None,
+            result.mcc if result else None, None, METHOD_NONE, f"{method}/{prep}", status, reason,
+        )
+        rows.append(row)
+        if ledger:
+            append_ledger(ledger_rows(spark, [row]), ledger)
     return ledger_rows(spark, rows)

@@ -15,7 +15,8 @@ from loofold.plans.energy import attach_energy
 
 LEDGER_SCHEMA = (
     "dataset string, target string, run_ts timestamp, platform string, n_rows bigint, n_features int, "
-    "time_s double, time_ms double, mcc double, energy_kwh double, method string, status string, reason string"
+    "time_s double, time_ms double, mcc double, energy_kwh double, method string, evaluation string, "
+    "status string, reason string"
 )
 
 # Column names of a results file, in order.

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from loofold.functions import metrics
 from loofold.functions.scalars import decide, sigmoid
 from loofold.operators.logistic import fit_logistic, score
-from loofold.operators.loo import kfold_logistic, loo_logistic
+from loofold.operators.loo import kfold_logistic, loo_exact, loo_logistic
 from loofold.operators.multiclass import kfold_in_fold_prep, kfold_multinomial
 from loofold.operators.prep import fit_prep
 from loofold.operators.softmax import kfold_softmax, loo_softmax
 from loofold.operators.split import key_bucket
+from loofold.plans.evaluate import evaluate
 from loofold.queries.newton_sql import MCC, SCORED, fold_bucket, newton_ctes
 from loofold.queries.registry import query, r6, table
 from loofold.session import written_table
@@ -21,24 +22,24 @@ FOLDS = 5
 TEXT = ["odd_share", "distinct_share"]
 
 
-def text_model(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, two standardised text measures, quality.
+def text_measures(spark: SparkSession, folder: str, *targets: str) -> DataFrame:
+    """doc_id, two text measures and targets of each labelled document.
 
-    The texts are read once: what later passes scan is a table of two numbers per
-    labelled document.
+    The texts are read once, and only their measures meet the labels: no text is shuffled.
+    What later passes scan is a table of a few numbers per labelled document.
     """
     words = F.split("text", " ")
     odd = F.length(F.regexp_replace("text", "[A-Za-z ]+", "")) / F.length("text")
-    labels = table(spark, folder, "labels").select("doc_id", "quality")
-    measured = written_table(
-        table(spark, folder, "documents").select("doc_id", "text").join(labels, "doc_id").select(
-            "doc_id",
-            odd.alias("odd_share"),
-            (F.size(F.array_distinct(words)) / F.size(words)).alias("distinct_share"),
-            "quality",
-        ),
-        "text-measures",
+    measures = table(spark, folder, "documents").select(
+        "doc_id", odd.alias("odd_share"), (F.size(F.array_distinct(words)) / F.size(words)).alias("distinct_share")
     )
+    labels = table(spark, folder, "labels").select("doc_id", *targets)
+    return written_table(measures.join(labels, "doc_id"), "text-measures")
+
+
+def text_model(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, the text measures standardised, quality."""
+    measured = text_measures(spark, folder, "quality")
     return fit_prep(measured, TEXT, [], "quality").transform(measured, ["doc_id"])
 
 
@@ -98,6 +99,33 @@ def loo_mcc(spark, folder):
     return metrics.mcc_binary(result.predictions).withColumn("mcc", r6("mcc"))
 
 
+@query(BY_ROW + """
+SELECT doc_id, CAST(y AS INTEGER) AS label, round(eta, 6) + 0.0 AS eta, round(1 / (1 + exp(-eta)), 6) AS p FROM o
+""")
+def loo_scores(spark, folder):
+    """Converged left-out scores: every row refitted without itself."""
+    result = loo_exact(text_model(spark, folder), "doc_id", TEXT, "quality", limit=1 << 62)
+    return result.predictions.select("doc_id", "label", r6("eta").alias("eta"), r6("p").alias("p"))
+
+
+def _ledger_sql(target: str) -> str:
+    rows = BY_ROW.replace("l.quality", f"l.{target}")
+    return f"""SELECT 'documents' AS dataset, '{target}' AS target, tp + tn + fp + fn AS n_rows, 2::INTEGER AS n_features, mcc, 'ok' AS status
+FROM ({rows} {MCC.format(labelled=LABELLED)})"""
+
+
+@query(_ledger_sql("quality") + " UNION ALL " + _ledger_sql("toxic"))
+def ledger_of_targets(spark, folder):
+    """Leave-one-out evaluation of two targets over the same measures, as ledger rows."""
+    measured = text_measures(spark, folder, "quality", "toxic")
+    rows = []
+    for target, other in (("quality", "toxic"), ("toxic", "quality")):
+        found = evaluate(measured.drop(other), [target], target, "doc_id")
+        rows.append(("documents", target, found.n_rows, found.n_features, found.mcc, "ok"))
+    schema = "dataset string, target string, n_rows bigint, n_features int, mcc double, status string"
+    return spark.createDataFrame(rows, schema).withColumn("mcc", r6("mcc"))
+
+
 @query(BY_FOLD + """
 SELECT doc_id, fold, CAST(y AS INTEGER) AS label, round(1 / (1 + exp(-eta)), 6) AS p, CAST(eta >= 0 AS INTEGER) AS prediction FROM o
 """)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loofold.operators import profile
-from loofold.operators.quantiles import exact_percentiles, lower_median, middle_median
-from loofold.queries.registry import hole, query, r6, table
+from loofold.operators.quantiles import exact_percentile_pairs, lower_median, middle_median
+from loofold.queries.registry import query, r6, table
 
 PROFILED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -23,30 +23,29 @@ FROM lineitem"""
 
 @query(
     " UNION ALL ".join(
-        _profile_sql(c, "CASE WHEN l_orderkey % 7 <> 0 THEN l_tax END" if c == "l_tax" else c) for c in PROFILED
+        _profile_sql(c, c) for c in PROFILED
     )
 )
 def column_profile(spark, folder):
-    lineitem = table(spark, folder, "lineitem").withColumn("l_tax", hole("l_orderkey", "l_tax"))
-    stats = profile.column_profile(lineitem, PROFILED)
+    stats = profile.column_profile(table(spark, folder, "lineitem"), PROFILED)
     return stats.select("column", "n", "nulls", *[r6(c).alias(c) for c in stats.columns[3:]])
 
 
 @query("""
-SELECT p_brand, quantile_disc(CASE WHEN p_partkey % 7 <> 0 THEN p_size END, 0.5) AS p_size
+SELECT p_brand, quantile_disc(p_size, 0.5) AS p_size
 FROM part GROUP BY p_brand
 """)
 def lower_median_by_level(spark, folder):
-    part = table(spark, folder, "part").withColumn("p_size", hole("p_partkey", "p_size"))
+    part = table(spark, folder, "part")
     return part.groupBy("p_brand").agg(lower_median("p_size").cast("int").alias("p_size"))
 
 
 @query("""
-SELECT p_brand, quantile_cont(CASE WHEN p_partkey % 7 <> 0 THEN p_size END, 0.5) AS p_size
+SELECT p_brand, quantile_cont(p_size, 0.5) AS p_size
 FROM part GROUP BY p_brand
 """)
 def middle_median_by_level(spark, folder):
-    part = table(spark, folder, "part").withColumn("p_size", hole("p_partkey", "p_size"))
+    part = table(spark, folder, "part")
     return part.groupBy("p_brand").agg(middle_median("p_size").alias("p_size"))
 
 
@@ -65,8 +64,7 @@ def exact_quantiles(spark, folder):
     lineitem = table(spark, folder, "lineitem")
     names = ["l_extendedprice", "l_quantity"]
     size = lineitem.agg(*[F.count(c).alias(c) for c in names]).first().asDict()
-    lower = exact_percentiles(lineitem, names, SHARES, interpolate=False, counts=size)
-    middle = exact_percentiles(lineitem, names, SHARES, counts=size)
+    lower, middle = exact_percentile_pairs(lineitem, names, SHARES, counts=size)
     values = [(c, p, lower[c][i], middle[c][i]) for c in names for i, p in enumerate(SHARES)]
     found = spark.createDataFrame(values, "column string, share double, lower double, middle double")
     return found.withColumn("middle", r6("middle"))
@@ -92,7 +90,7 @@ def distinct_counts(spark, folder):
 
 @query("""
 WITH v AS (
-  SELECT 'quality' AS "column", CASE WHEN doc_id % 7 <> 0 THEN quality END AS x FROM labels
+  SELECT 'quality' AS "column", quality AS x FROM labels
   UNION ALL SELECT 'toxic', toxic FROM labels
   UNION ALL SELECT 'n', quality + toxic FROM labels
 )
@@ -102,6 +100,6 @@ FROM v WHERE x IS NOT NULL GROUP BY "column"
 """)
 def binary_targets(spark, folder):
     labels = table(spark, folder, "labels").select(
-        hole("doc_id", "quality").alias("quality"), "toxic", (F.col("quality") + F.col("toxic")).alias("n")
+        "quality", "toxic", (F.col("quality") + F.col("toxic")).alias("n")
     )
     return profile.binary_check(labels, ["quality", "toxic", "n"])

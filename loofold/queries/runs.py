@@ -90,14 +90,13 @@ FROM b GROUP BY doc_id
 """)
 def paired_requests(spark, folder):
     """Pairs by position: lines of a document with its words, missing partners null."""
-    documents = table(spark, folder, "documents").select("doc_id", "text")
-    pairs = documents.select(
-        "doc_id", F.explode(cat.pair_up(F.split("text", "\n"), F.split("text", " "))).alias("p")
-    )
-    return pairs.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.count_if(F.col("p.target").isNull()).alias("n_defaults"),
-        F.max(F.length("p.target")).cast("bigint").alias("longest"),
+    pairs = cat.pair_up(F.split("text", "\n"), F.split("text", " "))
+    paired = table(spark, folder, "documents").select("doc_id", pairs.alias("pairs"))
+    return paired.select(
+        "doc_id",
+        F.size("pairs").cast("bigint").alias("n_pairs"),
+        F.size(F.filter("pairs", lambda p: p["target"].isNull())).cast("bigint").alias("n_defaults"),
+        F.array_max(F.transform("pairs", lambda p: F.length(p["target"]))).cast("bigint").alias("longest"),
     )
 
 
@@ -127,7 +126,7 @@ def run_labels(spark, folder):
     )
 
 
-LAST = "SELECT user_id, arg_max(value, ts) AS value, max(ts) AS ts FROM events GROUP BY user_id"
+LAST = "SELECT user_id, arg_max(value, row(ts, value)) AS value, max(ts) AS ts FROM events GROUP BY user_id"
 
 
 @query(LAST)
@@ -163,14 +162,14 @@ def energy_per_run(spark, folder):
 
 
 @query("""
-SELECT user_id, CAST(date_trunc('day', ts) AS DATE) AS day, arg_max(value, ts) AS value FROM events GROUP BY 1, 2
+SELECT user_id, CAST(date_trunc('day', ts) AS DATE) AS day, arg_max(value, row(ts, value)) AS value FROM events GROUP BY 1, 2
 """)
 def energy_stream(spark, folder):
     """The readings as a stream: newest value per run and day, stored batch by batch."""
     schema = table(spark, folder, "events").schema
     arriving = spark.readStream.schema(schema).parquet(f"{folder}/events.parquet*")
-    live = live_energy(arriving.withColumn("ts", F.col("ts").cast("timestamp")), "value", "ts", "user_id")
+    live = live_energy(arriving.withColumn("ts", F.col("ts").cast("timestamp")), "value", "ts", "user_id", idle="3650 days")
     out = scratch_folder(spark, "live-energy")
     store_live_energy(live, out, scratch_folder(spark, "live-energy-state")).awaitTermination()
     stored = spark.read.parquet(out)
-    return stored.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max_by("value", "ts").alias("value"))
+    return stored.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max(F.struct("ts", "value"))["value"].alias("value"))

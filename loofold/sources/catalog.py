@@ -81,9 +81,9 @@ def roles_of(catalog: DataFrame, dataset: str) -> dict[str, str]:
 
 def pair_up(datasets: Column, targets: Column) -> Column:
     """Array of (dataset, target) structs by position; missing targets are null."""
-    return F.transform(
-        datasets, lambda d, i: F.struct(d.alias("dataset"), F.get(targets, i).alias("target"))
-    )
+    zipped = F.arrays_zip(datasets.alias("dataset"), targets.alias("target"))
+    # each array is named once: inside a lambda its expression would run again for every element
+    return F.slice(zipped, 1, F.size(datasets))
 
 
 def pair_status(pairs: DataFrame, catalog: DataFrame, position: str = "position") -> DataFrame:

@@ -12,16 +12,25 @@ def watch_emissions(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).option("header", True).csv(folder)
 
 
-def live_energy(readings: DataFrame, value: str, ts: str, by: str = "run_id", idle: str = "1 day") -> DataFrame:
+def live_energy(readings: DataFrame, value: str, ts: str, by: str = "run_id", *, idle: str) -> DataFrame:
     """Newest reading per run. State is one row per run, dropped once a run has been idle.
 
-    The window groups by the day of the reading, so the watermark can close old state.
+    The window groups by the day of the reading, so the watermark can close old state. A
+    reading that comes more than ``idle`` after the newest is too late for its window and Spark
+    leaves it out; the caller says how late logs may be, and ``late_readings`` counts the rest.
     """
     return (
         readings.withWatermark(ts, idle)
         .groupBy(F.window(ts, "1 day"), by)
-        .agg(F.max_by(value, ts).alias(value), F.max(ts).alias(ts))
-        .select(by, value, ts)
+        .agg(F.max(F.struct(F.col(ts).alias("ts"), F.col(value).alias("value"))).alias("newest"))
+        .select(by, F.col("newest.value").alias(value), F.col("newest.ts").alias(ts))
+    )
+
+
+def late_readings(query: StreamingQuery) -> int:
+    """Readings that a finished or running query left out as too late, over its known progress."""
+    return sum(
+        int(state["numRowsDroppedByWatermark"]) for batch in query.recentProgress for state in batch["stateOperators"]
     )
 
 

@@ -60,6 +60,50 @@ def test_catalog_and_requests(spark, patients):
     assert out[3]["reason"] == "patients has no column nope"
 
 
+def csv_of(path, columns, rows):
+    return write(path, ",".join(columns) + "\n" + "".join(",".join(map(str, r)) + "\n" for r in rows))
+
+
+def test_bad_requests_keep_the_run(spark, tmp_path):
+    good = csv_of(tmp_path / "good.csv", ["a", "y"], [(i * 7 % 10, int(i * 7 % 10 > 4)) for i in range(30)])
+    text = csv_of(tmp_path / "text.csv", ["note", "y"], [(f"word{i}", i % 2) for i in range(20)])
+    wide = csv_of(tmp_path / "wide.csv", ["a", "y"], [(i % 35, i // 10) for i in range(350)])
+    empty = csv_of(tmp_path / "empty.csv", ["a", "y"], [])
+    gone = csv_of(tmp_path / "gone.csv", ["a", "y"], [(1, 0)])
+    files = {"good": good, "text": text, "wide": wide, "empty": empty, "gone": gone}
+    listed = catalog.register(spark, files, {**dict.fromkeys(files, ["y"]), "wide": ["a", "y"]}).persist()
+    listed.count()
+    os.remove(gone)
+    names = ["text", "wide", "empty", "gone", "good"]
+    pairs = spark.createDataFrame([(i, n, None) for i, n in enumerate(names)], "position int, dataset string, target string")
+    from loofold.operators import softmax
+
+    old, softmax.MAX_WEIGHTS = softmax.MAX_WEIGHTS, 100
+    try:
+        out = evaluate.run_pairs(listed, pairs, "linux", ledger=str(tmp_path / "ledger")).collect()
+    finally:
+        softmax.MAX_WEIGHTS = old
+    assert [r["status"] for r in out] == ["not_numeric", "too_wide", "no_rows", "unreadable", "ok"]
+    assert all(r["evaluation"] == "loo/all" and (r["mcc"] is None) == (r["status"] != "ok") for r in out)
+    assert spark.read.parquet(str(tmp_path / "ledger")).count() == 5
+    for method, prep in (("kfold", "all"), ("kfold", "in_fold")):
+        row = evaluate.run_pairs(listed, pairs.where("position = 4"), "linux", folds=3, method=method, prep=prep).first()
+        assert row["status"] == "ok" and row["evaluation"] == f"{method}/{prep}" and row["n_rows"] == 30
+    with pytest.raises(ValueError, match="in_fold"):
+        evaluate.evaluate(spark.range(1), [], "y", "id", prep="in_fold")
+
+
+def test_pairs_of_long_texts_take_linear_time(spark):
+    import time
+
+    text = "\n".join(f"line {i}" for i in range(8000))
+    df = spark.createDataFrame([(text,)] * 4, "text string")
+    begun = time.monotonic()
+    pairs = df.select(catalog.pair_up(F.split("text", "\n"), F.split("text", " ")).alias("p")).selectExpr("size(p) as n", "p[7999].dataset as d")
+    assert {tuple(r) for r in pairs.collect()} == {(8000, "line 7999")}
+    assert time.monotonic() - begun < 5
+
+
 def test_measured_runs(spark):
     rows = ledger_of(spark, 0.5)
     reading = spark.createDataFrame([("d", "t", 7.2e9, "mJ")], "dataset string, target string, e double, unit string")
@@ -71,9 +115,9 @@ def test_measured_runs(spark):
 def ledger_of(spark, *mccs):
     return ledger.ledger_rows(
         spark,
-        [("d", "t", datetime(2024, 5, 1 + i), "linux", 10, 2, 1.5, 1500.0, m, None, "None", "ok", None)
+        [("d", "t", datetime(2024, 5, 1 + i), "linux", 10, 2, 1.5, 1500.0, m, None, "None", "loo/all", "ok", None)
          for i, m in enumerate(mccs)]
-        + [("bad", None, datetime(2024, 5, 1), "linux", *[None] * 6, "None", "missing_source", "no file")],
+        + [("bad", None, datetime(2024, 5, 1), "linux", *[None] * 6, "None", "loo/all", "missing_source", "no file")],
     )
 
 
@@ -142,7 +186,7 @@ def test_live_energy(spark, tmp_path):
     schema = "run_id string, ts timestamp, kwh double"
 
     def drain():
-        live = readings.live_energy(readings.watch_emissions(spark, str(logs), schema), "kwh", "ts")
+        live = readings.live_energy(readings.watch_emissions(spark, str(logs), schema), "kwh", "ts", idle="30 days")
         readings.store_live_energy(live, out, state).awaitTermination()
 
     write(logs / "1.csv", "run_id,ts,kwh\na,2024-01-01 00:00:01,0.5\nb,2024-01-01 00:00:02,2\n")
@@ -154,6 +198,21 @@ def test_live_energy(spark, tmp_path):
     assert newest == {"a": 0.75, "b": 2.0} and stored.count() == 3
 
 
+def test_late_and_equal_readings(spark, tmp_path):
+    logs, out, state = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "state")
+    logs.mkdir()
+    late = []
+    for i, line in enumerate(["a,2024-03-01 00:00:00,1", "b,2024-01-01 00:00:00,2", "a,2024-03-01 00:00:00,3"]):
+        write(logs / f"{i}.csv", f"run_id,ts,kwh\n{line}\n")
+        live = readings.live_energy(readings.watch_emissions(spark, str(logs), "run_id string, ts timestamp, kwh double"), "kwh", "ts", idle="7 days")
+        query = readings.store_live_energy(live, out, state)
+        query.awaitTermination()
+        late.append(readings.late_readings(query))
+    assert late == [0, 1, 0]
+    newest = {r["run_id"]: r["kwh"] for r in energy.last_reading(spark.read.parquet(out), "kwh", "ts").collect()}
+    assert newest == {"a": 3.0}
+
+
 def test_predictions_without_index(spark, tmp_path):
     path = str(tmp_path / "p")
     tables.write_predictions(tables.literal_table(spark, {"id": [1, 2], "y": [0.5, 1.5]}), path)
