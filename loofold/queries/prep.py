@@ -156,86 +156,6 @@ def sparse_one_hot(spark, folder):
     return encoded.select("p_partkey", F.get("at", F.lit(0)).alias("brand_at"), F.get("at", F.lit(1)).alias("type_at"))
 
 
-@query("""
-WITH f AS (
-  SELECT l_orderkey, l_linenumber, l_partkey, l_quantity,
-         coalesce(CASE WHEN l_orderkey % 7 <> 0 THEN l_extendedprice END,
-                  (SELECT avg(l_extendedprice) FROM lineitem WHERE l_orderkey % 7 <> 0)) AS price
-  FROM lineitem),
-s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(price) AS mp, stddev_pop(price) AS sp FROM f)
-SELECT l_orderkey, l_linenumber, l_partkey, round((l_quantity - mq) / sq, 6) + 0.0 AS l_quantity,
-       round((price - mp) / sp, 6) + 0.0 AS l_extendedprice
-FROM f, s
-""")
-def zscore(spark, folder):
-    lineitem = table(spark, folder, "lineitem").select(
-        *ITEM, "l_quantity", hole("l_orderkey", "l_extendedprice").alias("l_extendedprice")
-    )
-    columns = ["l_quantity", "l_extendedprice"]
-    scaled = prep.fit_prep(lineitem, columns, []).transform(lineitem, ITEM)
-    return scaled.select(*ITEM, *[r6(c).alias(c) for c in columns])
-
-
-@query("""
-SELECT c_custkey, coalesce((length(c_name) - m) / nullif(s, 0), 0.0) AS flat
-FROM customer, (SELECT avg(length(c_name)) AS m, stddev_pop(length(c_name)) AS s FROM customer)
-""")
-def zero_variance(spark, folder):
-    """Names of customers are equally long in the tables, so their length has no spread."""
-    names = table(spark, folder, "customer").select("c_custkey", F.length("c_name").alias("flat"))
-    return prep.fit_prep(names, ["flat"], []).transform(names, ["c_custkey"])
-
-
-@query("""
-WITH v AS (SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN NULL ELSE value END AS value FROM events)
-SELECT event_id, round(coalesce(value, (SELECT avg(value) FROM v)), 6) AS value FROM v
-""")
-def impute_nan(spark, folder):
-    """NaNs and nulls alike are filled by the mean of the others."""
-    nan = F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).when(F.col("event_id") % 7 != 0, F.col("value"))
-    events = table(spark, folder, "events").select("event_id", nan.alias("value"))
-    return prep.fit_prep(events, ["value"], []).impute(events).withColumn("value", r6("value"))
-
-
-@query("""
-SELECT l_orderkey, l_linenumber, l_partkey,
-       CAST(l_returnflag = 'A' AS DOUBLE) AS "l_returnflag_A", CAST(l_returnflag = 'N' AS DOUBLE) AS "l_returnflag_N",
-       CAST(l_returnflag = 'R' AS DOUBLE) AS "l_returnflag_R", CAST(l_linestatus = 'F' AS DOUBLE) AS "l_linestatus_F",
-       CAST(l_linestatus = 'O' AS DOUBLE) AS "l_linestatus_O"
-FROM lineitem
-""")
-def one_hot(spark, folder):
-    lineitem = table(spark, folder, "lineitem")
-    return prep.fit_prep(lineitem, [], ["l_returnflag", "l_linestatus"]).transform(lineitem, ITEM)
-
-
-@query("""
-SELECT event_id, CAST(event_type = 'click' AS DOUBLE) AS event_type_click,
-       CAST(event_type = 'purchase' AS DOUBLE) AS event_type_purchase, CAST(event_type = 'view' AS DOUBLE) AS event_type_view
-FROM events
-""")
-def one_hot_unknown(spark, folder):
-    """Levels learnt where there was no error or signup; those two become all zeros."""
-    events = table(spark, folder, "events")
-    seen = events.where(~F.col("event_type").isin("error", "signup"))
-    return prep.fit_prep(seen, [], ["event_type"]).transform(events, ["event_id"])
-
-
-@query("""
-WITH levels AS (SELECT p_brand, dense_rank() OVER (ORDER BY p_brand) - 1 AS at FROM (SELECT DISTINCT p_brand FROM part)),
-n AS (SELECT count(*) AS n FROM levels),
-types AS (SELECT p_type, dense_rank() OVER (ORDER BY p_type) - 1 AS at FROM (SELECT DISTINCT p_type FROM part))
-SELECT p_partkey, CAST(levels.at AS INTEGER) AS brand_at, CAST(n.n + types.at AS INTEGER) AS type_at
-FROM part JOIN levels USING (p_brand) JOIN types USING (p_type), n
-""")
-def sparse_one_hot(spark, folder):
-    part = table(spark, folder, "part").select("p_partkey", "p_brand", "p_type")
-    encoded = prep.sparse_one_hot(part, ["p_brand", "p_type"]).withColumn("at", vector_to_array("onehot"))
-    position = F.transform("at", lambda x, i: F.when(x == 1.0, i))
-    hits = F.array_compact(position)
-    return encoded.select("p_partkey", F.get(hits, F.lit(0)).alias("brand_at"), F.get(hits, F.lit(1)).alias("type_at"))
-
-
 @query("""
 WITH f AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag, l_linestatus,
