@@ -94,8 +94,8 @@ def with_targets(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     if held <= BROADCAST_BYTES:
         return sizes.join(F.broadcast(targets), same).drop("__source")
     salts = 16
-    salted = sizes.withColumn("__salt", F.pmod(F.xxhash64(*sizes.columns), F.lit(salts)))
-    copies = targets.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    salted = sizes.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(salts)))
+    copies = targets.withColumn("__copy", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
     return salted.join(copies, same & (F.col("__salt") == F.col("__copy"))).drop("__source", "__salt", "__copy")
 
 

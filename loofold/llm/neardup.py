@@ -6,7 +6,8 @@ hash so that two texts agree with probability equal to their weighted Jaccard si
 of draws are bucket keys. In each bucket the texts are linked to the one that shares most
 buckets with others, and a link counts if the weighted Jaccard of the whole texts reaches the
 threshold. Texts that a bucket's centre does not explain go on: small buckets compare them with
-every member, large ones are divided by a second band, and so on, so no bucket needs a cap.
+every member, larger ones with those next to them in orders by the other bands, so no bucket
+needs a cap and none is compared pair by pair.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loofold.llm.components import components
@@ -47,6 +48,7 @@ class Settings:
     rows: int = 3
     rarity: float = 0.25
     small: int = 8  # members up to which a bucket compares all that are left over
+    turns: tuple[int, ...] = (1, 5)  # further bands by which larger buckets are ordered
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -286,46 +288,47 @@ def verified(pairs: DataFrame, nodes: DataFrame, held: DataFrame, weights: np.nd
 
 def links(nodes: DataFrame, texts: DataFrame, weights: np.ndarray, how: Settings) -> DataFrame:
     """Verified links (node, hub) between different texts, enough to connect each class."""
-    bands = nodes.select("node", F.posexplode("keys").alias("band", "more"))
-    entries = bands.select("node", F.xxhash64("more", "band").alias("key"), F.expr("shiftleft(1L, band)").alias("used"))
+    entries = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = written_table(entries.join(sizes, "key"), "buckets")
     drawn = shared.groupBy("node").agg(F.sum("n").alias("drawn"))
-    table = written_table(shared.join(drawn, "node").select("key", "used", "node", "n", "drawn"), "buckets")
+    table = written_table(shared.join(drawn, "node"), "buckets")
     held = written_table(vectors(drawn.select("node").join(texts, "node").dropDuplicates(["node"]).select("node", "text"), how), "runs")
 
-    good, tried = [], None
-    while True:
-        hubs = table.groupBy("key").agg(F.max(F.struct("drawn", "node"))["node"].alias("hub"))
-        spokes = written_table(table.join(hubs, "key").where("node != hub").select("key", "node", "n", "hub"), "spokes")
-        pairs = spokes.select("node", "hub").distinct()
-        fresh = pairs if tried is None else pairs.join(tried, ["node", "hub"], "left_anti")
-        good.append(written_table(verified(fresh, nodes, held, weights, how), "links"))
-        left = written_table(spokes.join(_union(good), ["node", "hub"], "left_anti"), "left")
-        n_left, n_large = left.agg(F.count("*"), F.count(F.when(F.col("n") > how.small, 1))).first()
-        if n_left:
-            few = left.where(F.col("n") <= how.small).select("key", "node")
-            mates = spokes.where(F.col("n") <= how.small).select("key", F.col("node").alias("mate"))
-            rest = (
-                few.join(mates, "key").where("node != mate")
-                .select(F.greatest("node", "mate").alias("node"), F.least("node", "mate").alias("hub")).distinct()
-            )
-            good.append(written_table(verified(rest, nodes, held, weights, how), "links"))
-        if not n_large:
-            return _union(good)
-        # members of large buckets with texts left over, but for the centre, which all have met, meet
-        # again under each further band; where they share all bands, under the next centre
-        keys = left.where(F.col("n") > how.small).select("key").distinct()
-        members = table.join(keys, "key").join(hubs.withColumnRenamed("hub", "node"), ["key", "node"], "left_anti")
-        further = members.join(bands, "node").where("used & shiftleft(1L, band) = 0")
-        deeper = (
-            further.select((F.col("key").bitwiseXOR(F.xxhash64("more", "band"))).alias("key"), F.expr("used | shiftleft(1L, band)").alias("used"), "node", "drawn")
-            .unionByName(members.where(F.col("used") == (1 << how.bands) - 1).select("key", "used", "node", "drawn"))
-            .dropDuplicates(["key", "node"])
-        )
-        sizes = deeper.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        table = written_table(deeper.join(sizes, "key").select("key", "used", "node", "n", "drawn"), "buckets")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+    hubs = table.groupBy("key").agg(F.max(F.struct("drawn", "node"))["node"].alias("hub"))
+    spokes = written_table(table.join(hubs, "key").where("node != hub").select("key", "band", "node", "n", "hub"), "spokes")
+    first = written_table(verified(spokes.select("node", "hub").distinct(), nodes, held, weights, how), "links")
+    left = written_table(spokes.join(first, ["node", "hub"], "left_anti").select("key", "node", "n"), "left")
+    if left.isEmpty():
+        return first
+    small = left.where(F.col("n") <= how.small).select("key", "node")
+    mates = spokes.where(F.col("n") <= how.small).select("key", F.col("node").alias("mate"))
+    near = _neighbours(spokes.where(F.col("n") > how.small), left, nodes, how)
+    pairs = small.join(mates, "key").where("node != mate").select("node", "mate").unionByName(near)
+    pairs = pairs.select(F.greatest("node", "mate").alias("node"), F.least("node", "mate").alias("hub")).distinct()
+    return _union([first, written_table(verified(pairs, nodes, held, weights, how), "links")])
+
+
+def _neighbours(members: DataFrame, left: DataFrame, nodes: DataFrame, how: Settings) -> DataFrame:
+    """node and mate: each text left over in a large bucket and those beside it in two orders.
+
+    Members of a bucket that share a further band are ordered by their remaining bands, so
+    those that agree on most stand together. Work and rows grow with the members, not their
+    pairs.
+    """
+    open_keys = left.where(F.col("n") > how.small).select("key").distinct()
+    marked = members.join(open_keys, "key").join(
+        left.select("key", "node", F.lit(True).alias("open")), ["key", "node"], "left"
+    ).join(nodes.select("node", "keys"), "node")
+    turned = marked.withColumn("turn", F.explode(F.array(*map(F.lit, how.turns)))).withColumn(
+        "turn", F.pmod(F.col("band") + F.col("turn"), F.lit(how.bands))
+    )
+    order = F.concat(F.slice("keys", F.col("turn") + 1, F.lit(how.bands)), F.slice("keys", F.lit(1), F.col("turn")))
+    rows = turned.select("key", "node", "open", "turn", order.alias("order"))
+    beside = Window.partitionBy("key", "turn", F.get("order", F.lit(0))).orderBy("order", "node")
+    mates = [f("node", i).over(beside) for f in (F.lag, F.lead) for i in (1, 2)]
+    found = rows.withColumn("mates", F.array(*mates)).where("open").select("node", F.explode("mates").alias("mate"))
+    return found.where("mate is not null").distinct()
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
