@@ -15,6 +15,10 @@ import numpy as np
 from loofold.llm.words import spread, starts
 
 
+#: Tokens whose logits are worked on at once.
+CACHED = 256
+
+
 @dataclass(frozen=True)
 class Shape:
     """Sizes of the model and of its fit; ``window`` tokens see each other, ``stride`` are scored."""
@@ -218,8 +222,10 @@ def log_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray, end: i
         at, row = at[use], seen[:, past:].ravel()[use]
         g = g.reshape(-1, shape.width)[use]
         g *= np.minimum(1, 60 / (np.sqrt((g * g).sum(axis=1)) * reach + 1e-6))[:, None]  # exp stays finite
-        lift = g @ model.weights["top"]
-        goal = lift[np.arange(len(at)), classes[at]] + model.prior[row, classes[at]]
-        np.exp(lift, out=lift)
-        out[at] += goal - np.log(np.einsum("ij,ij->i", lift, share[row]))
+        for j in range(0, len(at), CACHED):  # logits stay in the processor's cache
+            here = slice(j, j + CACHED)
+            lift, goal = g[here] @ model.weights["top"], classes[at[here]]
+            own = lift[np.arange(len(goal)), goal] + model.prior[row[here], goal]
+            np.exp(lift, out=lift)
+            out[at[here]] += own - np.log(np.einsum("ij,ij->i", lift, share[row[here]]))
     return out

@@ -10,6 +10,7 @@ its own discounted frequency, whose discount also goes to attention.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,9 @@ DISCOUNT, ATTENTION = 0.75, 0.5
 
 TOKENIZER = "byte_bpe_50k.json"
 _tokenizers: dict[str, tuple] = {}
+#: Ids of words that a worker has seen, up to so many; bounds memory only.
+_known: dict[str, dict[bytes, array]] = {}
+KEPT_WORDS = 150_000
 
 
 def subwords(tokenizer: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -43,21 +47,22 @@ def subwords(tokenizer: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray
         names = full.get_vocab(with_added_tokens=True)
         _tokenizers[tokenizer] = full, names["<|endoftext|>"], max(names.values()) + 1
     full, end, _ = _tokenizers[tokenizer]
-    sizes, ids = np.zeros(len(words), np.int64), []
-    plain = [i for i, w in enumerate(words) if w.isalpha()]  # ASCII letters: one run, known to the model as it is
-    for i in plain:
-        found = [t.id for t in full.model.tokenize("Ġ" + words[i].decode())]
-        sizes[i] = len(found)
-        ids.append((i, found))
-    other = [i for i, w in enumerate(words) if not w.isalpha()]
+    known = _known.setdefault(tokenizer, {})
+    if len(known) > KEPT_WORDS:
+        known.clear()
+    new = [w for w in words if w not in known]
+    for w in new:
+        if w.isalpha():  # ASCII letters: one run, known to the model as it is
+            known[w] = array("I", [t.id for t in full.model.tokenize("Ġ" + w.decode())])
+    other = [w for w in new if not w.isalpha()]
     for begin in range(0, len(other), 2000):
         part = other[begin : begin + 2000]
-        texts = [" " + words[i].decode("utf-8", "replace") for i in part]
-        for i, e in zip(part, full.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            sizes[i] = len(e.ids)
-            ids.append((i, e.ids))
-    ids.sort(key=lambda x: x[0])
-    return sizes, np.array([t for _, x in ids for t in x], np.int64), end
+        texts = [" " + w.decode("utf-8", "replace") for w in part]
+        for w, e in zip(part, full.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            known[w] = array("I", e.ids)
+    found = [known[w] for w in words]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return sizes, np.frombuffer(b"".join(found), np.uint32).astype(np.int64), end
 
 
 def vocabulary_size(tokenizer: str) -> tuple[int, int]:
