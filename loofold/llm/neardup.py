@@ -5,9 +5,9 @@ text and by how rare it is in the corpus. Improved consistent weighted sampling
 hash so that two texts agree with probability equal to their weighted Jaccard similarity. Bands
 of draws are bucket keys. In each bucket the texts are linked to the one that shares most
 buckets with others, and a link counts if the weighted Jaccard of the whole texts reaches the
-threshold. Texts that a bucket's centre does not explain go on: small buckets compare them with
-every member, larger ones with those next to them in orders by the other bands, so no bucket
-needs a cap and none is compared pair by pair.
+threshold. Texts that are then not connected to a bucket's centre are compared with every member
+they are not connected to: in a join in small buckets, by their draws and block by block in
+larger ones, those most alike first. No bucket has a cap.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ FREQUENCY_BITS = 18
 FREQUENCY_PARTS = 64
 #: Rows of an id and a digest that may be broadcast: at most 64 MB.
 BROADCAST_ROWS = 500_000
+#: Texts of a large bucket that meet as many others in one group.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -47,8 +49,7 @@ class Settings:
     bands: int = 12
     rows: int = 3
     rarity: float = 0.25
-    small: int = 8  # members up to which a bucket compares all that are left over
-    turns: tuple[int, ...] = (1, 5)  # further bands by which larger buckets are ordered
+    small: int = 8  # members up to which a bucket is compared in a join, else block by block
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -298,37 +299,80 @@ def links(nodes: DataFrame, texts: DataFrame, weights: np.ndarray, how: Settings
     hubs = table.groupBy("key").agg(F.max(F.struct("drawn", "node"))["node"].alias("hub"))
     spokes = written_table(table.join(hubs, "key").where("node != hub").select("key", "band", "node", "n", "hub"), "spokes")
     first = written_table(verified(spokes.select("node", "hub").distinct(), nodes, held, weights, how), "links")
-    left = written_table(spokes.join(first, ["node", "hub"], "left_anti").select("key", "node", "n"), "left")
-    if left.isEmpty():
+    if spokes.join(first, ["node", "hub"], "left_anti").isEmpty():
         return first
-    small = left.where(F.col("n") <= how.small).select("key", "node")
-    mates = spokes.where(F.col("n") <= how.small).select("key", F.col("node").alias("mate"))
-    near = _neighbours(spokes.where(F.col("n") > how.small), left, nodes, how)
-    pairs = small.join(mates, "key").where("node != mate").select("node", "mate").unionByName(near)
-    pairs = pairs.select(F.greatest("node", "mate").alias("node"), F.least("node", "mate").alias("hub")).distinct()
-    return _union([first, written_table(verified(pairs, nodes, held, weights, how), "links")])
+    found = [first]
+    for whole in (False, True):  # near mates first, so that few pairs are left for the whole comparison
+        members = written_table(_unlike(table.join(hubs, "key"), components(_union(found), "node", "hub")), "unlike")
+        pairs = _across(members.where(F.col("n") > how.small), nodes, how, whole)
+        if not whole:
+            few = members.where(F.col("n") <= how.small)
+            mates = few.select("key", F.col("node").alias("mate"), F.col("root").alias("other"), F.col("left").alias("mate_left"))
+            few = few.where("left").join(mates, "key").where("root != other and (not mate_left or node < mate)")
+            pairs = pairs.unionByName(few.select("node", "mate"))
+        pairs = pairs.select(F.greatest("node", "mate").alias("node"), F.least("node", "mate").alias("hub")).distinct()
+        found.append(written_table(verified(pairs, nodes, held, weights, how), "links"))
+    return _union(found)
+
+
+def _unlike(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the buckets whose texts are not all connected, without the hubs.
+
+    root names what a text is connected to, left whether that is something else than the hub.
+    """
+    roots = roots.select("node", "root")
+    named = members.join(roots, "node", "left").join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
+    named = named.withColumn("root", F.coalesce("root", "node"))
+    marked = named.withColumn("left", F.col("root") != F.coalesce("hub_root", "hub"))
+    marked = marked.select("key", "band", "node", "n", "root", "left").where("node != hub")
+    return marked.join(marked.where("left").select("key").distinct(), "key")
 
 
-def _neighbours(members: DataFrame, left: DataFrame, nodes: DataFrame, how: Settings) -> DataFrame:
-    """node and mate: each text left over in a large bucket and those beside it in two orders.
+def _across(members: DataFrame, nodes: DataFrame, how: Settings, whole: bool) -> DataFrame:
+    """node and mate: texts of one bucket that are not connected and whose draws are alike.
 
-    Members of a bucket that share a further band are ordered by their remaining bands, so
-    those that agree on most stand together. Work and rows grow with the members, not their
-    pairs.
+    Each text left over meets every member of its bucket, in blocks of about BLOCK by BLOCK, so
+    a bucket is spread over many tasks. If not ``whole``, only the most alike of each block is
+    given. A pair is given in the first band that it shares.
     """
-    open_keys = left.where(F.col("n") > how.small).select("key").distinct()
-    marked = members.join(open_keys, "key").join(
-        left.select("key", "node", F.lit(True).alias("open")), ["key", "node"], "left"
-    ).join(nodes.select("node", "keys"), "node")
-    turned = marked.withColumn("turn", F.explode(F.array(*map(F.lit, how.turns)))).withColumn(
-        "turn", F.pmod(F.col("band") + F.col("turn"), F.lit(how.bands))
+    sizes = members.groupBy("key").agg(
+        F.ceil(F.count_if("left") / BLOCK).cast("int").alias("across"), F.ceil(F.count("*") / BLOCK).cast("int").alias("down")
     )
-    order = F.concat(F.slice("keys", F.col("turn") + 1, F.lit(how.bands)), F.slice("keys", F.lit(1), F.col("turn")))
-    rows = turned.select("key", "node", "open", "turn", order.alias("order"))
-    beside = Window.partitionBy("key", "turn", F.get("order", F.lit(0))).orderBy("order", "node")
-    mates = [f("node", i).over(beside) for f in (F.lag, F.lead) for i in (1, 2)]
-    found = rows.withColumn("mates", F.array(*mates)).where("open").select("node", F.explode("mates").alias("mate"))
-    return found.where("mate is not null").distinct()
+    rows = members.join(sizes, "key").join(nodes, "node")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = ["key", "band", "node", "root", "left", "draws", "keys"]
+    sides = rows.where("left").select(*kept, F.lit(True).alias("first"), block("across").alias("x"), every("down").alias("y")).unionByName(
+        rows.select(*kept, F.lit(False).alias("first"), every("across").alias("x"), block("down").alias("y"))
+    )
+    least = (how.similarity - 0.3) * how.bands * how.rows - 1e-9
+
+    def run(table: pa.Table) -> pa.Table:
+        first = table.column("first").to_numpy(zero_copy_only=False)
+        at, to = np.flatnonzero(first), np.flatnonzero(~first)
+        names, roots = (np.array(table.column(c).to_pylist(), object) for c in ("node", "root"))
+        none = pa.table({"node": pa.array([], pa.string()), "mate": pa.array([], pa.string())})
+        if not len(at) or not len(to):
+            return none
+        left = table.column("left").to_numpy(zero_copy_only=False)
+        draws = np.frombuffer(b"".join(table.column("draws").to_pylist()), "<u4").reshape(len(names), -1)
+        keys = np.array(table.column("keys").to_pylist(), np.int64)
+        alike = np.zeros((len(at), len(to)), np.int16)
+        for i in range(draws.shape[1]):
+            alike += draws[at, i][:, None] == draws[to, i]
+        use = (alike >= least) & (roots[at][:, None] != roots[to]).astype(bool)
+        for i in range(table.column("band")[0].as_py()):
+            use &= keys[at, i][:, None] != keys[to, i]
+        if whole:
+            x, y = np.nonzero(use & (~left[to] | (names[at][:, None] < names[to]).astype(bool)))
+        else:
+            alike = np.where(use, alike, -1)
+            y = alike.argmax(axis=1)
+            x = np.flatnonzero(alike[np.arange(len(at)), y] >= 0)
+            y = y[x]
+        return pa.table({"node": pa.array(names[at[x]], pa.string()), "mate": pa.array(names[to[y]], pa.string())})
+
+    return sides.groupBy("key", "x", "y").applyInArrow(run, "node string, mate string")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

@@ -255,6 +255,18 @@ def test_large_mixed_bucket(make, monkeypatch):
     assert sorted(map(tuple, found), key=repr) == brute_classes(rows, how, neardup.frequencies(docs.select("text"), how))
 
 
+def test_twins_over_one_template(make):
+    """Pairs of near copies in buckets of hundreds that share a template and are unlike each other."""
+    how = neardup.Settings()
+    rows = []
+    for g in range(250):
+        own = prose(150, 7) + " " + " ".join(f"g{g}w{j}" for j in range(46))
+        rows += [(2 * g, own), (2 * g + 1, edited(own, [10 + g % 30, 60 + g % 50, 120], f"e{g}"))]
+    docs = make(rows)
+    found = neardup.near_duplicates(docs, how).select("doc_id", "class_id", "class_size").collect()
+    assert sorted(map(tuple, found), key=repr) == brute_classes(rows, how, neardup.frequencies(docs.select("text"), how))
+
+
 def test_consistent_samples_estimate_similarity():
     rng = np.random.default_rng(0)
     runs = rng.integers(1 << 48, size=400).astype(np.uint64)
