@@ -32,6 +32,7 @@ class Shape:
     steps: int = 1000
     batch: int = 128
     rate: float = 6e-3
+    pass_rate: float = 6e-4  # of the pass over all training texts
     seed: int = 3
 
 
@@ -187,18 +188,41 @@ def fitted(model: Model, sequences: list[np.ndarray], end: int) -> Model:
     inputs, targets = network_inputs(model, ids, lengths, place, end), model.class_of[ids]
     scored = place[:, shape.window - shape.stride :]
     goals = np.where(scored >= 0, targets[np.maximum(scored, 0)], -1)
-    first = {k: np.zeros_like(x) for k, x in w.items()}
-    second = {k: np.zeros_like(x) for k, x in w.items()}
+    adam = Adam(w)
     for step in range(1, shape.steps + 1):
         pick = rng.integers(len(place), size=shape.batch)
         _, d = gradient(w, model.prior, inputs[pick], goals[pick], shape, mask)
-        rate = shape.rate * min(1.0, 10 * step / shape.steps, 0.05 + 1.5 * (1 - step / shape.steps))
+        adam.step(w, d, shape.rate * min(1.0, 10 * step / shape.steps, 0.05 + 1.5 * (1 - step / shape.steps)))
+    return model
+
+
+class Adam:
+    def __init__(self, w: dict[str, np.ndarray]):
+        self.first, self.second = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+        self.steps = 0
+
+    def step(self, w: dict[str, np.ndarray], d: dict[str, np.ndarray], rate: float) -> None:
+        self.steps += 1
         for k, x in w.items():
-            first[k] += np.float32(0.1) * (d[k] - first[k])
-            second[k] += np.float32(0.01) * (d[k] ** 2 - second[k])
-            one, two = first[k] / (1 - 0.9**step), second[k] / (1 - 0.99**step)
+            self.first[k] += np.float32(0.1) * (d[k] - self.first[k])
+            self.second[k] += np.float32(0.01) * (d[k] ** 2 - self.second[k])
+            one, two = self.first[k] / (1 - 0.9**self.steps), self.second[k] / (1 - 0.99**self.steps)
             x -= (rate * one / (np.sqrt(two) + 1e-8)).astype(np.float32)
-    return model
+
+
+def passed(model: Model, ids: np.ndarray, lengths: np.ndarray, end: int) -> dict[str, np.ndarray]:
+    """What one pass over all windows of some sequences, which hold their ends, changes in the weights."""
+    shape, mask = model.shape, _mask(model.shape)
+    w = {k: x.copy() for k, x in model.weights.items()}
+    place, _ = windows(lengths, shape)
+    place = place[np.random.default_rng(shape.seed).permutation(len(place))]
+    inputs, targets, adam = network_inputs(model, ids, lengths, place, end), model.class_of[ids], Adam(w)
+    for i in range(0, len(place), shape.batch):
+        scored = place[i : i + shape.batch, shape.window - shape.stride :]
+        goals = np.where(scored >= 0, targets[np.maximum(scored, 0)], -1)
+        _, d = gradient(w, model.prior, inputs[i : i + shape.batch], goals, shape, mask)
+        adam.step(w, d, shape.pass_rate * min(1.0, (adam.steps + 1) / 10))
+    return {k: w[k] - x for k, x in model.weights.items()}
 
 
 def network_inputs(model: Model, ids: np.ndarray, lengths: np.ndarray, place: np.ndarray, end: int) -> np.ndarray:

@@ -3,8 +3,9 @@
 Texts are cut into chunks of a few megabytes, each a row with its distinct words, their subword
 ids and their places. Word counts meet in one shuffle of (word, chunk) pairs and go back to
 their chunks, so neither the vocabulary nor the texts pass through one task. Frequencies of
-subword ids and of their pairs cover all training texts; the attention weights are fitted on a
-bounded sample of them. A word's probability mixes what attention says of its subwords with
+subword ids and of their pairs cover all training texts. The attention weights start from a
+bounded sample; then each part of each chunk trains them on all its training texts, and the
+changes are averaged by tokens. A word's probability mixes what attention says of its subwords with
 its own discounted frequency, whose discount also goes to attention.
 """
 
@@ -18,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loofold.llm.attention import Model, Shape, fitted, log_probabilities, pair_counts, prepared, with_pairs
+from loofold.llm.attention import Model, Shape, fitted, log_probabilities, pair_counts, passed, prepared, with_pairs
 from loofold.llm.packing import public_tokenizer
 from loofold.llm.words import coded, parts, release, spread, starts
 from loofold.session import written_table
 
 CHUNK_BYTES = 6 << 20
-#: Characters of the texts (whole ones) that the weights are fitted on, about.
+#: Bytes of the texts that the weights start from, about; of a long text a run of an eighth.
 SAMPLE_BYTES = 3 << 20
 
 #: What is taken off the count of each known word, and the share that attention has anyway.
@@ -230,12 +231,45 @@ def subword_pairs(chunks: DataFrame, model: Model, end: int) -> np.ndarray:
     return summed(chunks, model.shape.inputs * model.shape.classes, count)
 
 
+def learned(chunks: DataFrame, model: Model, end: int) -> tuple[Model, int]:
+    """The model after a pass over all training texts, and the number of their subword ids.
+
+    Parts of chunks start from the same weights; their changes, as whole numbers, are summed
+    with the number of ids as weight, so no order of tasks alters the sum.
+    """
+    shared = chunks.sparkSession.sparkContext.broadcast(model)
+    names, unit = sorted(model.weights), float(1 << 20)
+    size = sum(model.weights[k].size for k in names)
+
+    def count(total: np.ndarray, chunk: Chunk) -> None:
+        for part in chunk.row_parts(200_000):
+            tokens, _, lengths = chunk.tokens(end, part)
+            learn = chunk.train[part]
+            tokens = tokens[np.repeat(learn, lengths)]
+            if len(tokens):
+                change = passed(shared.value, tokens, lengths[learn], end)
+                flat = np.concatenate([change[k].ravel() for k in names]).astype(np.float64)
+                total[:size] += np.rint(flat * (len(tokens) * unit)).astype(np.int64)
+                total[size] += len(tokens)
+
+    total = summed(chunks, size + 1, count)
+    n, at = int(total[size]), 0
+    for k in names if n else ():
+        x = model.weights[k]
+        model.weights[k] = (x + (total[at : at + x.size] / (n * unit)).reshape(x.shape)).astype(np.float32)
+        at += x.size
+    return model, n
+
+
 def sample_sequences(docs: DataFrame, tokenizer: str) -> list[np.ndarray]:
     """Subword ids of about SAMPLE_BYTES of training texts, picked by a hash of their ids."""
     train = docs.where("train and text is not null")
-    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    longest = SAMPLE_BYTES // 8
+    size = train.agg(F.sum(F.least(F.octet_length("text"), F.lit(longest)))).first()[0] or 0
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    some = train.where(chance < SAMPLE_BYTES / max(size, 1)).where(F.octet_length("text") <= SAMPLE_BYTES // 8).select("text").collect()
+    begin = F.pmod(F.xxhash64("text", "doc_id"), F.greatest(F.length("text") - longest, F.lit(0)) + 1) + 1
+    run = F.substring("text", begin.cast("int"), F.lit(longest)).alias("text")
+    some = train.where(chance < SAMPLE_BYTES / max(size, 1)).select(run).collect()
     texts = sorted(r["text"].encode().lower() for r in some)
     codes, words, bounds = coded(texts)
     sizes, ids, _ = subwords(tokenizer, words)
@@ -269,7 +303,7 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     total, kinds = n_words + n_docs, distinct + (n_docs > 0)
     model = prepared(subword, end, shape)
     model = with_pairs(model, subword_pairs(chunks, model, end))
-    model = fitted(model, sample_sequences(rows, tokenizer), end)
+    model, _ = learned(chunks, fitted(model, sample_sequences(rows, tokenizer), end), end)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by its shape and the vocabulary
     joined = chunks.join(counts.select("chunk", "counts"), "chunk", "left")
 

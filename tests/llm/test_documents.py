@@ -442,6 +442,21 @@ def test_scoring(odd, nothing, monkeypatch):
     assert scoring.scored(nothing, train, shape=small).count() == 0
 
 
+def test_all_training_texts_are_learned_from(make, monkeypatch):
+    monkeypatch.setattr(scoring, "SAMPLE_BYTES", 4000)
+    rows = make([(i, prose(300, i)) for i in range(12)]).selectExpr("doc_id", "doc_id % 4 > 0 as train", "text")
+    some = scoring.sample_sequences(rows, scoring.TOKENIZER)  # each text is longer than an eighth
+    assert some and all(len(s) for s in some)
+    chunks = scoring.chunked(rows, scoring.TOKENIZER).selectExpr("*", "monotonically_increasing_id() as chunk")
+    size, end = scoring.vocabulary_size(scoring.TOKENIZER)
+    counts = scoring.subword_counts(chunks, size, end)
+    model = scoring.prepared(counts, end, Shape())
+    before = {k: x.copy() for k, x in model.weights.items()}
+    model, n = scoring.learned(chunks, model, end)
+    assert n == counts.sum()
+    assert all((model.weights[k] != x).any() for k, x in before.items())
+
+
 def test_model_is_a_distribution_and_learns():
     from loofold.llm import attention
 
