@@ -14,7 +14,7 @@ from loofold.llm.packing import packed_pieces
 from loofold.llm.registry import ORACLES, QUERIES, query, table
 from loofold.llm.scoring import scored
 from loofold.llm.substrings import without_repeats
-from loofold.llm.toolcalls import SCHEMAS, derived, linked
+from loofold.llm.toolcalls import records
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -58,8 +58,8 @@ def op5_minhash_neardup(spark, folder):
 
 @query("op6_chat_formatting")
 def op6_chat_formatting(spark, folder):
-    """Records of the calls and results derived from all conversations."""
-    return linked(*derived(table(spark, folder, "conversations")), SCHEMAS)
+    """Records of all turns of all conversations: derived calls and results, and messages."""
+    return records(table(spark, folder, "conversations"))
 
 
 @query("op7_packing")

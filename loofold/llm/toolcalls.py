@@ -225,9 +225,10 @@ SCHEMAS = {
 def derived(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results from plain conversations, which hold none of their own.
 
-    Every assistant turn becomes a call whose arguments come from its text, some with a field
+    Every assistant turn becomes a call whose arguments hold its whole text, some with a field
     missing or of a wrong type; it needs the call at half its turn. Every user turn is the
-    result of the call one turn before, whether there is one or not.
+    result of the call one turn before, whether there is one or not. Turns of other roles, or of
+    none, are neither: ``messages`` gives their records.
     """
     text = F.coalesce("text", F.lit(""))
     pick = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
@@ -237,9 +238,9 @@ def derived(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     ident = lambda turn: F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
     limit = F.when(wrong == 1, F.lit(None)).otherwise(words)
     arguments = (
-        F.when(wrong == 0, F.concat(F.lit('{"query": '), first))
-        .when(pick == 0, F.to_json(F.struct(first.alias("query"), limit.alias("limit"))))
-        .when(pick == 1, F.when(wrong == 2, F.to_json(F.struct(first.alias("words")))).otherwise(F.to_json(F.struct(words.alias("words"), F.lit("words").alias("unit")))))
+        F.when(wrong == 0, F.concat(F.lit('{"query": '), text))
+        .when(pick == 0, F.to_json(F.struct(text.alias("query"), limit.alias("limit"))))
+        .when(pick == 1, F.when(wrong == 2, F.to_json(F.struct(first.alias("words"), text.alias("text")))).otherwise(F.to_json(F.struct(words.alias("words"), F.lit("words").alias("unit"), text.alias("text")))))
         .otherwise(F.to_json(F.struct(F.array(first).alias("tags"), text.alias("text"))))
     )
     name = F.when(pick == 0, "search").when(pick == 1, "measure").otherwise("store")
@@ -250,3 +251,27 @@ def derived(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     results = conversations.where("role = 'user'").select("conv_id", ident(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
+
+
+def messages(conversations: DataFrame) -> DataFrame:
+    """A record of status ``message`` for every turn whose role is neither assistant nor user, or null."""
+    other = F.coalesce(~F.col("role").isin("assistant", "user"), F.lit(True))
+    rows = conversations.where(other).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.col("text").alias("content"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [canonical({k: v for k, v in (r | {"status": "message"}).items() if v is not None}) for r in batch.to_pylist()]
+            n = len(out)
+            columns = {
+                "conv_id": batch.column("conv_id"), "call_id": pa.nulls(n, pa.string()), "turn": batch.column("turn"), "level": pa.nulls(n, pa.int32()),
+                "status": pa.array(["message"] * n, pa.string()), "n_results": pa.array([0] * n, pa.int64()), "valid": pa.array([False] * n, pa.bool_()),
+                "errors": pa.array([[]] * n, pa.list_(pa.string())), "json": pa.array(out, pa.string()),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return rows.mapInArrow(write, RECORD)
+
+
+def records(conversations: DataFrame) -> DataFrame:
+    """Records of all turns: derived calls and results, linked, and the messages of other roles."""
+    return linked(*derived(conversations), SCHEMAS).unionByName(messages(conversations))

@@ -93,6 +93,26 @@ def test_derived(spark, tables):
         assert toolcalls.canonical(json.loads(r.json)) == r.json
 
 
+def test_every_turn_and_its_text_is_in_a_record(spark):
+    roles = ("system", "user", "assistant", None, "assistant", "user", "tool")
+    said = [(c, t, roles[(c + t) % 7], f'"Turn" {t} of {c},\n whole\ttext\\ é {"word " * (t % 5)}end') for c in range(6) for t in range(20)]
+    rows = toolcalls.records(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")).collect()
+    texts = {}
+    for r in rows:
+        record = json.loads(r.json)
+        assert toolcalls.canonical(record) == r.json
+        given = record.get("arguments")
+        if isinstance(given, str):
+            texts.setdefault((r.conv_id, r.turn), set()).add(given.removeprefix('{"query": '))
+        elif given is not None:
+            texts.setdefault((r.conv_id, r.turn), set()).add(given.get("text", given.get("query")))
+        if "content" in record:
+            at = r.turn + 1 if r.status == "linked" else r.turn
+            texts.setdefault((r.conv_id, at), set()).add(record["content"])
+    assert all(text in texts[c, t] for c, t, _, text in said)
+    assert sum(r.status == "message" for r in rows) == sum(role not in ("user", "assistant") for _, _, role, _ in said)
+
+
 def test_pipeline(spark, tables):
     import corpus_pipeline
 
