@@ -1,6 +1,7 @@
 """Secrets in texts: candidates by shape, false positives removed by a random forest.
 
-A candidate is a long run of key-like characters with a digit or a capital inside. The forest
+A candidate is a long run of key-like characters with a digit or a capital inside, or a shorter
+one that a word such as password is assigned. The forest
 looks at its length, the changes between letters, digits and cases, how much of it words of the
 corpus and their letter pairs cover, whether it stands in a path, and the words beside it. It
 is trained on labelled findings and then written as one column expression, so the scan is a
@@ -21,11 +22,15 @@ from pyspark.sql import functions as F
 from loofold.session import written_table
 
 KEY = r"[A-Za-z0-9_\-+/.~]"
-CANDIDATE = rf"(?<!{KEY})(?={KEY}*(?:[0-9]|[A-Za-z][A-Z])){KEY}{{12,}}={{0,2}}"
-MASK = "[SECRET]"
-
 #: Words that announce a secret when they stand just before it.
-HINTS = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer)\W{0,4}$"
+ANNOUNCE = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer)"
+HINTS = rf"(?i){ANNOUNCE}\W{{0,4}}$"
+#: The same with an equals sign or colon between: what follows may be short or lower case.
+ASSIGNED = rf"(?i:{ANNOUNCE}[\"']?\s?[=:]\s?[\"']?)"
+CANDIDATE = (
+    rf"(?<!{KEY})(?:(?={KEY}*(?:[0-9]|[A-Za-z][A-Z])){KEY}{{12,}}|(?<={ASSIGNED}){KEY}{{6,}})={{0,2}}"
+)
+MASK = "[SECRET]"
 
 
 @dataclass(frozen=True)
@@ -43,17 +48,42 @@ class Settings:
 
 #: Formats known for sure, for labels where none are given: (value, text before it).
 KNOWN = (
-    (r"^AKIA[0-9A-Z]{16}$", None),
-    (r"^gh[pousr]_[A-Za-z0-9]{36,}$", None),
+    (r"^(AKIA|ASIA)[0-9A-Z]{16}\.?$", None),
+    (r"^gh[pousr]_[A-Za-z0-9]{36,}\.?$", None),
+    (r"^github_pat_[A-Za-z0-9_]{22,}\.?$", None),
+    (r"^glpat-[A-Za-z0-9_-]{20,}\.?$", None),
+    (r"^xox[abeoprs]-[A-Za-z0-9-]{10,}\.?$", None),
+    (r"^[prs]k_(live|test)_[A-Za-z0-9]{16,}\.?$", None),
+    (r"^AIza[A-Za-z0-9_-]{35}\.?$", None),
+    (r"^npm_[A-Za-z0-9]{36}\.?$", None),
+    (r"^SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}\.?$", None),
+    (r"^eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.?$", None),
+    (r"^[A-Za-z0-9+/]{32,}={0,2}$", r"PRIVATE KEY-----\s*$"),
     (r"^[0-9a-f]{16,}$", HINTS),
     (r"^[A-Za-z0-9_+/.~-]{20,}={0,2}$", HINTS),
+    (r".", ASSIGNED + "$"),
+)
+#: As sure to be none: numbers and addresses, paths, words in capitals, parts of urls and mail addresses.
+PLAIN = (
+    (r"^[0-9+./~_-]+$", None),
+    (r"^(~|\.{1,2})?/([a-z][A-Za-z0-9_.-]*/)+[A-Za-z0-9_.-]*$", None),
+    (r"^([A-Z]+|[A-Z]?[a-z]+)([-_./]([A-Z]+|[A-Z]?[a-z]+))*[.]?$", None),
+    (r".", r"(://\S*|www\.\S*|@\S*)$"),
 )
 
 
+def _matches(formats, value: Column, before: Column) -> Column:
+    return reduce(Column.__or__, [value.rlike(v) & (before.rlike(b) if b else F.lit(True)) for v, b in formats])
+
+
 def known_format(value: Column, before: Column) -> Column:
     """1 for a value of a known format, else 0."""
-    tests = [value.rlike(v) & (before.rlike(b) if b else F.lit(True)) for v, b in KNOWN]
-    return reduce(Column.__or__, tests).cast("int")
+    return _matches(KNOWN, value, before).cast("int")
+
+
+def sure_label(value: Column, before: Column) -> Column:
+    """1 for a known format, 0 for what is plainly none, null where neither is sure."""
+    return F.when(_matches(KNOWN, value, before), 1).when(_matches(PLAIN, value, before), 0)
 
 
 def dictionary(docs: DataFrame, text_col: str, size: int) -> list[str]:
@@ -201,24 +231,28 @@ def trained(docs: DataFrame, text_col: str = "text", labelled: DataFrame | None
     """A scanner for texts like these.
 
     ``labelled`` holds findings: value, before, after and label (1 secret, 0 not). Without it
-    the candidates of ``docs`` are labelled by formats that are known for sure. The dictionary
+    the candidates of ``docs`` are labelled by formats that are known for sure on both sides; the
+    others are not learned from. The dictionary
     is counted over all texts; the forest sees a bounded sample of the findings.
     """
     words = dictionary(docs, text_col, how.dictionary)
     if labelled is None:
         found = pieces(docs.select(F.col(text_col).alias("text")), "text", how).select(F.explode("finds").alias("find")).select("find.*")
-        labelled = written_table(found.withColumn("label", known_format(F.col("value"), F.col("before"))), "findings")
+        found = found.withColumn("label", sure_label(F.col("value"), F.col("before")))
+        labelled = written_table(found.where("label is not null"), "findings")
     rows = sampled(labelled, how).withColumn("find", F.struct("value", "before", "after"))
     rows = written_table(rows.select(features(F.col("find"), words).alias("features"), "label"), "features")
     return Scanner(words, grown(rows, how), how)
 
 
 def scanned(docs: DataFrame, scanner: Scanner, text_col: str) -> DataFrame:
-    """Adds parts, finds and the score of each find to the rows."""
+    """Adds parts, finds and the score of each find to the rows; a known format scores 1."""
+    known = lambda x: known_format(x["value"], x["before"]) == 1
     return (
         pieces(docs, text_col, scanner.how)
         .withColumn("facts", F.transform("finds", lambda x: features(x, scanner.words)))
-        .withColumn("scores", F.transform("facts", lambda x: vote(scanner.trees, x)))
+        .withColumn("votes", F.transform("facts", lambda x: vote(scanner.trees, x)))
+        .withColumn("scores", F.zip_with("finds", "votes", lambda x, v: F.when(known(x), F.lit(1.0)).otherwise(v)))
     )
 
 

@@ -529,6 +529,23 @@ def test_secrets(make, odd, nothing):
     assert secrets.findings(nothing, empty).count() == 0
 
 
+def test_secrets_of_known_formats_are_kept(make):
+    value = hashlib.sha256(b"x").hexdigest()
+    hidden = [
+        f"xoxb-{value[:12]}-{value[12:36]}", f"sk_live_{value[:24]}", f"eyJ{value[:20]}.eyJ{value[20:50]}.{value[:30]}", f"glpat-{value[:20]}",
+    ]
+    short = ["hunter7", "correcthorse"]
+    rows = [(i, prose(20, i) + "\n" + planted(i)[1] + "\n" + prose(9, i)) for i in range(40)]
+    rows += [(100 + i, f"{prose(9, i)} uses {v} here") for i, v in enumerate(hidden)]
+    rows += [(200 + i, f"{prose(9, i)} password={v}\n") for i, v in enumerate(short)]
+    docs = make(rows)
+    found = {r.value for r in secrets.findings(docs, secrets.trained(docs)).where("is_secret").collect()}
+    assert found == {*hidden, *short}
+    none = make(rows[:40])  # no known format to learn from
+    found = {r.value for r in secrets.findings(docs, secrets.trained(none)).where("is_secret").collect()}
+    assert found == {*hidden, *short}
+
+
 def test_forest_as_expression(spark):
     text = "title\n  Tree 0 (weight 1.0):\n    If (feature 0 <= 0.5)\n     Predict: 0.0\n    Else (feature 0 > 0.5)\n     If (feature 1 <= 2.0)\n      Predict: 1.0\n     Else (feature 1 > 2.0)\n      Predict: 0.0\n  Tree 1 (weight 1.0):\n    Predict: 1.0\n"
     trees = secrets.parsed(text)
