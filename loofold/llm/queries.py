@@ -11,6 +11,7 @@ from loofold.llm.language import fold, identify, trained_on_folds
 from loofold.llm.mixing import mix
 from loofold.llm.neardup import near_duplicates
 from loofold.llm.packing import packed_pieces
+from loofold.llm.periodic import periodic_runs
 from loofold.llm.registry import ORACLES, QUERIES, query, table
 from loofold.llm.scoring import scored
 from loofold.llm.substrings import without_repeats
@@ -91,4 +92,31 @@ def op10_secret_scan(spark, folder):
     return found.select("doc_id", "nth", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
 
 
+def with_period(docs):
+    """Texts of ids that hash to a multiple of ten, periodic from some word on; all others as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = docs.withColumn("words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    n = F.size("words").cast("long")
+    turned = words.withColumn("a", F.when(n > 0, g % n)).withColumn("p", F.floor((n - F.col("a")) / (3 + g % 8)) + 1)
+    text = F.expr("array_join(transform(sequence(0L, size(words) - 1L), i -> words[int(if(i < a, i, a + (i - a) % p))]), ' ')")
+    return turned.select("doc_id", F.when(n > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs", sql.PERIODIC_RUNS)
+def op13_periodic_runs(spark, folder):
+    """Runs of every document; all runs and the collapsed text as their digests."""
+    rows = periodic_runs(with_period(table(spark, folder, "documents").select("doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    longest = F.reduce("runs", F.element_at("runs", 1), lambda best, r: F.when(r["length"] > best["length"], r).otherwise(best))
+    best = F.when(F.size("runs") > 0, longest)
+    rows = rows.select("doc_id", "runs", "collapsed", best.alias("best"), F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).alias("lines"))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.coalesce("lines", F.lit("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

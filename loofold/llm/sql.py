@@ -71,3 +71,43 @@ SELECT doc_id, size, source_size, target,
   (size * (floor(rate)::BIGINT + (('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate))::BIGINT))::BIGINT AS taken
 FROM r
 """
+
+#: Runs as islands of six-word windows that are equal at one distance; of equal stretches the least distance is the period.
+PERIODIC_RUNS = rf"""
+WITH h AS (
+  SELECT DISTINCT doc_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+         lambda x, c: list_reduce(list_prepend(xor(x, c), [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END))) AS h
+  FROM documents
+), d AS (
+  SELECT row_number() OVER () AS row, d.doc_id, {WORDS} AS words, len(words) AS n, h, h // 10 AS g
+  FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id
+), a AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a, 1 + (n - a) // (3 + g % 8) AS p FROM d
+), e AS (
+  SELECT row, doc_id, n, CASE WHEN a IS NULL THEN words
+         ELSE list_transform(range(n), lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS words
+  FROM a
+), w AS (
+  SELECT row, unnest(range(n)) AS i, unnest(words) AS word FROM e
+), six AS (
+  SELECT row, i, array_to_string(words[i + 1 : i + 6], ' ') AS line FROM (SELECT row, words, unnest(range(n - 5)) AS i FROM e)
+), pairs AS (
+  SELECT x.row, x.i, y.i - x.i AS q FROM six x JOIN six y ON x.row = y.row AND x.line = y.line AND x.i < y.i
+), islands AS (
+  SELECT row, q, min(i) AS start, max(i) + 6 + q - min(i) AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM pairs) GROUP BY row, q, island
+), runs AS (
+  SELECT row, start, length, min(q) AS period FROM islands WHERE length >= greatest(12, 2 * q) GROUP BY row, start, length
+), gone AS (
+  SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT row, string_agg(word, ' ' ORDER BY i) AS line FROM w ANTI JOIN gone USING (row, i) GROUP BY row
+), best AS (
+  SELECT row, count(*) AS n_runs, arg_min({{'start': start, 'length': length, 'period': period}}, (-length, start, period)) AS b,
+         string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY row
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.start AS start, b.length AS length, b.period AS period,
+       (1000 * b.length // b.period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(line, '')) AS collapsed_sha256
+FROM e LEFT JOIN best USING (row) LEFT JOIN kept USING (row)
+"""
