@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loofold.llm import rules, secrets, sql
+from loofold.llm.balltree import search
 from loofold.llm.fuzzyhash import edited_and_next
 from loofold.llm.language import fold, identify, trained_on_folds
 from loofold.llm.mixing import mix
@@ -16,6 +17,7 @@ from loofold.llm.registry import ORACLES, QUERIES, query, table
 from loofold.llm.scoring import scored
 from loofold.llm.substrings import without_repeats
 from loofold.llm.toolcalls import records
+from loofold.llm.toxicity import toxic_passages, trained
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -92,6 +94,24 @@ def op10_secret_scan(spark, folder):
     return found.select("doc_id", "nth", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
 
 
+@query("op11_toxicity")
+def op11_toxicity(spark, folder):
+    """Toxicity of every document; labels of rows of fold 2 of 4 are never learned from."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels").select("doc_id", "toxic")
+    model = trained(docs.where(fold(folds=4) != 2), labels.where(fold(folds=4) != 2))
+    rows = toxic_passages(docs, model)
+    return rows.select(
+        "doc_id", F.coalesce(fold(folds=4) == 2, F.lit(True)).alias("held_out"), "score",
+        (F.col("score") >= model.settings.threshold).cast("int").alias("predicted"), F.size("passages").alias("n_passages"),
+    )
+
+
+@query("op12_lexical_search", sql.LEXICAL_SEARCH)
+def op12_lexical_search(spark, folder):
+    """The 50 best documents of every benchmark item."""
+    return search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def with_period(docs):
     """Texts of ids that hash to a multiple of ten, periodic from some word on; all others as they are."""
     h = F.crc32(F.col("doc_id").cast("string"))

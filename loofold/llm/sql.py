@@ -111,3 +111,24 @@ SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.start AS start, b.length
        (1000 * b.length // b.period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(line, '')) AS collapsed_sha256
 FROM e LEFT JOIN best USING (row) LEFT JOIN kept USING (row)
 """
+
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL_SEARCH = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, {TERMS} AS terms, len(terms)::BIGINT AS n FROM documents
+), c AS (
+  SELECT count(*) FILTER (n > 0)::BIGINT AS total, coalesce(sum(n), 0)::BIGINT AS length FROM d
+), q AS (
+  SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark
+), tf AS (
+  SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY row, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * total + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, c GROUP BY term, total
+), s AS (
+  SELECT item_id, doc_id, row, sum(w * (1000000000 * tf // (1000 * tf + 20 * (50 + 50 * n * total // length))))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN d USING (row), c GROUP BY item_id, doc_id, row
+)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 50
+"""

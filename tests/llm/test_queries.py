@@ -23,6 +23,6 @@ def test_each_operation_has_a_query():
         f"op{i}_{n}"
         for i, n in enumerate(
             ["substring_dedup", "document_fingerprints", "lm_scoring", "quality_rules", "minhash_neardup", "chat_formatting",
-             "packing", "mixing", "language_id", "secret_scan"], 1)
+             "packing", "mixing", "language_id", "secret_scan", "toxicity", "lexical_search", "periodic_runs"], 1)
     )
     assert "pipeline" in QUERIES
