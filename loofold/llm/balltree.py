@@ -94,8 +94,8 @@ class BallTree:
             if len(rows) > leaf:
                 nearness = self._nearness(t, x, cuts, center)
                 by = np.argsort(nearness, kind="stable")
-                least = len(rows) // 16  # depth grows with the logarithm
-                cut = min(max(int(np.count_nonzero(nearness <= 0)), least), len(rows) - least)
+                cut, least = int(np.count_nonzero(nearness <= 0)), max(1, len(rows) // 16)  # depth grows with the logarithm
+                cut = min(max(cut, least), len(rows) - least) if 0 < cut < len(rows) else len(rows) // 2
                 order[begin:end] = np.concatenate((np.sort(rows[by[:cut]]), np.sort(rows[by[cut:]])))
                 todo += [(begin, begin + cut, node, 0), (begin + cut, end, node, 1)]
         self.order = order
