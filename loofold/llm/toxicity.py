@@ -1,8 +1,8 @@
 """Toxic passages by maximal scoring segments.
 
 Words get log-odds of toxic against clean documents under Dirichlet priors: a word's prior
-follows its first letters, the letters' prior the classes as a whole, and as many standard
-deviations are taken off as ``Settings`` says, so that rare words count little. All other words
+follows its first letters, the letters' prior the classes as a whole, and two standard
+deviations are taken off; a word counts at all if its log-odds are beyond what chance reaches. All other words
 cost ``drift``. The algorithm of Ruzzo and Tompa finds all maximal segments of a text in one pass. Scores of
 clean texts follow an extreme-value distribution (Karlin and Altschul): lambda solves
 sum p e^(lambda s) = 1 over clean words, K is fitted to clean texts. The best segments of a text
@@ -29,6 +29,9 @@ from loofold.llm.words import coded, parts, release
 
 CHUNK_BYTES = 4 << 20
 
+#: Evidence beyond e^-50 makes no text more toxic.
+MOST = 50.0
+
 #: Words that a task counts before it hands them on.
 HELD_WORDS = 200_000
 
@@ -71,7 +74,7 @@ class Model:
     slope: float
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-(self.intercept + self.slope * np.log1p(evidence))))
+        return 1.0 / (1.0 + np.exp(-(self.intercept + self.slope * np.minimum(evidence, MOST))))
 
 
 def segments(at: list[int], score: list[float], drift: float) -> list[tuple[int, int, float]]:
@@ -194,8 +197,8 @@ def log_odds(pair: tuple[str, str], mass: tuple[int, int], prior: float, lean: C
     return F.log(one / n1) - F.log(zero / n0), F.sqrt(1.0 / one + 1.0 / zero)
 
 
-def learned_weights(labelled: DataFrame, how: Settings) -> list[Weights]:
-    """The weights from half 0, from half 1 and from all labelled rows (text, toxic, half).
+def learned_weights(labelled: DataFrame, toxic: int, how: Settings) -> list[Weights]:
+    """The weights from half 0, from half 1 and from all labelled rows (text, toxic, half), ``toxic`` of them toxic.
 
     Every word of every row is counted; the driver sees the words with a positive score, the
     ``words`` most telling ones.
@@ -210,7 +213,8 @@ def learned_weights(labelled: DataFrame, how: Settings) -> list[Weights]:
 
         def lower(pair, mass, lean):
             odds, deviation = log_odds(pair, mass, how.prior, lean)
-            return odds - how.deviations * deviation
+            telling = odds > math.sqrt(2 * math.log(1 + toxic)) * deviation  # beyond what chance reaches among many words
+            return F.when(telling, odds - how.deviations * deviation).otherwise(0.0)
 
         first = F.substring("word", 1, how.letters).alias("start")
         starts = counts.groupBy(first).agg(*[F.sum(c).alias(c) for c in names], F.count("*").alias("n"))
@@ -299,7 +303,9 @@ def trained(docs: DataFrame, labels: DataFrame, settings: Settings | None = None
     labels = labels.agg(F.max(F.col("toxic") > 0).cast("int").alias("toxic"))
     labels = labels.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
     texts = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
-    weights = learned_weights(texts.join(labels, "doc_id"), how)
+    number = labels.where("toxic = 1").count()
+    # Sorted merge at every size: labels grow with the documents, and a text is shuffled at most once.
+    weights = learned_weights(texts.join(labels.hint("merge"), "doc_id"), number, how)
     rows = sampled(texts, labels, weights, how)
     clean = [r for r in rows if not r[0]]
     hit = sum(bool(r[3]) for r in clean)
@@ -308,7 +314,7 @@ def trained(docs: DataFrame, labels: DataFrame, settings: Settings | None = None
     x = np.array([evidence(best, n, weights[1 - half].decay, k, how.segments) for _, half, n, best in rows])
     toxic = np.array([r[0] for r in rows], float)
     share = labels.agg(F.avg("toxic")).first()[0]
-    intercept, slope = (curve(np.log1p(x), toxic) if 0 < toxic.sum() < len(toxic) else (0.0, 0.0))
+    intercept, slope = (curve(np.minimum(x, MOST), toxic) if 0 < toxic.sum() < len(toxic) else (0.0, 0.0))
     if len(toxic) and slope:  # the sample holds labels in other shares than the table
         drawn = toxic.mean()
         intercept += math.log(share / (1 - share)) - math.log(drawn / (1 - drawn))
