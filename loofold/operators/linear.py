@@ -9,11 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loofold.functions.scalars import linear_predictor, quoted
+from loofold.operators.sums import summed
 
 NARROW = 16
 """Up to this many columns, pairwise sums are written as SQL aggregates."""
+LEAST_FREE = 1e-9
+"""1 - leverage below which a row carries a coefficient alone."""
+CHUNK_CELLS = 2_000_000
+"""Doubles that a batch's matrix may hold."""
 
 
 @dataclass
@@ -26,6 +32,8 @@ class LinearFit:
     means: np.ndarray
     inverse: np.ndarray
     """Inverse of the centred Gram matrix (pseudo-inverse for dependent columns)."""
+    root: np.ndarray
+    """A factor of it: inverse = root root'."""
 
     def predict(self) -> Column:
         return linear_predictor(self.features, self.coefficients, self.intercept)
@@ -63,8 +71,8 @@ def centred_gram(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray
     """Row count, means and centred Gram matrix of complete rows.
 
     Narrow tables use the built-in covariance aggregate, which merges partial results
-    without cancellation. Wide ones add up matrix blocks per task, after a pass for
-    the means, and combine the cells by a grouped sum.
+    without cancellation. Wide ones add up one matrix per task, after a pass for the
+    means, and add those as packed rows.
     """
     complete = df.select(*[F.col(quoted(c)).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).dropna()
     d = len(columns)
@@ -76,28 +84,19 @@ def centred_gram(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray
             *means,
             *[F.covar_pop(f"c{i}", f"c{j}").alias(f"s{i}_{j}") for i, j in cells],
         ).first()
-        values = {(i, j): row[f"s{i}_{j}"] for i, j in cells}
-        scale = row["n"]
     else:
         row = complete.agg(F.count(F.lit(1)).alias("n"), *means).first()
         centre = np.array([row[f"m{i}"] or 0.0 for i in range(d)])
 
-        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            gram = np.zeros((d, d))
-            for batch in batches:
-                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - centre
-                gram += x.T @ x
-            upper = np.triu_indices(d)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(upper[0] * d + upper[1], pa.int64()), pa.array(gram[upper])], ["cell", "value"]
-            )
-
-        sums = complete.mapInArrow(partial, "cell bigint, value double").groupBy("cell").agg(F.sum("value"))
-        values = {divmod(r[0], d): r[1] for r in sums.collect()}
-        scale = 1
+        def add(totals: np.ndarray, batch: pa.RecordBatch) -> None:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - centre
+            totals += (x.T @ x).ravel()
+
+        gram = summed(complete, add, d * d).reshape(d, d)
+        return row["n"], centre, gram
     gram = np.zeros((d, d))
-    for (i, j), v in values.items():
-        gram[i, j] = gram[j, i] = (v or 0.0) * scale
+    for i, j in cells:
+        gram[i, j] = gram[j, i] = (row[f"s{i}_{j}"] or 0.0) * row["n"]
     return row["n"], np.array([row[f"m{i}"] or 0.0 for i in range(d)]), gram
 
 
@@ -113,12 +112,15 @@ def fit_linear(df: DataFrame, features: Sequence[str], label: str) -> LinearFit:
     scale = np.sqrt(np.where(np.diag(gram)[:d] > 0, np.diag(gram)[:d], 1.0))
     unit = gram[:d, :d] / np.outer(scale, scale)
     if d and np.linalg.eigvalsh(unit)[0] > 1e-12 * d:
-        inverse = np.linalg.inv(unit) / np.outer(scale, scale)
+        root = np.linalg.inv(np.linalg.cholesky(unit)).T / scale[:, None]
     else:
-        inverse = np.linalg.pinv(gram[:d, :d], rcond=1e-12, hermitian=True)
+        values, vectors = np.linalg.eigh(gram[:d, :d])
+        used = values > 1e-12 * max(values.max(initial=0.0), 0.0)
+        root = vectors[:, used] / np.sqrt(values[used])
+    inverse = root @ root.T
     coefficients = inverse @ gram[:d, d]
     return LinearFit(
-        list(features), label, coefficients, float(means[d] - coefficients @ means[:d]), n, means[:d], inverse
+        list(features), label, coefficients, float(means[d] - coefficients @ means[:d]), n, means[:d], inverse, root
     )
 
 
@@ -129,9 +131,33 @@ def loo_linear(df: DataFrame, fit: LinearFit) -> DataFrame:
     leverage 1 carries a coefficient alone; without it that coefficient is free and the
     row gets a null.
     """
+    numbers = F.array(*[F.col(quoted(c)).cast("double") for c in [*fit.features, fit.label]])
+    complete = df.where(F.forall(numbers, lambda x: x.isNotNull() & ~F.isnan(x)))
+    if len(fit.features) > NARROW:
+        return _loo_wide(complete, fit)
     y = F.col(quoted(fit.label)).cast("double")
     free = F.lit(1.0) - fit.leverage()
-    error = F.when(free > 1e-9, (y - fit.predict()) / free)
-    return df.dropna(subset=[*map(quoted, [*fit.features, fit.label])]).withColumns(
-        {"loo_error": error, "loo_prediction": y - error}
-    )
+    error = F.when(free > LEAST_FREE, (y - fit.predict()) / free)
+    return complete.withColumns({"loo_error": error, "loo_prediction": y - error})
+
+
+def _loo_wide(complete: DataFrame, fit: LinearFit) -> DataFrame:
+    """The same by one product with the factor per Arrow batch; the plan does not grow with d^2."""
+    n, d = len(complete.columns), len(fit.features)
+    means, root, weights, intercept, share = fit.means, fit.root, fit.coefficients, fit.intercept, 1.0 / fit.n
+    numbers = [F.col(quoted(c)).cast("double").alias(f"__{i}") for i, c in enumerate([*fit.features, fit.label])]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = max(1, CHUNK_CELLS // (d + 1))
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[n : n + d]])
+                y = batch.column(n + d).to_numpy(zero_copy_only=False)
+                free = 1.0 - share - np.square((x - means) @ root).sum(axis=1)
+                error = (y - x @ weights - intercept) / np.where(free > LEAST_FREE, free, np.nan)
+                found = [pa.array(v, mask=np.isnan(error)) for v in (error, y - error)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *found], [*complete.columns, "loo_error", "loo_prediction"])
+
+    schema = StructType([*complete.schema.fields, StructField("loo_error", DoubleType()), StructField("loo_prediction", DoubleType())])
+    return complete.select("*", *numbers).mapInArrow(measure, schema)

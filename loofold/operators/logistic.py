@@ -10,7 +10,7 @@ the number of jobs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from loofold.functions.scalars import linear_predictor, quoted, sigmoid
 from loofold.operators.linear import NARROW
 from loofold.operators.prep import assemble
+from loofold.operators.sums import summed
 
 MAX_FEATURES = 2_000
 WIDE = 128
@@ -142,34 +143,17 @@ def summed_blocks(rows: DataFrame, add_chunk, k: int, width: int, cost: int) ->
     """A k x width table of sums over all rows.
 
     ``add_chunk(totals, columns)`` adds some rows, given as one array per column, to a
-    task's own table; ``cost`` is how many doubles it needs per row. The cells of the
-    task tables are combined by a grouped sum, so no task and no group holds more than
-    its share. The caller bounds k (see ``block_size``).
+    task's own table; ``cost`` is how many doubles it needs per row. The caller bounds k
+    (see ``block_size``).
     """
+    chunk = max(1, CHUNK_CELLS // cost)
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((k, width))
-        chunk = max(1, CHUNK_CELLS // cost)
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            for at in range(0, batch.num_rows, chunk):
-                add_chunk(totals, [c[at : at + chunk] for c in columns])
-        cells = np.arange(width)
-        for i in range(k):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(width, i), pa.int32()), pa.array(cells, pa.int32()), pa.array(totals[i])],
-                ["k", "cell", "value"],
-            )
-
-    sums = (
-        rows.mapInArrow(partial, "k int, cell int, value double")
-        .groupBy("k", "cell")
-        .agg(F.sum("value").alias("value"))
-        .toArrow()
-    )
-    table = np.zeros((k, width))
-    table[sums["k"].to_numpy(), sums["cell"].to_numpy()] = sums["value"].to_numpy()
-    return table
+    def add(totals: np.ndarray, batch: pa.RecordBatch) -> None:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        for at in range(0, batch.num_rows, chunk):
+            add_chunk(totals.reshape(k, width), [c[at : at + chunk] for c in columns])
+
+    return summed(rows, add, k * width).reshape(k, width)
 
 
 def fold_sums(rows: DataFrame, weights: np.ndarray, fold: str | None = None) -> Sums:
@@ -190,10 +174,15 @@ def fold_sums(rows: DataFrame, weights: np.ndarray, fold: str | None = None) ->
         totals[:, 1] += y @ used
         totals[:, 2] += (loss * used).sum(axis=0)
         totals[:, 3 : 3 + d1] += ((p - y[:, None]) * used).T @ a
-        totals[:, 3 + d1 :] += (p * (1.0 - p) * used).T @ (a[:, upper[0]] * a[:, upper[1]])
+        v = p * (1.0 - p) * used
+        if k > 4:
+            totals[:, 3 + d1 :] += v.T @ (a[:, upper[0]] * a[:, upper[1]])
+        else:  # few fits: one product each, without the matrix of pairs
+            for i in range(k):
+                totals[i, 3 + d1 :] += ((a * v[:, i : i + 1]).T @ a)[upper]
 
     columns = [f"x{i}" for i in range(d)] + ["y"] + ([fold] if fold else [])
-    table = summed_blocks(rows.select(*columns), add_chunk, k, width, k + width)
+    table = summed_blocks(rows.select(*columns), add_chunk, k, width, k + (width if k > 4 else 2 * d1))
     hessian = np.zeros((k, d1, d1))
     hessian[:, upper[0], upper[1]] = table[:, 3 + d1 :]
     hessian[:, upper[1], upper[0]] = table[:, 3 + d1 :]
