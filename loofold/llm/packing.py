@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from loofold.llm.words import parts, release, spread, starts
 
-#: Text taken at once in a task, and words whose ids a worker keeps. Both bound memory only.
+#: Text taken at once in a task, and bytes of words and ids that a worker keeps. Both bound memory only.
 CHUNK_BYTES = 1 << 20
-KEPT_WORDS = 200_000
+KEPT_BYTES = 32 << 20
+#: About what an entry takes besides the letters of its word: objects, dictionary, numbers and ids.
+ENTRY_BYTES = 200
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int, offset long"
 
@@ -34,14 +36,18 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: A comma or full stop at the end of a word, after an ASCII letter: a token run of its own.
+SIGN = re.compile(rb"(?<=[a-z])([.,])(?=[ \t-\r]|\Z)")
+
+
 class Vocabulary:
     """Ids of words seen so far in this worker, word after word in one array.
 
-    The tokenizer drops white space before it cuts, so a text's ids are those of its words.
-    A comma or full stop after an ASCII letter is a token run of its own, so such a word is
-    put together from the rest and that sign. Words of Latin-1 letters are lower-cased here and
-    go to the model itself, which spares the tokenizer's book-keeping; the first are compared
-    with the tokenizer, and if any differs, all words go through the tokenizer.
+    The tokenizer drops white space before it cuts and lower-cases, so a text's ids are those of its
+    words in lower case, and a sign that is a token run of its own counts as a word.
+    Words of Latin-1 letters go to the model itself, which spares the tokenizer's book-keeping; the first are compared
+    with the tokenizer, and if any differs, all words go through the tokenizer. Added tokens are matched
+    before anything is lower-cased, so a word that holds one in any case goes there as it is.
     """
 
     def __init__(self, tokenizer: str, end_id: int):
@@ -53,14 +59,23 @@ class Vocabulary:
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(128, 256)) if c.isalpha()}
         self.latin = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+        self.added = tuple(str(t.content).lower().encode() for t in self.full.get_added_tokens_decoder().values())
         self.direct = True
         self.direct = all(self.encoded(w.encode()) == self.full.encode(w, add_special_tokens=False).ids for w in PROBES)
         self.clear()
 
     def clear(self) -> None:
+        self.held = 0
         self.code: dict[bytes | None, int] = {None: 0}  # the end
         self.begin, self.sizes, self.flat = array("q", [0]), array("q", [1]), array("I", [self.end_id])
 
+    def words(self, text: bytes) -> list[bytes]:
+        lower = text.lower()
+        if not any(t in lower for t in self.added):
+            return SIGN.sub(rb" \1", lower).split()
+        parts = ([w] if any(t in w.lower() for t in self.added) else SIGN.sub(rb" \1", w.lower()).split() for w in text.split())
+        return list(chain.from_iterable(parts))
+
     def encoded(self, word: bytes) -> list[int]:
         if self.direct and word.isalpha():
             return [t.id for t in self.model.tokenize(word.decode().lower())]
@@ -69,31 +84,18 @@ class Vocabulary:
             return [t.id for t in self.model.tokenize(text.lower().translate(self.letters))]
         return self.full.encode(text, add_special_tokens=False).ids
 
-    def add(self, word: bytes, ids) -> int:
-        at = self.code[word] = len(self.sizes)
-        self.begin.append(len(self.flat))
-        self.sizes.append(len(ids))
-        self.flat.extend(ids)
-        return at
-
     def learn(self, words: list[bytes]) -> None:
-        code, signs = self.code, {sign: self.encoded(sign) for sign in (b".", b",")}
-        for word in words:
-            end = word[-1:]
-            cut = end in signs and word[-2:-1].isalpha()
-            body = (word[:-1] if cut else word).lower()
-            at = code.get(body)
-            if at is None:
-                at = self.add(body, self.encoded(body))
-            if body != word:
-                begin = self.begin[at]
-                ids = self.flat[begin : begin + self.sizes[at]]
-                if cut:
-                    ids.extend(signs[end])
-                self.add(word, ids)
+        code, begin, sizes, flat, encoded = self.code, self.begin, self.sizes, self.flat, self.encoded
+        for at, word in enumerate(words, len(sizes)):
+            ids = encoded(word)
+            code[word] = at
+            begin.append(len(flat))
+            sizes.append(len(ids))
+            flat.extend(ids)
+        self.held += sum(map(len, words)) + ENTRY_BYTES * len(words)
 
     def codes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.code) > KEPT_WORDS:
+        if self.held > KEPT_BYTES:
             self.clear()
         found = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(found < 0).tolist()
@@ -113,13 +115,14 @@ def token_ids(tokenizer: str, texts: list[bytes], end_id: int) -> tuple[np.ndarr
     if (tokenizer, end_id) not in _vocabularies:
         _vocabularies[tokenizer, end_id] = Vocabulary(tokenizer, end_id)
     vocabulary = _vocabularies[tokenizer, end_id]
-    lists = [t.split() for t in texts]
+    lists = list(map(vocabulary.words, texts))
     bounds = starts(np.fromiter(map(len, lists), np.int64, len(lists)))
     codes = vocabulary.codes(list(chain.from_iterable(lists)))
     every = np.insert(codes, bounds[1:], 0)  # the end stands behind each text's words
-    sizes, flat = np.array(vocabulary.sizes), np.array(vocabulary.flat)
-    token_starts = starts(sizes[every])
-    return flat[spread(starts(sizes)[every], sizes[every])], token_starts[bounds + np.arange(len(bounds))]
+    # Views of growing arrays, which must be gone before these grow again.
+    begin, sizes, flat = np.frombuffer(vocabulary.begin, np.int64), np.frombuffer(vocabulary.sizes, np.int64), np.frombuffer(vocabulary.flat, np.uint32)
+    counts = sizes[every]
+    return flat[spread(begin[every], counts)], starts(counts)[bounds + np.arange(len(bounds))]
 
 
 def pieces(sizes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
