@@ -16,19 +16,21 @@ from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loofold.session import written_table
 
 KEY = r"[A-Za-z0-9_\-+/.~]"
 #: Words that announce a secret when they stand just before it.
-ANNOUNCE = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer)"
+ANNOUNCE = r"(?:password|passwd|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|credential|bearer)"
 HINTS = rf"(?i){ANNOUNCE}\W{{0,4}}$"
 #: The same with an equals sign or colon between: what follows may be short or lower case.
 ASSIGNED = rf"(?i:{ANNOUNCE}[\"']?\s?[=:]\s?[\"']?)"
+#: Most words end at the cheap tests: too short, or no sign of assignment just before.
 CANDIDATE = (
-    rf"(?<!{KEY})(?:(?={KEY}*(?:[0-9]|[A-Za-z][A-Z])){KEY}{{12,}}|(?<={ASSIGNED}){KEY}{{6,}})={{0,2}}"
+    rf"(?<!{KEY})(?={KEY}{{6}})"
+    rf"(?:(?={KEY}*(?:[0-9]|[A-Za-z][A-Z])){KEY}{{12,}}|(?<=[=:]\s?[\"']?)(?<={ASSIGNED}){KEY}{{6,}})={{0,2}}"
 )
 MASK = "[SECRET]"
 
@@ -38,15 +40,16 @@ class Settings:
     """``dictionary`` words and at most about ``findings`` labelled rows of either label are used."""
 
     dictionary: int = 2000
+    generated: int = 4000  # findings made up beside those of the texts
     findings: int = 10_000
     trees: int = 15
-    depth: int = 5
+    depth: int = 6
     threshold: float = 0.5
     context: int = 48  # characters on either side
     seed: int = 5
 
 
-#: Formats known for sure, for labels where none are given: (value, text before it).
+#: Formats of providers and assignments as in code: (value, text before it). Secrets whatever the forest says.
 KNOWN = (
     (r"^(AKIA|ASIA)[0-9A-Z]{16}\.?$", None),
     (r"^gh[pousr]_[A-Za-z0-9]{36,}\.?$", None),
@@ -59,15 +62,19 @@ KNOWN = (
     (r"^SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}\.?$", None),
     (r"^eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.?$", None),
     (r"^[A-Za-z0-9+/]{32,}={0,2}$", r"PRIVATE KEY-----\s*$"),
+    (r".", rf"(?i:{ANNOUNCE}[\"']?=[\"']?)$"),
+)
+#: Taught as secrets, but the forest decides.
+HINTED = (
     (r"^[0-9a-f]{16,}$", HINTS),
-    (r"^[A-Za-z0-9_+/.~-]{20,}={0,2}$", HINTS),
-    (r".", ASSIGNED + "$"),
+    (r"^(?=.*[0-9])[A-Za-z0-9_+/.~-]{20,}={0,2}$", HINTS),
 )
-#: As sure to be none: numbers and addresses, paths, words in capitals, parts of urls and mail addresses.
+#: Taught as none: numbers and addresses, paths, words, parts of urls and mail addresses. Repeated
+#: groups are possessive, so that a match takes no stack, however long the value.
 PLAIN = (
     (r"^[0-9+./~_-]+$", None),
-    (r"^(~|\.{1,2})?/([a-z][A-Za-z0-9_.-]*/)+[A-Za-z0-9_.-]*$", None),
-    (r"^([A-Z]+|[A-Z]?[a-z]+)([-_./]([A-Z]+|[A-Z]?[a-z]+))*[.]?$", None),
+    (r"^(?:~|\.{1,2})?+/(?:[a-z][A-Za-z0-9_.-]*+/)++[A-Za-z0-9_.-]*+$", None),
+    (r"^(?:[A-Z]++(?![a-z])|[A-Z]?+[a-z]++)(?:[-_./](?:[A-Z]++(?![a-z])|[A-Z]?+[a-z]++))*+[.]?$", None),
     (r".", r"(://\S*|www\.\S*|@\S*)$"),
 )
 
@@ -82,8 +89,55 @@ def known_format(value: Column, before: Column) -> Column:
 
 
 def sure_label(value: Column, before: Column) -> Column:
-    """1 for a known format, 0 for what is plainly none, null where neither is sure."""
-    return F.when(_matches(KNOWN, value, before), 1).when(_matches(PLAIN, value, before), 0)
+    """1 for a known or announced format, 0 for what is plainly none, null where neither is sure."""
+    return F.when(_matches(KNOWN, value, before), 1).when(_matches(PLAIN, value, before), 0).when(_matches(HINTED, value, before), 1)
+
+
+#: Words of generated findings where the corpus has too few.
+FILLER = ("river", "garden", "window", "market", "winter", "silver", "letter", "summer", "basket", "planet", "remember", "yesterday")
+
+#: Made-up words, which no dictionary holds, are put together from these.
+SYLLABLES = ("lin", "ked", "sha", "re", "doc", "ver", "map", "hash", "ton", "bar", "sel", "mi", "user", "po", "gan", "ther", "fig", "lo", "data", "run")
+
+
+def generated(spark: SparkSession, words: list[str], n: int, seed: int) -> DataFrame:
+    """``n`` findings (value, before, after, label), half of them secrets, near the border between both.
+
+    Secrets are random hex, base64 or mixed strings that code or prose announces. The others look alike in one
+    respect: digests of commits and files, dates and versions behind words, names in mixed case,
+    paths, tails of urls, and plain words that follow a password's colon in prose. All built-in functions over hashes of a row number.
+    """
+    texts = F.array(*map(F.lit, [*[w for w in words if len(w) >= 5][:200], *FILLER]))
+    draw = lambda k, below: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(below)).cast("int")
+    known = lambda k: F.get(texts, F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.size(texts)).cast("int"))
+    part = lambda k: F.get(F.array(*map(F.lit, SYLLABLES)), draw(k, len(SYLLABLES)))
+    unknown = lambda k: F.concat(part(-3 * k), part(-3 * k - 1), F.when(draw(k + 50, 2) == 0, part(-3 * k - 2)).otherwise(F.lit("")))
+    word = lambda k: F.when(draw(k + 90, 2) == 0, known(k)).otherwise(unknown(k))
+    lines = lambda *options: F.get(F.array(*map(F.lit, options)), draw("line", len(options)))
+    digest = F.sha2(F.concat_ws("-", "id", F.lit(seed)), 512)
+    mixed = F.translate(F.base64(F.unhex(digest)), "+/=", "")
+    cut = lambda text, low, high: F.substr(text, F.lit(1), F.lit(low) + draw("size", high - low + 1))
+    number = draw("number", 9000) + 1000
+    kinds = (
+        (1, cut(digest, 16, 64), lines('token = "', "secret: ", "access_key = ", "auth-token: ", "credential "), lines('"', " ", "\n", " then ")),
+        (1, cut(F.base64(F.unhex(digest)), 20, 60), lines("secret: ", "api_key -> ", "Authorization: Bearer ", 'private key "'), lines("\n", " ", '"')),
+        (1, cut(mixed, 14, 40), lines("api key: ", "token: ", "the secret: ", "password: "), lines(" ", "\n", ", ")),
+        (0, F.concat_ws("-", word(1), word(2), number), lines(" the ", "\n", " see ", "token of "), lines(" ", ", ", "\n")),
+        (0, F.concat(F.initcap(word(1)), F.initcap(word(2)), number), lines(" class ", " by ", "\n"), lines("(", " ", ".")),
+        (0, F.concat_ws("/", F.lit(""), word(1), word(2), F.concat(word(3), number)), lines(" in ", "secret is in ", ' "'), lines(" ", '"', "\n")),
+        (0, F.when(F.length(word(1)) >= 6, word(1)).otherwise(F.lit("remember")), lines("The password: ", "password : ", "token: ", "a secret: "), lines(" to change it", " it", ".")),
+        (0, cut(digest, 32, 64), lines("commit ", "sha256 ", "md5sum of it ", "revision "), lines(" ", "\n", " fixes")),
+        (0, F.concat(word(1), F.lit("/"), F.initcap(word(2)), number), lines("see https://www.example.org/", "at http://site.net/a/"), lines(" ", "\n", ".")),
+    )
+    secret = F.pmod(F.col("id"), F.lit(2)) == 0
+    found = F.struct(F.lit(None).cast("int").alias("label"), F.lit("").alias("value"), F.lit("").alias("before"), F.lit("").alias("after"))
+    for label in (0, 1):
+        some = [k for k in kinds if k[0] == label]
+        for i, (_, value, before, after) in enumerate(some):
+            fits = (secret if label else ~secret) & (draw("kind", len(some)) == i)
+            here = F.concat_ws(" ", word(4), word(5), before), F.concat_ws(" ", after, word(6), word(7))
+            found = F.when(fits, F.struct(F.lit(label).alias("label"), value.alias("value"), here[0].alias("before"), here[1].alias("after"))).otherwise(found)
+    return spark.range(n).select(found.alias("x")).select("x.value", "x.before", "x.after", "x.label")
 
 
 def dictionary(docs: DataFrame, text_col: str, size: int) -> list[str]:
@@ -98,8 +152,8 @@ def pieces(docs: DataFrame, text_col: str, how: Settings) -> DataFrame:
     n = how.context
     text = F.coalesce(text_col, F.lit(""))
     return (
-        docs.withColumn("parts", F.split(text, CANDIDATE, -1))
-        .withColumn("values", F.regexp_extract_all(text, F.lit(f"({CANDIDATE})")))
+        docs.withColumn("values", F.regexp_extract_all(text, F.lit(f"({CANDIDATE})")))
+        .withColumn("parts", F.when(F.size("values") > 0, F.split(text, CANDIDATE, -1)).otherwise(F.array(text)))
         .withColumn(
             "finds",
             F.transform(
@@ -231,15 +285,15 @@ def trained(docs: DataFrame, text_col: str = "text", labelled: DataFrame | None
     """A scanner for texts like these.
 
     ``labelled`` holds findings: value, before, after and label (1 secret, 0 not). Without it
-    the candidates of ``docs`` are labelled by formats that are known for sure on both sides; the
-    others are not learned from. The dictionary
-    is counted over all texts; the forest sees a bounded sample of the findings.
+    the forest learns from ``generated`` findings and from the candidates of ``docs`` whose format
+    leaves no doubt on either side. The dictionary is counted over all texts; the forest sees a bounded
+    sample of the findings.
     """
     words = dictionary(docs, text_col, how.dictionary)
     if labelled is None:
         found = pieces(docs.select(F.col(text_col).alias("text")), "text", how).select(F.explode("finds").alias("find")).select("find.*")
-        found = found.withColumn("label", sure_label(F.col("value"), F.col("before")))
-        labelled = written_table(found.where("label is not null"), "findings")
+        found = found.withColumn("label", sure_label(F.col("value"), F.col("before"))).where("label is not null")
+        labelled = written_table(found.unionByName(generated(docs.sparkSession, words, how.generated, how.seed)), "findings")
     rows = sampled(labelled, how).withColumn("find", F.struct("value", "before", "after"))
     rows = written_table(rows.select(features(F.col("find"), words).alias("features"), "label"), "features")
     return Scanner(words, grown(rows, how), how)

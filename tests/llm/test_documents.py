@@ -8,6 +8,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from loofold.llm import fuzzyhash, language, mixing, neardup, packing, rules, scoring, secrets, substrings
 from loofold.llm.attention import Shape
 from tests.llm.conftest import prose
@@ -561,3 +563,46 @@ def test_labelled_findings_are_learned(spark, make):
     docs = make([(1, "x kABCDEF0123456789 then host00001234.net")])
     found = {r.value: r.is_secret for r in secrets.findings(docs, secrets.trained(docs, labelled=labelled)).collect()}
     assert found == {"kABCDEF0123456789": True, "host00001234.net": False}
+
+
+def test_forest_on_held_out_findings(spark, make):
+    """Findings of another seed, and some written by hand; the forest alone, without known formats."""
+    words = "house garden walked morning letter teacher against between another station".split()
+    docs = make([(i, " ".join(words[(i + k) % 10] for k in range(60)), "en", "a") for i in range(30)])
+    scanner = secrets.trained(docs)
+    rows = secrets.generated(spark, scanner.words, 1500, 99).withColumn("find", F.struct("value", "before", "after"))
+    rows = rows.withColumn("score", secrets.vote(scanner.trees, secrets.features(F.col("find"), scanner.words)))
+    found = [(r.label, r.score >= scanner.how.threshold) for r in rows.collect()]
+    hits, named, all_secrets = sum(a and b for a, b in found), sum(b for _, b in found), sum(a for a, _ in found)
+    assert 600 < all_secrets < 900 and hits >= 0.95 * all_secrets and hits >= 0.95 * named
+    by_hand = {
+        "The password: remember to change it": set(),
+        "our token: yesterday": set(),
+        "fixed in commit 9fceb02d0ae598e95dc970b74767f19372d61af8 and later": set(),
+        "see /usr/share/doc/libfoo2/README or LinkedHashMap2": set(),
+        'use token = "8f14e45fceea167a5a36dedd4bea2543f1e2d3c4" there': {"8f14e45fceea167a5a36dedd4bea2543f1e2d3c4"},
+        "the api key: Zx81LmQ09bTr7YwKp3Vd today": {"Zx81LmQ09bTr7YwKp3Vd"},
+        "password=hunter7": {"hunter7"},
+    }
+    frame = make([(i, t, "en", "a") for i, t in enumerate(by_hand)])
+    got = {t: set() for t in by_hand}
+    for r in secrets.findings(frame, scanner).where("is_secret").collect():
+        got[list(by_hand)[r.doc_id]].add(r.value)
+    assert got == by_hand
+
+
+def test_very_long_keys_take_no_stack(make):
+    long = ["/" + "segment/" * 40_000, "Word-" * 60_000, "a" * 300_000 + "1", "A" * 200_000]
+    docs = make([(i, f"see {x} password=hunter7", "en", "a") for i, x in enumerate(long)])
+    assert secrets.findings(docs, secrets.trained(docs)).where("is_secret and value = 'hunter7'").count() == 4
+
+
+def test_added_tokens_inside_texts():
+    """Texts can't inject the end token in another case; ids are those of the tokenizer."""
+    texts = ["a <|ENDOFTEXT|> b", "<|endoftext|>", "x<|EndOfText|>.", "B, <|startoftext|>C. d.", "<|", "É, A.b. İ.", ""]
+    ids, bounds = packing.token_ids("word_bpe_49k.json", [t.encode() for t in texts], 1)
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.public_tokenizer("word_bpe_49k.json"))
+    for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        assert ids[a:b].tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1]

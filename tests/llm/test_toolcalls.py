@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from loofold.llm import toolcalls
 
@@ -113,10 +114,17 @@ def test_every_turn_and_its_text_is_in_a_record(spark):
     assert sum(r.status == "message" for r in rows) == sum(role not in ("user", "assistant") for _, _, role, _ in said)
 
 
-def test_pipeline(spark, tables):
+def test_pipeline(spark, tables, tmp_path):
     import corpus_pipeline
 
+    token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
     docs = spark.read.parquet(f"{tables}/documents.parquet")
+    first = docs.orderBy("doc_id").first()["doc_id"]
+    planted = F.concat("text", F.lit(f' token = "{token}" password=hunter7'))
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == first, planted).otherwise(F.col("text")))
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
     frames = [docs]
     for _, stage in corpus_pipeline.STAGES:
         frames.append(stage(spark, frames[-1], tables).cache())
@@ -124,10 +132,13 @@ def test_pipeline(spark, tables):
     sizes = [f.count() for f in frames]
     assert sizes[1] >= 0.99 * sizes[0] and sizes[2] < sizes[1] and sizes[3] == sizes[2]
     assert frames[2].select("text").distinct().count() == sizes[2]
-    assert frames[3].where("text like '%[SECRET]%'").count() > 0
+    masked = frames[3].where("text like '%[SECRET]%'")
+    assert [r["doc_id"] for r in masked.where(F.col("doc_id") == first).collect()] == [first]
+    assert masked.where(F.col("doc_id") == first).first()["text"].endswith(' token = "[SECRET]" password=[SECRET]')
+    assert frames[3].where(F.col("text").contains(token) | F.col("text").contains("hunter7")).count() == 0
     pieces = frames[5].groupBy("doc_id").sum("length").count()
     assert pieces == frames[4].select("doc_id").distinct().count()
-    whole = corpus_pipeline.run(spark, tables)
+    whole = corpus_pipeline.run(spark, folder)
     assert whole.count() == sizes[5]
     for f in frames[1:]:
         f.unpersist()
