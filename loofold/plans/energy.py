@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loofold.functions.scalars import quoted, to_kwh
+from loofold.sources.tables import with_row_id
 
 # Where a profiler summary states the energy of the processor package.
 MARKER = "Package_0"
 MARKER_ROW = 2
 MARKER_CELL = 3
 
-SPLIT_CELLS = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+#: A cell and the comma behind it; quotes keep their commas, a lone quote is a letter like any other.
+CELL = r'((?:[^,"]|"[^"]*+"|")*+),'
+
+
+def cells_of(line: Column) -> Column:
+    """The cells of a ragged line as it stands, quotes included; an empty line has one empty cell."""
+    return F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(CELL), F.lit(1))
+
+
+def number_of(cell: Column) -> Column:
+    """The number that a cell holds, else null."""
+    return cell.try_cast("double")
 
 
 def read_emissions(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -25,13 +37,12 @@ def read_emissions(spark: SparkSession, path: str, schema: str | None = None) ->
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of profiler summaries: source, line_no, cells. One file is one small report."""
-    texts = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("source"), F.split("value", "\r?\n").alias("lines")
-    )
-    return texts.select("source", F.posexplode("lines").alias("line_no", "line")).select(
-        "source", "line_no", F.split("line", SPLIT_CELLS).alias("cells")
-    )
+    """Lines of profiler summaries: source, line_no, cells. Empty lines count and are kept.
+
+    Files are split like any text, so a report of any size is read by many tasks.
+    """
+    lines = with_row_id(spark.read.text(path), "line_no", "source")
+    return lines.select("source", "line_no", cells_of(F.col("value")).alias("cells"))
 
 
 def last_reading(readings: DataFrame, value: str, ts: str, by: Sequence[str] = ("run_id",)) -> DataFrame:
@@ -67,7 +78,7 @@ def marker_energy(
 ) -> DataFrame:
     """Energy in mJ per report: given cell of the given marker row, 0 where there is none."""
     marked = lines.where(F.exists("cells", lambda c: c.contains(marker)))
-    value = F.try_element_at("cells", F.lit(cell)).try_cast("double")
+    value = number_of(F.try_element_at("cells", F.lit(cell)))
     found = nth_match(marked, by, "line_no", row).select(*by, value.alias("energy_mj"))
     everyone = lines.select(*by).distinct()
     return everyone.join(found, list(by), "left").withColumn(

@@ -9,18 +9,20 @@ from datetime import datetime, timezone
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loofold.functions.metrics import mcc_binary, mcc_multiclass
 from loofold.functions.scalars import METHOD_NONE, quoted
-from loofold.operators.logistic import NotConverged, TooManyFeatures
+from loofold.operators.logistic import MAX_FEATURES, NotConverged
 from loofold.operators.loo import loo_logistic
 from loofold.operators.multiclass import kfold_in_fold_prep, kfold_multinomial
 from loofold.operators.prep import AllNull, PrepModel, TooManyLevels, fit_prep
-from loofold.operators.rows import normalise_types, numeric_features, tail_rows
+from loofold.operators.rows import normalise_types, numeric_features
 from loofold.operators.softmax import TooManyWeights, loo_softmax
+from loofold.operators.wide import loo_wide, sparse_rows
 from loofold.plans.ledger import append_ledger, ledger_rows
 from loofold.sources.catalog import pair_status, path_of, roles_of
-from loofold.sources.tables import read_csv, with_row_id
+from loofold.sources.tables import last_rows, read_csv, with_row_id
 
 
 @dataclass
@@ -35,16 +37,12 @@ class Evaluation:
     seconds: float
 
 
-def prepare(
-    df: DataFrame, categorical: list[str], target: str, key: str
-) -> tuple[DataFrame, list[str], PrepModel]:
-    """Model frame: key, features x0.., target; and the fitted preparation."""
+def prepare(df: DataFrame, categorical: list[str], target: str, key: str) -> tuple[DataFrame, PrepModel]:
+    """The table with types normalised, and the preparation fitted to it."""
     typed = normalise_types(df, [*categorical, key])
     features = [c for c in categorical if c != target]
     numeric = [c for c in numeric_features(typed, categorical, target) if c != key]
-    prep = fit_prep(typed, numeric, features, target)
-    names = [f"x{i}" for i in range(len(prep.feature_names))]
-    return prep.transform(typed, [key], names), names, prep
+    return typed, fit_prep(typed, numeric, features, target)
 
 
 METHODS, PREPS = ("loo", "kfold"), ("all", "in_fold")
@@ -71,8 +69,8 @@ def evaluate(
     """Out-of-fold classes of one target by the method the caller asks for, and no other.
 
     ``method`` is ``loo`` or ``kfold``, ``prep`` is ``all`` (statistics of all rows) or
-    ``in_fold`` (of training rows only; with ``kfold``). What cannot be done raises: a width
-    beyond a dense Hessian ``TooManyWeights``, text features ``NotNumeric``, no rows ``NoRows``.
+    ``in_fold`` (of training rows only; with ``kfold``). Two classes can have any number of features.
+    What cannot be done raises: more classes times features than a dense Hessian holds ``TooManyWeights``, text features ``NotNumeric``, no rows ``NoRows``.
     The clock covers the evaluation, not the preparation, but for ``in_fold`` both.
     """
     if method not in METHODS or prep not in PREPS or (method, prep) == ("loo", "in_fold"):
@@ -90,29 +88,45 @@ def evaluate(
         predictions = kfold_in_fold_prep(typed, key, numeric, features, target, folds, c)
         classes, n_features = [], len(numeric) + len(features)
         return _judged(predictions, classes, n_features, begun)
-    model, names, fitted = prepare(df, categorical, target, key)
+    typed, fitted = prepare(df, categorical, target, key)
+    names = [f"x{i}" for i in range(len(fitted.feature_names))]
     begun = time.monotonic()
     classes = fitted.classes
+    two = method == "loo" and len(classes) <= 2
+    if two and len(names) > MAX_FEATURES:  # too wide for a Hessian: sparse rows, no column per feature
+        label = (fitted.imputed(target) == F.lit(classes[-1])).cast("int")
+        rows, width = sparse_rows(typed, fitted, label, [key])
+        return _judged_two(loo_wide(rows, key, width, c).predictions, classes, width, begun)
+    model = fitted.transform(typed, [key], names)
     if method == "kfold":
         return _judged(kfold_multinomial(model, key, names, target, folds, c), classes, len(names), begun)
-    if len(classes) <= 2:
+    if two:
         coded = model.withColumn("__y", (F.col(quoted(target)) == F.lit(classes[-1])).cast("int"))
-        predictions = loo_logistic(coded, key, names, "__y", c).predictions
-        row = mcc_binary(predictions).first()
-        n = row["tp"] + row["tn"] + row["fp"] + row["fn"]
-        return Evaluation(predictions, classes, row["mcc"], n, len(names), time.monotonic() - begun)
+        return _judged_two(loo_logistic(coded, key, names, "__y", c).predictions, classes, len(names), begun)
     return _judged(loo_softmax(model, key, names, target, c).predictions, classes, len(names), begun)
 
 
+def _judged_two(predictions: DataFrame, classes: list, n_features: int, begun: float) -> Evaluation:
+    row = mcc_binary(predictions).first()
+    n = row["tp"] + row["tn"] + row["fp"] + row["fn"]
+    return Evaluation(predictions, classes, row["mcc"], n, n_features, time.monotonic() - begun)
+
+
 def _judged(predictions: DataFrame, classes: list, n_features: int, begun: float) -> Evaluation:
     row = mcc_multiclass(predictions).first()
     return Evaluation(predictions, classes, row["mcc"], row["n"], n_features, time.monotonic() - begun)
 
 
 def preview(catalog: DataFrame, dataset: str, n: int = 5) -> DataFrame:
-    """The last rows of a dataset, without any modelling."""
-    df = with_row_id(read_csv(catalog.sparkSession, path_of(catalog, dataset)), "row_id")
-    return tail_rows(df, "row_id", n).orderBy("row_id")
+    """The last rows of a dataset with their numbers, without any modelling.
+
+    The rows come from the ends of its last files; all others are only counted.
+    """
+    spark, path = catalog.sparkSession, path_of(catalog, dataset)
+    table = read_csv(spark, path)
+    rows, total = last_rows(spark, path, n, table.schema), table.count()
+    schema = T.StructType([T.StructField("row_id", T.LongType()), *table.schema.fields])
+    return spark.createDataFrame([(total - len(rows) + i, *r) for i, r in enumerate(rows)], schema)
 
 
 def run_pairs(
@@ -148,7 +162,7 @@ def run_pairs(
                 status, reason = "all_null", f"{e} has no values"
             except TooManyLevels as e:
                 status, reason = "too_many_levels", str(e)
-            except (TooManyWeights, TooManyFeatures) as e:
+            except TooManyWeights as e:
                 status, reason = "too_wide", str(e)
             except NotNumeric as e:
                 status, reason = "not_numeric", f"text in {e}"

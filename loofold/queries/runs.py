@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loofold.functions import scalars
-from loofold.plans.energy import attach_energy, last_reading, marker_energy
+from loofold.plans.energy import attach_energy, cells_of, last_reading, marker_energy, nth_match, number_of
 from loofold.queries.registry import query, table
 from loofold.session import scratch_folder
 from loofold.sources import catalog as cat
@@ -173,3 +173,49 @@ def energy_stream(spark, folder):
     store_live_energy(live, out, scratch_folder(spark, "live-energy-state")).awaitTermination()
     stored = spark.read.parquet(out)
     return stored.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max(F.struct("ts", "value"))["value"].alias("value"))
+
+
+#: Lines of documents, as far as a comma makes them reports.
+LINES = """
+lines AS (
+  SELECT doc_id, i AS line_no, regexp_extract_all(line || ',', '((?:[^,"]|"[^"]*"|")*),', 1) AS cells
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents))"""
+
+
+def _report_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line of every document as a line of a ragged report."""
+    docs = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return docs.select("doc_id", F.col("line_no").cast("long").alias("line_no"), cells_of(F.col("line")).alias("cells"))
+
+
+@query("WITH " + LINES + """
+SELECT doc_id, count(*) AS n_lines, sum(len(cells))::BIGINT AS n_cells, max(len(cells))::BIGINT AS widest,
+       sum(len(list_filter(cells, lambda c: regexp_matches(c, '^ *[0-9]+([.][0-9]+)? *$'))))::BIGINT AS n_numbers,
+       sum(len(list_filter(cells, lambda c: contains(c, '"'))))::BIGINT AS n_quoted
+FROM lines GROUP BY doc_id
+""")
+def report_cells(spark, folder):
+    """Lines and cells of ragged reports, and the cells that are numbers."""
+    lines = _report_lines(spark, folder)
+    plain = lambda c: number_of(c).isNotNull() & c.rlike("^ *[0-9]+([.][0-9]+)? *$")
+    total = lambda c: F.sum(c).cast("long")
+    return lines.groupBy("doc_id").agg(
+        F.count("*").alias("n_lines"),
+        total(F.size("cells")).alias("n_cells"),
+        F.max(F.size("cells").cast("long")).alias("widest"),
+        total(F.size(F.filter("cells", plain))).alias("n_numbers"),
+        total(F.size(F.filter("cells", lambda c: c.contains('"')))).alias("n_quoted"),
+    )
+
+
+@query("WITH " + LINES + """,
+marked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM lines
+  WHERE len(list_filter(cells, lambda c: contains(c, 'the'))) > 0)
+SELECT doc_id, line_no, cells[1] AS cell, len(cells)::BIGINT AS n_cells FROM marked WHERE n = 2
+""")
+def report_second_marker(spark, folder):
+    """The second line of each report that holds the marker, its first cell and its width."""
+    marked = _report_lines(spark, folder).where(F.exists("cells", lambda c: c.contains("the")))
+    found = nth_match(marked, ["doc_id"], "line_no", 2)
+    return found.select("doc_id", "line_no", F.try_element_at("cells", F.lit(1)).alias("cell"), F.size("cells").cast("long").alias("n_cells"))

@@ -33,6 +33,49 @@ def test_row_ids_of_a_split_file(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_row_ids_of_many_files_without_a_copy(spark, tmp_path, monkeypatch):
+    from loofold import session
+
+    monkeypatch.setattr(session, "written_table", None)  # nothing is written
+    for name, begin, end in (("b", 900, 1500), ("a", 0, 900), ("d", 1500, 1500), ("c", 1500, 1507)):
+        write(tmp_path / f"{name}.csv", "n,word\n" + "".join(f"{i},w{i}\n" for i in range(begin, end)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        df = tables.read_csv(spark, str(tmp_path), "n int, word string")
+        numbered = tables.with_row_id(df)
+        assert numbered.columns == ["row_id", "n", "word"]
+        assert numbered.where("row_id <> n").count() == 0 and numbered.count() == 1507
+        assert numbered.where("n % 7 = 0 and row_id <> n").count() == 0  # a filter stays behind the count
+        each = {r["name"][-5:]: (r["least"], r["most"]) for r in tables.with_row_id(df, "at", "name").groupBy("name").agg(F.min("at").alias("least"), F.max("at").alias("most")).collect()}
+        assert each == {"a.csv": (0, 899), "b.csv": (0, 599), "c.csv": (0, 6)}
+        assert [r["n"] for r in tables.last_rows(spark, str(tmp_path), 9, "n int, word string")] == list(range(1498, 1507))
+        later = tables.with_row_id(df)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+        with pytest.raises(Exception, match="split in other places"):
+            later.orderBy("row_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_preview_reads_a_bounded_tail(spark, tmp_path):
+    path = write(tmp_path / "long.csv", "n,word\n" + "".join(f"{i},w{i}\n" for i in range(5000)))
+    listed = catalog.register(spark, {"long": path}, {"long": ["word"]})
+    assert [tuple(r) for r in evaluate.preview(listed, "long", 3).collect()] == [(i, i, f"w{i}") for i in (4997, 4998, 4999)]
+    assert evaluate.preview(listed, "long", 6000).count() == 5000
+
+
+def test_wide_datasets_are_evaluated(spark, tmp_path, monkeypatch):
+    """More one-hot columns than a dense Hessian may have give the same ledger row."""
+    path = csv_of(tmp_path / "wide.csv", ["x", "a", "b", "y"], [(i * 7 % 13, f"l{i * 5 % 17}", f"m{i % 4}", int(i * 5 % 17 > 8 or i % 11 == 0)) for i in range(60)])
+    listed = catalog.register(spark, {"wide": path}, {"wide": ["a", "b", "y"]}).persist()
+    pairs = spark.createDataFrame([(0, "wide", None)], "position int, dataset string, target string")
+    dense = evaluate.run_pairs(listed, pairs, "linux").first()
+    monkeypatch.setattr(evaluate, "MAX_FEATURES", 5)
+    sparse = evaluate.run_pairs(listed, pairs, "linux").first()
+    assert sparse["status"] == "ok" and sparse["n_features"] == 22
+    assert [sparse[c] for c in ("n_rows", "n_features", "mcc")] == [dense[c] for c in ("n_rows", "n_features", "mcc")]
+
+
 def test_catalog_and_requests(spark, patients):
     listed = catalog.register(
         spark, {"patients": patients, "gone": "/no/such/file.csv"}, {"patients": ["risk ", "outcome"]}
@@ -158,6 +201,7 @@ def test_merge_takes_the_newest(spark, tmp_path):
         ("x,Package_0,5\ny\nz,Package_0,7\nw,Package_0,9\n", 7.0),
         ("x,Package_0,5\nz,Package_0\n", 0.0),
         ('x,Package_0,5\n"a,b","in Package_0",8.5,1\r\n', 8.5),
+        ('x,Package_0,5\n\n5" lone,Package_0,7.5,x\n', 7.5),
     ],
 )
 def test_profiler_summary(spark, tmp_path, text, mj):
