@@ -14,7 +14,7 @@ from loofold.operators.prep import fit_prep
 from loofold.operators.softmax import kfold_softmax, loo_softmax
 from loofold.operators.split import key_bucket
 from loofold.plans.evaluate import evaluate
-from loofold.queries.newton_sql import MCC, SCORED, fold_bucket, newton_ctes
+from loofold.queries.newton_sql import MCC, SCORED, fold_bucket, newton3_ctes, newton_ctes
 from loofold.queries.registry import query, r6, table
 from loofold.session import written_table
 
@@ -213,6 +213,35 @@ def kfold_prep_in_fold(spark, folder):
     ).select("o_orderkey", "fold", "label", "prediction")
 
 
+KINDS = """
+  SELECT l.doc_id AS key, CASE WHEN toxic = 1 THEN 2 ELSE quality END AS y,
+         length(regexp_replace(text, '[A-Za-z ]', '', 'g')) * 1.0 / length(text) AS f1
+  FROM labels l JOIN documents d ON d.doc_id = l.doc_id"""
+STATUSES = "SELECT o_orderkey AS key, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS y, o_totalprice AS f1 FROM orders"
+
+
+@query(newton3_ctes(KINDS, "key") + "SELECT key AS doc_id, y::INTEGER AS label, z::INTEGER AS prediction FROM judged")
+def loo_three_classes(spark, folder):
+    """Left-out kind of every labelled document (poor, good, toxic), each as refitted without it."""
+    measured = text_measures(spark, folder, "quality", "toxic")
+    kind = F.when(F.col("toxic") == 1, 2).otherwise(F.col("quality")).cast("int")
+    measured = measured.select("doc_id", "odd_share", kind.alias("kind"))
+    model = fit_prep(measured, ["odd_share"], [], "kind").transform(measured, ["doc_id"])
+    found = loo_softmax(model, "doc_id", ["odd_share"], "kind").predictions
+    return found.select("doc_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+
+
+@query(newton3_ctes(STATUSES, fold_bucket(FOLDS).replace("doc_id", "key")) + """
+SELECT key AS o_orderkey, fold, substr('FOP', (y + 1)::INT, 1) AS label, substr('FOP', z + 1, 1) AS prediction, round(p, 6) AS p FROM judged
+""")
+def kfold_three_classes(spark, folder):
+    """Out-of-fold status of every order from its price, with the probability of the class; all fits share their passes."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    model = fit_prep(orders, ["o_totalprice"], [], "o_orderstatus").transform(orders, ["o_orderkey"])
+    found = kfold_softmax(model, "o_orderkey", ["o_totalprice"], "o_orderstatus", FOLDS, fold=key_bucket(F.col("o_orderkey"), FOLDS))
+    return found.withColumn("p", r6("p"))
+
+
 def _flagged_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders above a price, told from their priority by rule."""
     return table(spark, folder, "orders").select(
