@@ -13,11 +13,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loofold.functions.scalars import quoted
+from loofold.session import written_table
 
 EXACT_ROWS = 100_000
 ACCURACY = 10_000
@@ -191,3 +193,48 @@ def _percentiles(
         return low if share == 0 else low + (high - low) * share
 
     return [{c: [value(c, p, kind) for p in probabilities] for c in columns} for kind in kinds]
+
+
+def percentiles_by(df: DataFrame, by: Sequence[str], column: str, probabilities: Sequence[float]) -> DataFrame:
+    """Exact percentiles of each group: the columns ``by``, n, lower and middle (arrays by probability).
+
+    ``lower`` is the least value that the share of rows reaches, ``middle`` interpolates. Nulls and NaN are
+    left out; a group without values has no row, a null group is one of its own. All groups
+    are searched at once and none is held: equal values are counted before any shuffle, distinct
+    ones dealt into ranges of group and value, and ranks follow from counts before each range. So a
+    group with most of the rows is spread over as many ranges as it needs.
+    """
+    keys = [f"__g{i}" for i in range(len(by))]
+    value = F.col(quoted(column)).cast("double")
+    rows = df.select(*[F.col(quoted(c)).alias(k) for c, k in zip(by, keys, strict=True)], value.alias("__value"))
+    counts = rows.where(F.col("__value").isNotNull() & ~F.isnan("__value")).groupBy(*keys, "__value").agg(F.count("*").alias("__n"))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written once, as ranges are drawn from a sample and must be the same for all that follows.
+    dealt = written_table(counts.repartitionByRange(ranges, *keys, "__value").withColumn("__range", F.spark_partition_id()), "ranges")
+    pieces = dealt.groupBy(*keys, "__range").agg(F.sum("__n").alias("__m"))  # a row per range and group in it
+    group = Window.partitionBy(*keys)
+    before = F.sum("__m").over(group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.withColumns({"__before": F.coalesce(before, F.lit(0)), "__total": F.sum("__m").over(group)})
+    inside = F.sum("__n").over(Window.partitionBy("__range", *keys).orderBy("__value"))
+    pieces = pieces.select(*[F.col(k).alias(f"{k}p") for k in keys], F.col("__range").alias("__rangep"), "__before", "__total")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}p")) for k in keys], F.col("__range") == F.col("__rangep"))
+    placed = dealt.withColumn("__end", inside).join(pieces, same).withColumn("__end", F.col("__end") + F.col("__before"))
+    ranks: list[Column] = []
+    for p in probabilities:
+        position = F.lit(float(p)) * (F.col("__total") - 1)
+        ranks += [
+            F.greatest(F.ceil(F.lit(float(p)) * F.col("__total")), F.lit(1)),
+            F.floor(position) + 1,
+            F.least(F.floor(position) + 2, F.col("__total")),
+        ]
+    here = [(F.col("__end") - F.col("__n") < r) & (r <= F.col("__end")) for r in ranks]
+    hits = placed.where(reduce(Column.__or__, here))
+    found = hits.groupBy(*keys).agg(F.max("__total").alias("n"), *[F.max(F.when(h, F.col("__value"))).alias(f"__r{i}") for i, h in enumerate(here)])
+    share = [F.lit(float(p)) * (F.col("n") - 1) - F.floor(F.lit(float(p)) * (F.col("n") - 1)) for p in probabilities]
+    middle = [F.col(f"__r{3 * i + 1}") + (F.col(f"__r{3 * i + 2}") - F.col(f"__r{3 * i + 1}")) * s for i, s in enumerate(share)]
+    return found.select(
+        *[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)],
+        "n",
+        F.array(*[F.col(f"__r{3 * i}") for i in range(len(probabilities))]).alias("lower"),
+        F.array(*middle).alias("middle"),
+    )

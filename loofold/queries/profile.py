@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loofold.operators import profile
-from loofold.operators.quantiles import exact_percentile_pairs, lower_median, middle_median
+from loofold.operators.quantiles import exact_percentile_pairs, lower_median, middle_median, percentiles_by
 from loofold.queries.registry import query, r6, table
 
 PROFILED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -103,3 +103,17 @@ def binary_targets(spark, folder):
         "quality", "toxic", (F.col("quality") + F.col("toxic")).alias("n")
     )
     return profile.binary_check(labels, ["quality", "toxic", "n"])
+
+
+@query("""
+SELECT level, n, round(lower, 6) AS lower, round(middle, 6) AS middle, round(ninth, 6) AS ninth FROM (
+  SELECT level, count(*) AS n, quantile_disc(price, 0.5) AS lower, quantile_cont(price, 0.5) AS middle, quantile_disc(price, 0.9) AS ninth
+  FROM (SELECT CASE WHEN l_orderkey % 10 = 0 THEN l_returnflag ELSE 'rest' END AS level, l_extendedprice::DOUBLE AS price FROM lineitem)
+  GROUP BY level)
+""")
+def median_by_hot_level(spark, folder):
+    """Exact medians and ninth tenths of the price by level, of which one holds nine tenths of the rows."""
+    level = F.when(F.col("l_orderkey") % 10 == 0, F.col("l_returnflag")).otherwise("rest").alias("level")
+    rows = table(spark, folder, "lineitem").select(level, "l_extendedprice")
+    found = percentiles_by(rows, ["level"], "l_extendedprice", [0.5, 0.9])
+    return found.select("level", "n", r6(F.get("lower", F.lit(0))).alias("lower"), r6(F.get("middle", F.lit(0))).alias("middle"), r6(F.get("lower", F.lit(1))).alias("ninth"))

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loofold.operators.quantiles import exact_percentiles, lower_median, middle_median, order_statistics
+from tests.conftest import plan_of
+from loofold.operators.quantiles import exact_percentiles, lower_median, middle_median, order_statistics, percentiles_by
 
 
 @pytest.mark.parametrize(
@@ -47,3 +48,26 @@ def test_interpolated_matches_numpy(spark):
     assert np.allclose(found["a.b"], np.quantile(a, [0.1, 0.25, 0.5, 0.9]), rtol=1e-12)
     assert np.allclose(found["b"], np.quantile(b, [0.1, 0.25, 0.5, 0.9]), rtol=1e-12)
     assert df.agg(F.count("b")).first()[0] == 501
+
+
+def test_percentiles_by_hot_groups(spark):
+    """One group holds most rows; nulls, NaN, ties, a null group and one without values."""
+    rng = random.Random(8)
+    groups = ["hot"] * 900 + ["a"] * 40 + [None] * 30 + ["one"]
+    rows = [(g, i % 3, rng.choice([rng.gauss(0, 1), float(rng.randrange(4))])) for i, g in enumerate(groups)]
+    extra = [("hot", 0, None), ("hot", 1, float("nan")), ("empty", 0, None)]
+    df = spark.createDataFrame(rows + extra, "`g.x` string, h int, v double").repartition(7)
+    shares = [0.0, 0.1, 0.5, 0.75, 1.0]
+    for by in (["g.x"], ["g.x", "h"]):
+        found = percentiles_by(df, by, "v", shares)
+        plan = plan_of(found).lower()
+        assert "percentile" not in plan and "collect" not in plan
+        got = {tuple(r[c] for c in by): r for r in found.collect()}
+        wanted = {}
+        for g, h, v in rows:
+            wanted.setdefault((g, h)[: len(by)], []).append(v)
+        assert got.keys() == wanted.keys()
+        for key, values in wanted.items():
+            assert got[key]["n"] == len(values)
+            assert np.allclose(got[key]["middle"], np.quantile(values, shares), rtol=1e-12)
+            assert got[key]["lower"] == [float(v) for v in np.quantile(values, shares, method="inverted_cdf")]
