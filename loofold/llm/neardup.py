@@ -6,8 +6,8 @@ hash so that two texts agree with probability equal to their weighted Jaccard si
 of draws are bucket keys. In each bucket the texts are linked to the one that shares most
 buckets with others, and a link counts if the weighted Jaccard of the whole texts reaches the
 threshold. Texts that are then not connected to a bucket's centre are compared with every member
-they are not connected to: in a join in small buckets, by their draws and block by block in
-larger ones, those most alike first. No bucket has a cap.
+they are not connected to: in a join in small buckets, block by block in larger ones, where the
+blocks verify what they compare and give the links of a spanning forest only. No bucket has a cap.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ FREQUENCY_BITS = 18
 FREQUENCY_PARTS = 64
 #: Rows of an id and a digest that may be broadcast: at most 64 MB.
 BROADCAST_ROWS = 500_000
-#: Texts of a large bucket that meet as many others in one group.
-BLOCK = 256
+#: Texts of a large bucket that meet as many others in one group, and runs compared at a time there.
+BLOCK = 512
+COLUMNS = 4096
 
 
 @dataclass(frozen=True)
@@ -302,16 +303,15 @@ def links(nodes: DataFrame, texts: DataFrame, weights: np.ndarray, how: Settings
     if spokes.join(first, ["node", "hub"], "left_anti").isEmpty():
         return first
     found = [first]
-    for whole in (False, True):  # near mates first, so that few pairs are left for the whole comparison
+    for whole in (False, True):  # within blocks first, so that few are left to meet the other blocks
         members = written_table(_unlike(table.join(hubs, "key"), components(_union(found), "node", "hub")), "unlike")
-        pairs = _across(members.where(F.col("n") > how.small), nodes, how, whole)
+        found.append(written_table(_across(members.where(F.col("n") > how.small), nodes, held, weights, how, whole), "links"))
         if not whole:
             few = members.where(F.col("n") <= how.small)
             mates = few.select("key", F.col("node").alias("mate"), F.col("root").alias("other"), F.col("left").alias("mate_left"))
             few = few.where("left").join(mates, "key").where("root != other and (not mate_left or node < mate)")
-            pairs = pairs.unionByName(few.select("node", "mate"))
-        pairs = pairs.select(F.greatest("node", "mate").alias("node"), F.least("node", "mate").alias("hub")).distinct()
-        found.append(written_table(verified(pairs, nodes, held, weights, how), "links"))
+            pairs = few.select(F.greatest("node", "mate").alias("node"), F.least("node", "mate").alias("hub")).distinct()
+            found.append(written_table(verified(pairs, nodes, held, weights, how), "links"))
     return _union(found)
 
 
@@ -328,51 +328,124 @@ def _unlike(members: DataFrame, roots: DataFrame) -> DataFrame:
     return marked.join(marked.where("left").select("key").distinct(), "key")
 
 
-def _across(members: DataFrame, nodes: DataFrame, how: Settings, whole: bool) -> DataFrame:
-    """node and mate: texts of one bucket that are not connected and whose draws are alike.
+def similarities(one: list[bytes], two: list[bytes], rarity: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard of all pairs of packed texts, to the last digits of single precision.
 
-    Each text left over meets every member of its bucket, in blocks of about BLOCK by BLOCK, so
-    a bucket is spread over many tasks. If not ``whole``, only the most alike of each block is
-    given. A pair is given in the first band that it shares.
+    The k-th repeat of a run is a column of its own, so the lesser counts become a product of two
+    matrices of 0 and 1 with the weights between; only columns of both sides enter, some at a time.
+    """
+    mask = np.uint32((1 << FREQUENCY_BITS) - 1)
+
+    def columns(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, rows, total = [], [], np.zeros(len(packed))
+        for i, raw in enumerate(packed):
+            runs, counts = _vector(raw)
+            times = counts.astype(np.int64)
+            nth = spread(np.zeros(len(runs), np.int64), times)
+            keys.append(np.repeat(runs.astype(np.uint64), times) | (nth.astype(np.uint64) << np.uint64(32)))
+            rows.append(np.full(len(nth), i))
+            total[i] = float((counts * rarity[runs & mask]).sum())
+        return np.concatenate(keys), np.concatenate(rows), total
+
+    (a, i, m), (b, j, n) = columns(one), columns(two)
+    both = np.intersect1d(np.unique(a), np.unique(b), assume_unique=True)
+    least = np.zeros((len(one), len(two)))
+    sides = []
+    for keys, rows in ((a, i), (b, j)):
+        at = np.minimum(np.searchsorted(both, keys), max(len(both) - 1, 0))
+        use = both[at] == keys if len(both) else np.zeros(len(keys), bool)
+        order = np.argsort(at[use], kind="stable")
+        sides.append((at[use][order], rows[use][order]))
+    weight = rarity[(both & np.uint64(mask)).astype(np.int64)]
+    for begin in range(0, len(both), COLUMNS):
+        part = weight[begin : begin + COLUMNS]
+        full = []
+        for (at, rows), height in zip(sides, least.shape, strict=True):
+            here = slice(*np.searchsorted(at, (begin, begin + len(part))))
+            matrix = np.zeros((height, len(part)), np.float32)
+            matrix[rows[here], at[here] - begin] = 1
+            full.append(matrix)
+        least += (full[0] * part) @ full[1].T
+    total = m[:, None] + n
+    return np.where(total > least, least / np.maximum(total - least, 1e-30), 1.0)
+
+
+def forest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the links between numbered parts connect what those before do not."""
+    up: dict[int, int] = {}
+
+    def top(i: int) -> int:
+        while up.get(i, i) != i:
+            up[i] = up.get(up[i], up[i])
+            i = up[i]
+        return i
+
+    used = np.zeros(len(x), bool)
+    for k, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        a, b = top(a), top(b)
+        if a != b:
+            up[a] = b
+            used[k] = True
+    return used
+
+
+def _across(members: DataFrame, nodes: DataFrame, held: DataFrame, weights: np.ndarray, how: Settings, whole: bool) -> DataFrame:
+    """Links (node, hub) of similar texts of one bucket that are not connected, enough to connect them.
+
+    Members meet within their block of about BLOCK; if ``whole``, each text left over meets every
+    block of its bucket. Pairs with alike draws are verified by their whole texts in the group itself, which gives
+    a spanning forest: rows grow with the texts of a block and not with its pairs. A pair is looked at
+    in the first band that it shares.
     """
     sizes = members.groupBy("key").agg(
         F.ceil(F.count_if("left") / BLOCK).cast("int").alias("across"), F.ceil(F.count("*") / BLOCK).cast("int").alias("down")
     )
-    rows = members.join(sizes, "key").join(nodes, "node")
+    rows = members.join(sizes, "key").join(nodes, "node").join(held, "node")
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    kept = ["key", "band", "node", "root", "left", "draws", "keys"]
-    sides = rows.where("left").select(*kept, F.lit(True).alias("first"), block("across").alias("x"), every("down").alias("y")).unionByName(
-        rows.select(*kept, F.lit(False).alias("first"), every("across").alias("x"), block("down").alias("y"))
-    )
+    kept = ["key", "band", "node", "root", "left", "draws", "keys", "runs"]
+    if whole:
+        sides = rows.where("left").select(*kept, F.lit(True).alias("first"), block("across").alias("x"), every("down").alias("y"))
+        sides = sides.unionByName(rows.select(*kept, F.lit(False).alias("first"), every("across").alias("x"), block("down").alias("y")))
+    else:
+        sides = rows.select(*kept, F.col("left").alias("first"), block("down").alias("x"), F.lit(0).alias("y"))
     least = (how.similarity - 0.3) * how.bands * how.rows - 1e-9
+    shared = members.sparkSession.sparkContext.broadcast(weights)
 
     def run(table: pa.Table) -> pa.Table:
+        none = pa.table({"node": pa.array([], pa.string()), "hub": pa.array([], pa.string())})
         first = table.column("first").to_numpy(zero_copy_only=False)
-        at, to = np.flatnonzero(first), np.flatnonzero(~first)
-        names, roots = (np.array(table.column(c).to_pylist(), object) for c in ("node", "root"))
-        none = pa.table({"node": pa.array([], pa.string()), "mate": pa.array([], pa.string())})
-        if not len(at) or not len(to):
+        at, to = np.flatnonzero(first), np.flatnonzero(~first) if whole else np.arange(len(first))
+        if not len(at) or len(to) < 1 + (not whole):
             return none
+        names = np.array(table.column("node").to_pylist(), object)
+        _, roots = np.unique(np.array(table.column("root").to_pylist()), return_inverse=True)
         left = table.column("left").to_numpy(zero_copy_only=False)
         draws = np.frombuffer(b"".join(table.column("draws").to_pylist()), "<u4").reshape(len(names), -1)
         keys = np.array(table.column("keys").to_pylist(), np.int64)
         alike = np.zeros((len(at), len(to)), np.int16)
         for i in range(draws.shape[1]):
             alike += draws[at, i][:, None] == draws[to, i]
-        use = (alike >= least) & (roots[at][:, None] != roots[to]).astype(bool)
+        use = (alike >= least) & (roots[at][:, None] != roots[to])
         for i in range(table.column("band")[0].as_py()):
             use &= keys[at, i][:, None] != keys[to, i]
-        if whole:
-            x, y = np.nonzero(use & (~left[to] | (names[at][:, None] < names[to]).astype(bool)))
-        else:
-            alike = np.where(use, alike, -1)
-            y = alike.argmax(axis=1)
-            x = np.flatnonzero(alike[np.arange(len(at)), y] >= 0)
-            y = y[x]
-        return pa.table({"node": pa.array(names[at[x]], pa.string()), "mate": pa.array(names[to[y]], pa.string())})
+        use &= ~left[to] | (names[at][:, None] < names[to]).astype(bool)
+        rows, cols = np.flatnonzero(use.any(axis=1)), np.flatnonzero(use.any(axis=0))
+        if not len(rows):
+            return none
+        packed = table.column("runs")
+        texts = [[packed[int(i)].as_py() for i in side] for side in (at[rows], to[cols])]
+        found = similarities(*texts, shared.value)
+        near = np.argwhere(use[np.ix_(rows, cols)] & (np.abs(found - how.similarity) < 1e-5))
+        for i, j in near.tolist():  # too near the threshold for single precision
+            found[i, j] = similarity(_vector(texts[0][i]), _vector(texts[1][j]), shared.value)
+        x, y = np.nonzero(use[np.ix_(rows, cols)] & (found >= how.similarity))
+        x, y = at[rows][x], to[cols][y]
+        linked = forest(roots[x], roots[y])
+        return pa.table({"node": pa.array(names[x[linked]], pa.string()), "hub": pa.array(names[y[linked]], pa.string())})
 
-    return sides.groupBy("key", "x", "y").applyInArrow(run, "node string, mate string")
+    found = sides.groupBy("key", "x", "y").applyInArrow(run, "node string, hub string")
+    return found.select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).distinct()
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -388,7 +461,7 @@ def node_of(text_col: str, id_col: str) -> Column:
 
 
 def near_duplicates(docs: DataFrame, how: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node (of its text), class_id and class_size of each row.
+    """doc_id, node (of its text), root (a node that names the class), class_id and class_size of each row.
 
     A class is connected by links of weighted Jaccard ``similarity`` or more; class_id is its
     smallest doc_id. Equal texts share a class whatever their length, texts without words are
@@ -406,7 +479,7 @@ def near_duplicates(docs: DataFrame, how: Settings = Settings(), id_col: str = "
     members = table.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     members = written_table(members, "members")
     classes = members.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return members.join(classes, "root").select("doc_id", "node", "class_id", "class_size")
+    return members.join(classes, "root").select("doc_id", "node", "root", "class_id", "class_size")
 
 
 def one_of_each(docs: DataFrame, how: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -417,9 +490,7 @@ def one_of_each(docs: DataFrame, how: Settings = Settings(), id_col: str = "doc_
     """
     members = written_table(near_duplicates(docs, how, id_col, text_col), "classes")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
-    # class_id is null where no member has an id: then the text alone names the class
-    name = F.coalesce(F.col("class_id").cast("string"), F.concat(F.lit("node:"), "node"))
-    named = members.withColumn("class", name)
+    named = members.withColumnRenamed("root", "class")  # not class_id, which unlike texts of one id share
     best = named.groupBy("class").agg(F.min(order).alias("best"))
     judged = named.join(best, "class").withColumn("stays", order == F.col("best"))
     out = written_table(judged.where(~F.col("stays")).select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct(), "dropped")

@@ -234,18 +234,23 @@ def test_near_duplicates(make, odd):
     rows += [(200 + i, edited(other, range(0, 260, 9), f"v{i}")) for i in range(6)] + [(300, base), (301, other), (302, other)]
     rows += [(400 + i, prose(100, 20) + " " + prose(120, 30 + i)) for i in range(12)]  # a shared passage is no copy
     docs = make(rows).unionByName(odd)
-    found = neardup.near_duplicates(docs, how).select("doc_id", "class_id", "class_size").collect()
+    classes = neardup.near_duplicates(docs, how)
+    found = classes.select("doc_id", "class_id", "class_size").collect()
     pairs = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted(map(tuple, found), key=repr) == brute_classes(pairs, how, neardup.frequencies(docs.select("text"), how))
     kept = neardup.one_of_each(docs, how)
     assert kept.columns == docs.columns
     left = [(r.doc_id, r.text) for r in kept.collect()]
-    assert len(left) == len({(r.class_id, r.class_id is None and r.doc_id) for r in found})
+    assert len(left) == classes.select("root").distinct().count()
     assert len(left) == len(set(left))
+    assert {t for i, t in left if i == 4} == {prose(120, 1), prose(90, 2)}  # unlike texts of one id are no copies
 
 
-def test_large_mixed_bucket(make, monkeypatch):
+@pytest.mark.parametrize("block", [3, 512])
+def test_large_mixed_bucket(make, monkeypatch, block):
     """Buckets beyond the small size whose centre does not explain all members."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "COLUMNS", 50)
     how = neardup.Settings(bands=14, rows=1, small=2)
     shared = prose(60, 7)
     rows = []
@@ -269,6 +274,22 @@ def test_twins_over_one_template(make):
     assert sorted(map(tuple, found), key=repr) == brute_classes(rows, how, neardup.frequencies(docs.select("text"), how))
 
 
+def test_similarities_of_a_block():
+    rng = np.random.default_rng(6)
+    rarity = (1 + 0.25 * rng.random(1 << neardup.FREQUENCY_BITS)).astype(np.float32)
+    pool, texts = rng.integers(0, 1 << 32, 60, dtype=np.uint32), [np.zeros(1, np.uint32).tobytes()]
+    for _ in range(20):
+        runs = np.unique(rng.choice(pool, rng.integers(1, 50)))
+        counts = rng.integers(1, 4, len(runs)).astype(np.uint32)
+        more = np.flatnonzero(counts != 1).astype(np.uint32)
+        texts.append(np.concatenate((np.array([len(runs)], np.uint32), runs, more, counts[more])).tobytes())
+    found = neardup.similarities(texts, texts[:7], rarity)
+    wanted = [[neardup.similarity(neardup._vector(a), neardup._vector(b), rarity) for b in texts[:7]] for a in texts]
+    assert np.allclose(found, wanted, atol=1e-6)
+    x, y = np.array([1, 2, 1, 5, 6, 7, 5]), np.array([2, 3, 3, 6, 7, 5, 1])
+    assert neardup.forest(x, y).tolist() == [True, True, False, True, True, False, True]
+
+
 def test_consistent_samples_estimate_similarity():
     rng = np.random.default_rng(0)
     runs = rng.integers(1 << 48, size=400).astype(np.uint64)
