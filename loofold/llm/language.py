@@ -116,8 +116,8 @@ def potentials(model: Field, words: list[bytes]) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
-def marginals(scores: np.ndarray, lengths: np.ndarray, change: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Probability of each language at each position, chains one after another.
+def passes(scores: np.ndarray, lengths: np.ndarray, change: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Factors of the positions and moves, and what lies before (with the position) and after it, scaled.
 
     All chains take a step together, longest first, so a step works on those not yet ended.
     """
@@ -143,10 +143,29 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, change: np.ndarray, start
         ahead /= ahead.sum(axis=1, keepdims=True)
         backward[at] = ahead
         state = ahead * fact[at]
+    return fact, moves, forward, backward
+
+
+def marginals(scores: np.ndarray, lengths: np.ndarray, change: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Probability of each language at each position, chains one after another."""
+    _, _, forward, backward = passes(scores, lengths, change, start)
     both = forward * backward
     return both / both.sum(axis=1, keepdims=True)
 
 
+def gradient(scores: np.ndarray, lengths: np.ndarray, label: np.ndarray, change: np.ndarray, start: np.ndarray):
+    """Of minus the log-likelihood of the labels: by position, by move and by language at the start."""
+    fact, moves, forward, backward = passes(scores, lengths, change, start)
+    both = forward * backward
+    seen = np.eye(len(start))[label]
+    gap = both / both.sum(axis=1, keepdims=True) - seen
+    first = starts(lengths)[:-1][lengths > 0]
+    inner = np.setdiff1d(np.arange(len(label)), first)
+    pair = forward[inner - 1][:, :, None] * moves * (fact[inner] * backward[inner])[:, None, :]
+    pair /= pair.sum(axis=(1, 2), keepdims=True)
+    return gap, pair.sum(axis=0) - seen[inner - 1].T @ seen[inner], gap[first].sum(axis=0)
+
+
 def fit(langs: list[str], samples: list[tuple[int, bytes]], how: Training) -> Field:
     """Learns weights and transitions from runs of words of known language.
 
@@ -195,21 +214,13 @@ def fit(langs: list[str], samples: list[tuple[int, bytes]], how: Training) -> Fi
         np.cumsum(model.weights[ids], axis=0, out=sums[1:])
         cut = starts(counts[own])
         scores = (sums[cut[1:]] - sums[cut[:-1]])[where]
-        found = marginals(scores, lengths, model.change, model.start)
-        seen = np.eye(k)[label]
-        gap = found - seen
+        gap, moved, begun = gradient(scores, lengths, label, model.change, model.start)
         by_word = np.zeros((len(own), k))
         np.add.at(by_word, where, gap)
-        first = starts(lengths)[:-1]
-        inner = np.setdiff1d(np.arange(len(chain)), first)
-        # expected moves: pair probabilities from neighbouring marginals under the model's moves
-        moves = np.exp(model.change - model.change.max())
-        pair = found[inner - 1][:, :, None] * moves * found[inner][:, None, :]
-        pair /= pair.sum(axis=(1, 2), keepdims=True)
         steps = (
             (ids, np.repeat(by_word, counts[own], axis=0) / how.batch),
-            (None, (pair.sum(axis=0) - seen[inner - 1].T @ seen[inner]) / how.batch),
-            (None, gap[first].mean(axis=0)),
+            (None, moved / how.batch),
+            (None, begun / how.batch),
         )
         for value, square, (rows, grad) in zip((model.weights, model.change, model.start), squares, steps, strict=True):
             if rows is not None:
@@ -271,16 +282,17 @@ def chunk_marginals(model: Field, texts: list[bytes]):
 
 
 def predicted() -> list[StructField]:
-    kinds = {"doc_id": LongType(), "lang_pred": StringType(), "score": DoubleType(), "n_switches": LongType()}
+    kinds = {"doc_id": LongType(), "lang_pred": StringType(), "score": DoubleType(), "n_switches": LongType(), "certainty": DoubleType()}
     return [StructField(name, kind) for name, kind in kinds.items()]
 
 
 def identify(docs: DataFrame, model: Field | None, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score (mean probability over words with letters) and n_switches.
+    """doc_id, lang_pred, score (mean probability over words with letters), n_switches and certainty.
 
     A null text, one without a letter, or any text when there is no model is ``und`` with score
     0. Equal means go to the first language by code point. n_switches counts neighbouring words
-    whose likeliest languages differ. One pass without a shuffle; rows repeat as given. With
+    whose likeliest languages differ, certainty is the mean of each word's own best probability: high in
+    code-switched text as well. An empty table gives no rows. One pass without a shuffle; rows repeat as given. With
     ``keep_row`` all columns of ``docs`` follow inside ``row``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -291,7 +303,7 @@ def identify(docs: DataFrame, model: Field | None, id_col: str = "doc_id", text_
             texts = texts_of(batch.column(1))
             for part in slices([len(t) for t in texts], CHUNK_BYTES):
                 n = part.stop - part.start
-                names, scores, switches = [UNKNOWN] * n, np.zeros(n), np.zeros(n, np.int64)
+                names, scores, switches, sure = [UNKNOWN] * n, np.zeros(n), np.zeros(n, np.int64), np.zeros(n)
                 if held is not None:
                     codes, words, bounds, found = chunk_marginals(held, texts[part])
                     lettered = np.fromiter(map(bool, words), bool, len(words))[codes]
@@ -303,13 +315,14 @@ def identify(docs: DataFrame, model: Field | None, id_col: str = "doc_id", text_
                     best = means.argmax(axis=1)
                     scores = np.where(total > 0, np.clip(means.max(axis=1), 0, 1), 0.0)
                     names = [held.langs[b] if t else UNKNOWN for b, t in zip(best.tolist(), total.tolist(), strict=True)]
+                    sure = np.bincount(owner[lettered], found[lettered].max(axis=1), minlength=n) / np.maximum(total, 1) if len(found) else sure
                     likely = found.argmax(axis=1)
                     differ = np.flatnonzero((np.diff(likely) != 0) & (np.diff(owner) == 0))
                     switches = np.bincount(owner[differ], minlength=n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.start, n), pa.array(names), pa.array(scores), pa.array(switches, pa.int64())]
+                    [batch.column(0).slice(part.start, n), pa.array(names), pa.array(scores), pa.array(switches, pa.int64()), pa.array(np.clip(sure, 0, 1))]
                     + [c.slice(part.start, n) for c in batch.columns[2:]],
-                    names=["doc_id", "lang_pred", "score", "n_switches", *["row"] * keep_row],
+                    names=["doc_id", "lang_pred", "score", "n_switches", "certainty", *["row"] * keep_row],
                 )
 
     row = [F.struct("*").alias("row")] if keep_row else []

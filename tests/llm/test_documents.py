@@ -437,6 +437,43 @@ def test_marginals_equal_enumeration():
         assert np.allclose(found[begin : begin + n], total / total.sum(axis=1, keepdims=True))
 
 
+def test_gradient_of_the_chains():
+    """Against differences of minus the log-likelihood, with the normaliser by enumeration."""
+    rng = np.random.default_rng(4)
+    scores, change, start = rng.normal(size=(7, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+    lengths, label = np.array([4, 0, 3]), rng.integers(0, 3, 7)
+
+    def loss(scores, change, start):
+        out = 0.0
+        for begin, n in ((0, 4), (4, 3)):
+            value = lambda path: start[path[0]] + sum(scores[begin + t, s] for t, s in enumerate(path)) + sum(change[a, b] for a, b in zip(path, path[1:]))  # noqa: B023, E731
+            out += np.log(sum(np.exp(value(p)) for p in np.ndindex(*(3,) * n))) - value(label[begin : begin + n])
+        return out
+
+    given = [scores, change, start]
+    for found, x in zip(language.gradient(scores, lengths, label, change, start), given, strict=True):
+        for at in np.ndindex(*x.shape):
+            sides = []
+            for step in (1e-5, -1e-5):
+                x[at] += step
+                sides.append(loss(*given))
+                x[at] -= step
+            assert found[at] == pytest.approx((sides[0] - sides[1]) / 2e-5, abs=1e-6)
+
+
+def test_pipeline_keeps_switched_and_unlabelled_texts(spark, make, languages):
+    import corpus_pipeline
+
+    docs, _ = languages
+    some = [r.text.split()[:30] for r in docs.where("n_chars between 400 and 3000").orderBy("lang").dropDuplicates(["lang"]).collect()]
+    mixed = docs.limit(0).unionByName(docs).select("doc_id", "text", "lang")
+    mixed = mixed.unionByName(spark.createDataFrame([(999_999, " ".join(sum(some, [])), None)], mixed.schema))
+    kept = corpus_pipeline.language_id(spark, mixed, "")
+    assert kept.where("doc_id = 999999").count() == 1
+    bare = make([(1, "words of no label", None, "a"), (2, "123 --", None, "a"), (3, None, None, "a")])
+    assert [r.doc_id for r in corpus_pipeline.language_id(spark, bare, "").collect()] == [1]
+
+
 # ---- language model
 
 
