@@ -16,14 +16,20 @@ from loofold.llm.neardup import one_of_each
 from loofold.llm.packing import packed_pieces
 from loofold.session import written_table
 
-#: Mean probability below which no language is believed.
-LEAST_SCORE = 0.5
+#: Mean certainty of words below which no language is believed.
+LEAST_CERTAINTY = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a recognised language; a missing lang is filled in."""
-    found = identify(docs, trained_on_folds(docs), keep_row=True)
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    """Documents of recognised languages, one or several; a missing lang is filled in.
+
+    Without any labelled text no language can be told, and all documents with a letter stay.
+    """
+    model = trained_on_folds(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = identify(docs, model, keep_row=True)
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("certainty") >= LEAST_CERTAINTY))
     columns = [F.coalesce("row.lang", "lang_pred").alias("lang") if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns]
     return kept.select(*columns)
 
