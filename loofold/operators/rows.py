@@ -48,12 +48,6 @@ def newest(df: DataFrame, ts: str, n: int, tie: Sequence[str] = ()) -> DataFrame
     return df.orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order)
 
 
-def newest_value(df: DataFrame, value: str, ts: str, by: Sequence[str] = ()) -> DataFrame:
-    """Value of the newest row, for the table or per group, without a sort."""
-    pick = F.max_by(quoted(value), quoted(ts)).alias(value)
-    return df.groupBy(*map(quoted, by)).agg(pick, F.max(quoted(ts)).alias(ts))
-
-
 def trim_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 

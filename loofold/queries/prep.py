@@ -79,20 +79,14 @@ def fill_floor_median(spark, folder):
 
 
 @query("""
-WITH f AS (
-  SELECT l_orderkey, l_linenumber, l_partkey, l_quantity,
-         coalesce(CASE WHEN l_orderkey % 7 <> 0 THEN l_extendedprice END,
-                  (SELECT avg(l_extendedprice) FROM lineitem WHERE l_orderkey % 7 <> 0)) AS price
-  FROM lineitem),
+WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice AS price FROM lineitem),
 s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(price) AS mp, stddev_pop(price) AS sp FROM f)
 SELECT l_orderkey, l_linenumber, l_partkey, round((l_quantity - mq) / sq, 6) + 0.0 AS l_quantity,
        round((price - mp) / sp, 6) + 0.0 AS l_extendedprice
 FROM f, s
 """)
 def zscore(spark, folder):
-    lineitem = table(spark, folder, "lineitem").select(
-        *ITEM, "l_quantity", hole("l_orderkey", "l_extendedprice").alias("l_extendedprice")
-    )
+    lineitem = table(spark, folder, "lineitem")
     columns = ["l_quantity", "l_extendedprice"]
     scaled = prep.fit_prep(lineitem, columns, []).transform(lineitem, ITEM)
     return scaled.select(*ITEM, *[r6(c).alias(c) for c in columns])
@@ -158,10 +152,7 @@ def sparse_one_hot(spark, folder):
 
 @query("""
 WITH f AS (
-  SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag, l_linestatus,
-         coalesce(CASE WHEN l_orderkey % 7 <> 0 THEN l_discount END,
-                  (SELECT avg(l_discount) FROM lineitem WHERE l_orderkey % 7 <> 0)) AS d
-  FROM lineitem),
+  SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag, l_linestatus, l_discount AS d FROM lineitem),
 s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(d) AS md, stddev_pop(d) AS sd FROM f)
 SELECT l_orderkey, l_partkey, round((l_quantity - mq) / sq, 6) + 0.0 AS l_quantity, round((d - md) / sd, 6) + 0.0 AS l_discount,
        CAST(l_returnflag = 'A' AS DOUBLE) AS "l_returnflag_A", CAST(l_returnflag = 'N' AS DOUBLE) AS "l_returnflag_N",
@@ -170,7 +161,7 @@ SELECT l_orderkey, l_partkey, round((l_quantity - mq) / sq, 6) + 0.0 AS l_quanti
 FROM f, s
 """)
 def prepared_matrix(spark, folder):
-    lineitem = table(spark, folder, "lineitem").withColumn("l_discount", hole("l_orderkey", "l_discount"))
+    lineitem = table(spark, folder, "lineitem")
     model = prep.fit_prep(lineitem, ["l_quantity", "l_discount"], ["l_returnflag", "l_linestatus"], "l_linenumber")
     matrix = model.transform(lineitem, ["l_orderkey", "l_partkey"])
     return matrix.withColumns({c: r6(c) for c in ("l_quantity", "l_discount")})

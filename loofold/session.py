@@ -27,7 +27,9 @@ def build_session(app_name: str = "loofold", master: str | None = None, **conf:
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship(session)
+    return session
 
 
 def ship(spark: SparkSession) -> None:
