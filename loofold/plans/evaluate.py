@@ -21,7 +21,7 @@ from loofold.operators.rows import normalise_types, numeric_features
 from loofold.operators.softmax import TooManyWeights, loo_softmax
 from loofold.operators.wide import loo_wide, sparse_rows
 from loofold.plans.ledger import append_ledger, ledger_rows
-from loofold.sources.catalog import pair_status, path_of, roles_of
+from loofold.sources.catalog import pair_status, path_of, roles_of, schema_of
 from loofold.sources.tables import last_rows, read_csv, with_row_id
 
 
@@ -123,7 +123,7 @@ def preview(catalog: DataFrame, dataset: str, n: int = 5) -> DataFrame:
     The rows come from the ends of its last files; all others are only counted.
     """
     spark, path = catalog.sparkSession, path_of(catalog, dataset)
-    table = read_csv(spark, path)
+    table = read_csv(spark, path, schema_of(catalog, dataset))
     rows, total = last_rows(spark, path, n, table.schema), table.count()
     schema = T.StructType([T.StructField("row_id", T.LongType()), *table.schema.fields])
     return spark.createDataFrame([(total - len(rows) + i, *r) for i, r in enumerate(rows)], schema)
@@ -155,7 +155,7 @@ def run_pairs(
             try:
                 roles = roles_of(catalog, dataset)
                 if dataset not in staged:
-                    staged[dataset] = with_row_id(read_csv(spark, path_of(catalog, dataset)), "row_id")
+                    staged[dataset] = with_row_id(read_csv(spark, path_of(catalog, dataset), schema_of(catalog, dataset)), "row_id")
                 marked = [name for name, role in roles.items() if role == "categorical"]
                 result = evaluate(staged[dataset], marked, target, "row_id", c, folds, method, prep)
             except AllNull as e:

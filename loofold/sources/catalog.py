@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CATALOG_SCHEMA = "dataset string, path string, column string, role string, ordinal int"
 
@@ -79,6 +80,17 @@ def roles_of(catalog: DataFrame, dataset: str) -> dict[str, str]:
     return {r["column"]: r["role"] for r in columns_of(catalog, dataset).collect() if r["column"] is not None}
 
 
+def schema_of(catalog: DataFrame, dataset: str) -> T.StructType | None:
+    """Schema of a known dataset, whose columns are all numbers: no pass to infer it. Others have none.
+
+    Codes in the categorical role come back to whole numbers when types are normalised.
+    """
+    if dataset not in KNOWN_CATEGORICAL:
+        return None
+    names = list(roles_of(catalog, dataset))
+    return T.StructType([T.StructField(name, T.DoubleType()) for name in names]) if names else None
+
+
 def pair_up(datasets: Column, targets: Column) -> Column:
     """Array of (dataset, target) structs by position; missing targets are null."""
     zipped = F.arrays_zip(datasets.alias("dataset"), targets.alias("target"))

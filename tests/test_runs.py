@@ -64,6 +64,18 @@ def test_preview_reads_a_bounded_tail(spark, tmp_path):
     assert evaluate.preview(listed, "long", 6000).count() == 5000
 
 
+def test_known_datasets_have_a_schema(spark, tmp_path):
+    names = [*catalog.KNOWN_CATEGORICAL["diabetes"], "a.b"]
+    path = csv_of(tmp_path / "d.csv", ["a.b", *names[:2]], [(i % 7 + (i % 2) / 2, i % 2, int(i % 7 > 3)) for i in range(40)])
+    listed = catalog.register(spark, {"diabetes": path, "other": path}, {"other": names[:2]}).persist()
+    schema = catalog.schema_of(listed, "diabetes")
+    assert [(f.name, f.dataType.simpleString()) for f in schema] == [(n, "double") for n in ("a.b", *names[:2])]
+    assert catalog.schema_of(listed, "other") is None
+    pairs = spark.createDataFrame([(0, "diabetes", None), (1, "other", None)], "position int, dataset string, target string")
+    known, other = evaluate.run_pairs(listed, pairs, "linux").collect()
+    assert known["status"] == "ok" and [known[c] for c in ("n_rows", "n_features", "mcc")] == [other[c] for c in ("n_rows", "n_features", "mcc")]
+
+
 def test_wide_datasets_are_evaluated(spark, tmp_path, monkeypatch):
     """More one-hot columns than a dense Hessian may have give the same ledger row."""
     path = csv_of(tmp_path / "wide.csv", ["x", "a", "b", "y"], [(i * 7 % 13, f"l{i * 5 % 17}", f"m{i % 4}", int(i * 5 % 17 > 8 or i % 11 == 0)) for i in range(60)])
