@@ -143,7 +143,7 @@ def loo_linear(df: DataFrame, fit: LinearFit) -> DataFrame:
 
 def _loo_wide(complete: DataFrame, fit: LinearFit) -> DataFrame:
     """The same by one product with the factor per Arrow batch; the plan does not grow with d^2."""
-    n, d = len(complete.columns), len(fit.features)
+    names, n, d = complete.columns, len(complete.columns), len(fit.features)
     means, root, weights, intercept, share = fit.means, fit.root, fit.coefficients, fit.intercept, 1.0 / fit.n
     numbers = [F.col(quoted(c)).cast("double").alias(f"__{i}") for i, c in enumerate([*fit.features, fit.label])]
 
@@ -157,7 +157,7 @@ def _loo_wide(complete: DataFrame, fit: LinearFit) -> DataFrame:
                 free = 1.0 - share - np.square((x - means) @ root).sum(axis=1)
                 error = (y - x @ weights - intercept) / np.where(free > LEAST_FREE, free, np.nan)
                 found = [pa.array(v, mask=np.isnan(error)) for v in (error, y - error)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *found], [*complete.columns, "loo_error", "loo_prediction"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *found], [*names, "loo_error", "loo_prediction"])
 
     schema = StructType([*complete.schema.fields, StructField("loo_error", DoubleType()), StructField("loo_prediction", DoubleType())])
     return complete.select("*", *numbers).mapInArrow(measure, schema)
