@@ -79,15 +79,26 @@ def fill_floor_median(spark, folder):
 
 
 @query("""
-WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice AS price FROM lineitem),
-s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(price) AS mp, stddev_pop(price) AS sp FROM f)
+WITH f AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice AS whole,
+         coalesce(CASE WHEN l_orderkey % 7 <> 0 THEN l_extendedprice END,
+                  (SELECT avg(l_extendedprice) FROM lineitem WHERE l_orderkey % 7 <> 0)) AS price
+  FROM lineitem),
+s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(price) AS mp, stddev_pop(price) AS sp,
+             avg(whole) AS mw, stddev_pop(whole) AS sw FROM f)
 SELECT l_orderkey, l_linenumber, l_partkey, round((l_quantity - mq) / sq, 6) + 0.0 AS l_quantity,
-       round((price - mp) / sp, 6) + 0.0 AS l_extendedprice
+       round((price - mp) / sp, 6) + 0.0 AS l_extendedprice, round((whole - mw) / sw, 6) + 0.0 AS whole_price
 FROM f, s
 """)
 def zscore(spark, folder):
-    lineitem = table(spark, folder, "lineitem")
-    columns = ["l_quantity", "l_extendedprice"]
+    """Quantity and price scaled, the price as filled by its mean where missing and as it is."""
+    lineitem = table(spark, folder, "lineitem").select(
+        *ITEM,
+        "l_quantity",
+        hole("l_orderkey", "l_extendedprice").alias("l_extendedprice"),
+        F.col("l_extendedprice").alias("whole_price"),
+    )
+    columns = ["l_quantity", "l_extendedprice", "whole_price"]
     scaled = prep.fit_prep(lineitem, columns, []).transform(lineitem, ITEM)
     return scaled.select(*ITEM, *[r6(c).alias(c) for c in columns])
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from loofold.operators import prep, profile, rows
 from loofold.operators.split import fold_of, holdout_split, key_bucket
+from loofold.queries import QUERIES
 from tests.conftest import plan_of
 
 
@@ -37,6 +38,19 @@ def test_scaling_rules(spark):
     assert sorted(map(tuple, out.collect())) == [(-1.0, 0.0), (1.0, 0.0)]
 
 
+def filled_and_whole(found, filled, whole):
+    """Counts of missing values, of those filled by the mean, and of those whose own value is scaled too."""
+    missing = found.where("l_orderkey % 7 = 0")
+    return missing.agg(
+        F.count(F.lit(1)), F.count(F.when(F.col(filled) == 0, 1)), F.count(F.when(F.col(whole) != 0, 1))
+    ).first()
+
+
+def test_scaled_prices_are_filled_first(spark, tables):
+    n, filled, whole = filled_and_whole(QUERIES["zscore"](spark, tables), "l_extendedprice", "whole_price")
+    assert n == filled > 0 and whole > 0.9 * n
+
+
 def test_unseen_level_and_limits(spark):
     df = frame(spark)
     model = prep.fit_prep(df.where("id = 1"), [], ["c,d"])
