@@ -163,19 +163,28 @@ def sparse_one_hot(spark, folder):
 
 @query("""
 WITH f AS (
-  SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag, l_linestatus, l_discount AS d FROM lineitem),
-s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(d) AS md, stddev_pop(d) AS sd FROM f)
+  SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag, l_linestatus, l_discount AS whole,
+         coalesce(CASE WHEN l_orderkey % 7 <> 0 THEN l_discount END,
+                  (SELECT avg(l_discount) FROM lineitem WHERE l_orderkey % 7 <> 0)) AS d
+  FROM lineitem),
+s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(d) AS md, stddev_pop(d) AS sd,
+             avg(whole) AS mw, stddev_pop(whole) AS sw FROM f)
 SELECT l_orderkey, l_partkey, round((l_quantity - mq) / sq, 6) + 0.0 AS l_quantity, round((d - md) / sd, 6) + 0.0 AS l_discount,
+       round((whole - mw) / sw, 6) + 0.0 AS whole_discount,
        CAST(l_returnflag = 'A' AS DOUBLE) AS "l_returnflag_A", CAST(l_returnflag = 'N' AS DOUBLE) AS "l_returnflag_N",
        CAST(l_returnflag = 'R' AS DOUBLE) AS "l_returnflag_R", CAST(l_linestatus = 'F' AS DOUBLE) AS "l_linestatus_F",
        CAST(l_linestatus = 'O' AS DOUBLE) AS "l_linestatus_O", l_linenumber
 FROM f, s
 """)
 def prepared_matrix(spark, folder):
-    lineitem = table(spark, folder, "lineitem")
-    model = prep.fit_prep(lineitem, ["l_quantity", "l_discount"], ["l_returnflag", "l_linestatus"], "l_linenumber")
+    """Numbers scaled, the discount as filled by its mean where missing and as it is, and indicators of levels."""
+    lineitem = table(spark, folder, "lineitem").withColumns(
+        {"l_discount": hole("l_orderkey", "l_discount"), "whole_discount": F.col("l_discount")}
+    )
+    columns = ["l_quantity", "l_discount", "whole_discount"]
+    model = prep.fit_prep(lineitem, columns, ["l_returnflag", "l_linestatus"], "l_linenumber")
     matrix = model.transform(lineitem, ["l_orderkey", "l_partkey"])
-    return matrix.withColumns({c: r6(c) for c in ("l_quantity", "l_discount")})
+    return matrix.withColumns({c: r6(c) for c in columns})
 
 
 @query("""

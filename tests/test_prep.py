@@ -51,6 +51,11 @@ def test_scaled_prices_are_filled_first(spark, tables):
     assert n == filled > 0 and whole > 0.9 * n
 
 
+def test_matrix_is_filled_first(spark, tables):
+    n, filled, whole = filled_and_whole(QUERIES["prepared_matrix"](spark, tables), "l_discount", "whole_discount")
+    assert n == filled > 0 and whole > 0.9 * n
+
+
 def test_unseen_level_and_limits(spark):
     df = frame(spark)
     model = prep.fit_prep(df.where("id = 1"), [], ["c,d"])
