@@ -18,6 +18,9 @@ For s <= 3/4 the logarithm is at most s^2 / 2 * exp(2.24 s). A row whose score i
 from the threshold than this keeps its class for certain. All other rows are refitted
 exactly, many per pass. The bound shrinks like 1/n^2, so on large tables few rows or
 none are left.
+
+Where scores are asked for and not only classes, ``nearby`` gives the converged left-out optimum of
+nearly every row from sums of higher order, with a proven error; the others are refitted likewise.
 """
 
 from __future__ import annotations
@@ -49,15 +52,16 @@ from loofold.operators.logistic import (
     penalty,
     sums_width,
 )
+from loofold.operators.nearby import Expansion, largest_q, nearby_scores
 from loofold.operators.split import fold_of
-from loofold.session import scratch_folder
+from loofold.session import scratch_folder, written_table
 
 ROUND_OFF = 1e-9
 """Error that the converged weights leave in a score."""
 STEP_ERROR = 1e-4
 """Relative error of the left-out step; the Hessian belongs to weights one tiny step back."""
 EXACT_WORK = 100_000_000
-"""Row-fold pairs that exact leave-one-out of whole tables may cost."""
+"""Row-fold pairs that exact leave-one-out may cost: rows times refits over all of them, and two passes."""
 BROADCAST_ROWS = 100_000
 
 
@@ -201,13 +205,12 @@ def _finish(
     ``eta`` and ``p`` are those of the refit, or null where a row was not refitted; the first
     Newton step, which settled the class there, is ``eta_step``.
     """
-    eta = F.lit(None).cast("double")
-    refitted = F.lit(False)
+    eta = F.col("eta_near") if "eta_near" in base.columns else F.lit(None).cast("double")
     if refits is not None:
         small = F.broadcast(refits) if n_refits <= BROADCAST_ROWS else refits
         base = base.join(small, key, "left")
-        eta = F.col("eta_exact")
-        refitted = F.col("eta_exact").isNotNull()
+        eta = F.coalesce("eta_exact", eta)
+    refitted = eta.isNotNull()
     lone = F.lit(False)
     if positives == 1:
         lone = F.col("y") == 1
@@ -273,10 +276,12 @@ def loo_logistic(
 def loo_exact(
     df: DataFrame, key: str, features: Sequence[str], label: str, c: float = 1.0, limit: int = EXACT_WORK
 ) -> LooResult:
-    """Every row refitted without itself, scores converged; n passes' worth of work.
+    """Every row refitted without itself, scores converged, for any number of rows.
 
-    For tables up to about sqrt(limit) rows. Larger ones are refused, not cut: use
-    ``loo_logistic`` for the classes or ``kfold_logistic`` for scores.
+    Newton steps against an expansion of the gradient around the fit (``nearby``) converge row by
+    row, with an error proven to be below ``nearby.SCORE_ERROR``. Rows whose removal moves the fit too far
+    for that proof are refitted over the whole table; their number depends on the data's outliers
+    and not on its rows. Work above ``limit`` is refused, not cut.
     """
     rows = model_rows(df, features, label, [key])
     with reused(rows):
@@ -284,13 +289,16 @@ def loo_exact(
             fit = fit_logistic(rows, [f"x{i}" for i in range(len(features))], "y", c)
         except SingleClass as e:
             return _one_class(rows, key, e.label)
-        if fit.n * fit.n > limit:
-            raise TooMuchWork(f"{fit.n} folds of {fit.n} rows; use loo_logistic or kfold_logistic")
-        base = left_out(scored_rows(rows, key, fit, np.linalg.inv(fit.hessian)))
+        expansion = Expansion(rows, fit)
+        base = written_table(nearby_scores(rows, key, expansion, largest_q(rows, expansion)), "left-out")
         lone = [float(i) for i, k in ((1, fit.positives), (0, fit.n - fit.positives)) if k == 1]
-        refits, n_refits = _refit_in_batches(rows, rows.where(~F.col("y").isin(lone)), key, fit)
+        open_rows = base.where(F.col("eta_near").isNull() & ~F.col("y").isin(lone))
+        n_open = open_rows.count()
+        if fit.n * (2 + n_open) > limit:
+            raise TooMuchWork(f"{n_open} refits over {fit.n} rows; use loo_logistic or kfold_logistic")
+        refits, n_refits = _refit_in_batches(rows, open_rows, key, fit)
     fit.features, fit.label = list(features), label
-    return LooResult(fit, _finish(base, key, refits, n_refits, fit.positives, fit.n), n_refits)
+    return LooResult(fit, _finish(base, key, refits, n_refits, fit.positives, fit.n), fit.n - len(lone))
 
 
 @dataclass

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loofold.functions.metrics import mcc_binary
-from loofold.operators import loo, softmax
+from loofold.operators import loo, nearby, softmax
 from loofold.operators.logistic import fit_logistic, mllib_start
 from loofold.operators.multiclass import kfold_in_fold_prep, kfold_multinomial
 from tests import brute
@@ -90,6 +90,35 @@ def test_batches_of_refits(spark, monkeypatch):
         assert r["eta"] == pytest.approx(eta[int(r["key"][1:])], abs=1e-8) and r["refitted"]
 
 
+def test_scores_without_refits_over_all_rows(spark, monkeypatch):
+    """The expansion gives nearly every converged score; what is left to refit does not grow with the rows."""
+    df, names, x, y = binary_table(spark, 300, 2, 5)
+    seen, refit = [], loo.refit_folds
+    monkeypatch.setattr(loo, "refit_folds", lambda rows, a, labels, fit: seen.append(len(a)) or refit(rows, a, labels, fit))
+    eta = refits(x, y)
+    for r in loo.loo_exact(df, "key", names, "y").predictions.collect():
+        assert r["refitted"] and r["eta"] == pytest.approx(eta[int(r["key"][1:])], abs=1e-10)
+    assert sum(seen) < 30
+    copies = df.crossJoin(spark.range(40)).withColumn("key", F.concat("key", F.lit("-"), "id")).drop("id")
+    few, seen[:] = sum(seen), []
+    found = loo.loo_exact(copies, "key", names, "y")
+    assert found.predictions.where("refitted").count() == found.refitted == 12000 and sum(seen) <= few
+
+
+def test_expansion_bound_holds(spark, monkeypatch):
+    """No score is farther from its refit than proven, however few terms the expansion has."""
+    df, names, x, y = binary_table(spark, 60, 2, 12, 2.0)
+    fit = fit_logistic(df, names, "y")
+    rows = loo.model_rows(df, names, "y", ["key"])
+    a, eta = np.column_stack([x, np.ones(60)]), refits(x, y)
+    for terms in (2, 3, 6):
+        monkeypatch.setattr(nearby, "MOST_TERMS", terms)
+        expansion = nearby.Expansion(rows, fit)
+        assert expansion.terms == terms
+        _, found, bound = expansion.left_out(a, y.astype(float), nearby.largest_q(rows, expansion))
+        assert np.isfinite(bound).sum() > 40 and (np.abs(found - eta) <= bound + 1e-11).all()
+
+
 def test_single_class_and_lone_row(spark):
     df = spark.createDataFrame([(i, float(i), 1) for i in range(6)], "id int, x double, y int")
     rows = loo.loo_logistic(df, "id", ["x"], "y").predictions.collect()
