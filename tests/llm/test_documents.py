@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -335,6 +336,41 @@ def test_words_are_tokenized_as_texts(monkeypatch):
             assert ids[a:b].tolist() == [*model.encode(t, add_special_tokens=False).ids, 1]
 
 
+def encodings(monkeypatch, vocabulary):
+    seen, encoded = collections.Counter(), vocabulary.encoded
+    monkeypatch.setattr(vocabulary, "encoded", lambda word: seen.update([word]) or encoded(word))
+    return seen
+
+
+def test_signs_behind_letters_are_learnt_once(monkeypatch):
+    vocabulary = packing.Vocabulary("word_bpe_49k.json", 1)
+    seen = encodings(monkeypatch, vocabulary)
+    texts = ["plain$$$ für!! Öl%%% plain für,", "\tplain!! für$$$ öl, Öl x.y*** don't$$$ e\u0301!! 5.", "", None]
+    _, words, bounds = vocabulary.words(pa.array(texts).fill_null(""))
+    vocabulary.codes(words)
+    assert {"plain", "für", "$$$", "!!", "%%%", ","} <= {w.decode() for w in seen} and max(seen.values()) == 1
+    assert not any(w.startswith((b"plain", "für".encode())) and len(w) > 5 for w in seen)
+    assert bounds.tolist()[-1] == bounds.tolist()[-2] + 1  # an empty text is one empty word, which has no ids
+    monkeypatch.setitem(packing._vocabularies, ("word_bpe_49k.json", 1), vocabulary)
+    ids, at = packing.token_ids("word_bpe_49k.json", pa.array(texts), 1)
+    for t, a, b in zip(texts, at[:-1], at[1:], strict=True):
+        assert ids[a:b].tolist() == [*vocabulary.full.encode(t or "", add_special_tokens=False).ids, 1]
+
+
+def test_words_used_most_stay(monkeypatch):
+    """A full table drops rare words and not those that come in every text."""
+    monkeypatch.setattr(packing, "KEPT_BYTES", 40 * packing.ENTRY_BYTES)
+    vocabulary = packing.Vocabulary("word_bpe_49k.json", 1)
+    seen = encodings(monkeypatch, vocabulary)
+    monkeypatch.setitem(packing._vocabularies, ("word_bpe_49k.json", 1), vocabulary)
+    for i in range(20):
+        texts = [f"often and {'abcdefghij'[j]}{'abcdefghijklmnopqrst'[i]}q often" for j in range(10)]
+        ids, at = packing.token_ids("word_bpe_49k.json", [t.encode() for t in texts], 1)
+        for t, a, b in zip(texts, at[:-1], at[1:], strict=True):
+            assert ids[a:b].tolist() == [*vocabulary.full.encode(t, add_special_tokens=False).ids, 1]
+    assert seen[b"often"] == seen[b"and"] == 1 and len(vocabulary.code) < 60
+
+
 # ---- mixing
 
 
