@@ -212,7 +212,7 @@ def pack(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.columns
-            for part in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), CHUNK_BYTES):
+            for n, part in enumerate(slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), CHUNK_BYTES), 1):
                 ids, bounds = token_ids(tokenizer, texts.slice(part.start, part.stop - part.start), end_id)
                 sizes = np.diff(bounds)
                 rows, begin, length = pieces(sizes, longest)
@@ -230,6 +230,8 @@ def pack(
                     names=["doc_id", "start", "length", "ids", "doc_tokens", "bucket", "offset"],
                 )
                 del ids, raw
+                if n % 8 == 0:
+                    release()
             del batch, keys, texts  # gone before the next batch comes
             release()
 
