@@ -9,10 +9,14 @@ from loofold.session import written_table
 
 
 def _star(edges: DataFrame) -> DataFrame:
-    """Edges (u, v), u > v, drawn towards the least neighbour of each end, twice."""
+    """Edges (u, v), u > v, drawn towards the least neighbour of each end, twice.
+
+    The first half is written, as the second reads it twice and the plan would hold it twice.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+    large = written_table(large, "links")
     below = large.groupBy("u").agg(F.min("v").alias("m"))
     drawn = large.join(below, "u")
     return (

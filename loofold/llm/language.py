@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from loofold.llm.words import coded, slices, spread, starts, texts_of
+from loofold.llm.words import coded, release, slices, spread, starts, texts_of
 
 CHUNK_BYTES = 2 << 20
 BUCKETS = 1 << 16
+#: Words of the fit whose features are found at once; bounds the driver's memory only.
+FITTED_WORDS = 1 << 13
 UNKNOWN = "und"
 
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_=+/\\0123456789@~^`"
@@ -188,7 +190,8 @@ def fit(langs: list[str], samples: list[tuple[int, bytes]], how: Training) -> Fi
         for w in [w for w, _ in merged.most_common(how.lexicon + 1) if w][: how.lexicon]:
             lexicon.setdefault(w, []).append(lang)
     model = Field(langs, np.zeros((BUCKETS + k, k)), np.zeros((k, k)), np.zeros(k), lexicon)
-    feature, counts = word_features(words, lexicon)
+    some = [word_features(words[i : i + FITTED_WORDS], lexicon) for i in range(0, max(len(words), 1), FITTED_WORDS)]
+    feature, counts = (np.concatenate(x) for x in zip(*some, strict=True))
     places = starts(counts)
     by_lang = [np.flatnonzero((names == lang) & (np.diff(bounds) > 0)) for lang in range(k)]
     usable = [lang for lang in range(k) if len(by_lang[lang])]
@@ -270,7 +273,10 @@ def learned(docs: DataFrame, lang: str, how: Training = Training()) -> Field | N
 
     sample = rows.where(chance < rate).select(F.col(lang).alias("lang"), "text").mapInArrow(cut, "lang string, run binary")
     pairs = sorted((langs.index(r["lang"]), bytes(r["run"])) for r in sample.collect())
-    return fit(langs, pairs, how)
+    model = fit(langs, pairs, how)
+    del pairs
+    release()
+    return model
 
 
 def chunk_marginals(model: Field, texts: list[bytes]):

@@ -112,12 +112,15 @@ def generated(spark: SparkSession, words: list[str], n: int, seed: int) -> DataF
     known = lambda k: F.get(texts, F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.size(texts)).cast("int"))
     part = lambda k: F.get(F.array(*map(F.lit, SYLLABLES)), draw(k, len(SYLLABLES)))
     unknown = lambda k: F.concat(part(-3 * k), part(-3 * k - 1), F.when(draw(k + 50, 2) == 0, part(-3 * k - 2)).otherwise(F.lit("")))
-    word = lambda k: F.when(draw(k + 90, 2) == 0, known(k)).otherwise(unknown(k))
+    word = lambda k: F.col(f"word_{k}")
     lines = lambda *options: F.get(F.array(*map(F.lit, options)), draw("line", len(options)))
-    digest = F.sha2(F.concat_ws("-", "id", F.lit(seed)), 512)
+    # What many kinds use is a column of its own; written into each of them the code would be too long to compile.
+    drawn = [F.when(draw(k + 90, 2) == 0, known(k)).otherwise(unknown(k)).alias(f"word_{k}") for k in range(1, 8)]
+    digests = F.sha2(F.concat_ws("-", "id", F.lit(seed)), 512).alias("digest")
+    rows = spark.range(n).select("id", digests, (draw("number", 9000) + 1000).alias("number"), *drawn)
+    digest, number = F.col("digest"), F.col("number")
     mixed = F.translate(F.base64(F.unhex(digest)), "+/=", "")
     cut = lambda text, low, high: F.substr(text, F.lit(1), F.lit(low) + draw("size", high - low + 1))
-    number = draw("number", 9000) + 1000
     kinds = (
         (1, cut(digest, 16, 64), lines('token = "', "secret: ", "access_key = ", "auth-token: ", "credential "), lines('"', " ", "\n", " then ")),
         (1, cut(F.base64(F.unhex(digest)), 20, 60), lines("secret: ", "api_key -> ", "Authorization: Bearer ", 'private key "'), lines("\n", " ", '"')),
@@ -137,7 +140,7 @@ def generated(spark: SparkSession, words: list[str], n: int, seed: int) -> DataF
             fits = (secret if label else ~secret) & (draw("kind", len(some)) == i)
             here = F.concat_ws(" ", word(4), word(5), before), F.concat_ws(" ", after, word(6), word(7))
             found = F.when(fits, F.struct(F.lit(label).alias("label"), value.alias("value"), here[0].alias("before"), here[1].alias("after"))).otherwise(found)
-    return spark.range(n).select(found.alias("x")).select("x.value", "x.before", "x.after", "x.label")
+    return rows.select(found.alias("x")).select("x.value", "x.before", "x.after", "x.label")
 
 
 def dictionary(docs: DataFrame, text_col: str, size: int) -> list[str]:
