@@ -9,14 +9,16 @@ whole corpus, so the weights only learn what longer context tells.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 
 from loofold.llm.words import spread, starts
 
 
-#: Tokens whose logits are worked on at once.
-CACHED = 256
+#: Tokens whose logits are worked on at once, and windows whose tokens are sorted at once in scoring.
+LOGITS = 768
+SORTED = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -120,62 +122,105 @@ def _mask(shape: Shape) -> np.ndarray:
 
 
 def hidden(w: dict[str, np.ndarray], inputs: np.ndarray, shape: Shape, mask: np.ndarray):
-    """Last hidden state of the scored places (windows, stride, width), and what the gradient needs."""
-    past = shape.window - shape.stride
-    known = inputs >= 0
-    x = w["embed"][np.maximum(inputs, 0)] + w["place"]
-    xs = x[:, past:]
-    q, k, v = xs @ w["query"], x @ w["key"], x @ w["value"]
-    score = np.matmul(q * np.float32(1 / np.sqrt(shape.width)), k.transpose(0, 2, 1))
+    """Last hidden state of the scored places (windows * stride, width), and what the gradient needs.
+
+    Queries and keys meet, and values leave, by one matrix each, so neither keys nor values of
+    single places are worked out.
+    """
+    size, d = (len(inputs), shape.stride), shape.width
+    unknown = inputs < 0
+    x = w["embed"].take(inputs, axis=0, mode="clip")
+    x += w["place"]
+    turned = np.ascontiguousarray(x.transpose(0, 2, 1))
+    xs = x[:, shape.window - shape.stride :].reshape(-1, d)
+    q = xs @ (w["query"] @ w["key"].T * mask.dtype.type(1 / np.sqrt(d)))
+    score = np.matmul(q.reshape(*size, d), turned)
     score += mask
-    if not known.all():
-        score += np.where(known, np.float32(0), np.float32(-1e4))[:, None, :]
-    np.minimum(score, np.float32(60), out=score)  # each place sees itself, so no sum is 0
+    if unknown.any():
+        score += np.where(unknown, mask.dtype.type(-1e4), mask.dtype.type(0))[:, None, :]
+    np.minimum(score, 60, out=score)  # each place sees itself, so no sum is 0
     np.exp(score, out=score)
-    score /= score.sum(axis=2, keepdims=True)
-    seen = np.matmul(score, v)
-    h = xs + seen @ w["out"]
-    f = np.maximum(h @ w["up"] + w["bias"], 0)
-    g = h + f @ w["down"]
-    return g, (x, xs, q, k, v, score, seen, h, f, g)
+    score /= (score.reshape(-1, shape.window) @ np.ones(shape.window, score.dtype)).reshape(*size, 1)
+    seen = np.matmul(score, x).reshape(-1, d)
+    h = xs + seen @ (w["value"] @ w["out"])
+    f = h @ w["up"]
+    f += w["bias"]
+    np.maximum(f, 0, out=f)
+    return h + f @ w["down"], (x, turned, xs, q, score, seen, h, f)
 
 
 def gradient(w: dict[str, np.ndarray], prior: np.ndarray, inputs: np.ndarray, targets: np.ndarray, shape: Shape, mask: np.ndarray):
     """Mean loss of the targets (-1 for none) and its gradient."""
-    g, (x, xs, q, k, v, a, seen, h, f, _) = hidden(w, inputs, shape, mask)
-    logits = g @ w["top"] + prior[np.maximum(inputs[:, shape.window - shape.stride :], 0)]
-    use = targets >= 0
-    n = max(1, int(use.sum()))
-    logits -= logits.max(axis=2, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(axis=2, keepdims=True)
-    at = np.maximum(targets, 0)[..., None]
-    loss = -float(np.log(np.take_along_axis(p, at, 2)[..., 0][use] + 1e-30).sum()) / n
-    np.put_along_axis(p, at, np.take_along_axis(p, at, 2) - 1, 2)
-    p *= (use / np.float32(n)).astype(np.float32)[..., None]
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    d = {"top": flat(g).T @ flat(p)}
-    dg = p @ w["top"].T
-    d["down"] = flat(f).T @ flat(dg)
-    df = (dg @ w["down"].T) * (f > 0)
-    d["up"], d["bias"] = flat(h).T @ flat(df), flat(df).sum(axis=0)
-    dh = dg + df @ w["up"].T
-    d["out"] = flat(seen).T @ flat(dh)
-    dseen = dh @ w["out"].T
-    da = np.matmul(dseen, v.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), dseen)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(1 / np.sqrt(shape.width))
-    dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-    d["query"], d["key"], d["value"] = flat(xs).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-    dx = dk @ w["key"].T + dv @ w["value"].T
-    dx[:, shape.window - shape.stride :] += dh + dq @ w["query"].T
-    known = inputs >= 0
-    d["place"] = dx.sum(axis=0)
-    d["embed"] = np.zeros_like(w["embed"])
-    np.add.at(d["embed"], inputs[known], dx[known])
+    g, (x, turned, xs, q, a, seen, h, f) = hidden(w, inputs, shape, mask)
+    past, size, d = shape.window - shape.stride, (len(inputs), shape.stride), {}
+    loss, dg, d["top"] = output_gradient(w["top"], prior, g, inputs[:, past:].ravel(), targets.ravel())
+    d["down"] = f.T @ dg
+    df = dg @ w["down"].T
+    df *= f > 0
+    d["up"], d["bias"] = h.T @ df, np.ones(len(df), df.dtype) @ df
+    dh = df @ w["up"].T
+    dh += dg
+    dvalue = seen.T @ dh  # of value @ out
+    d["value"], d["out"] = dvalue @ w["out"].T, w["value"].T @ dvalue
+    dseen = dh @ (w["value"] @ w["out"]).T
+    split = lambda m: m.reshape(*size, shape.width)
+    ds = np.matmul(split(dseen), turned)
+    ds -= np.einsum("ij,ij->i", dseen, seen).reshape(*size, 1)
+    ds *= a
+    dq = np.matmul(ds, x).reshape(-1, shape.width)
+    unit = mask.dtype.type(1 / np.sqrt(shape.width))
+    dquery = xs.T @ dq * unit  # of query @ key.T
+    d["query"], d["key"] = dquery @ w["key"], dquery.T @ w["query"]
+    dx = np.matmul(ds.transpose(0, 2, 1), split(q))
+    dx += np.matmul(a.transpose(0, 2, 1), split(dseen))
+    dh += dq @ (w["key"] @ w["query"].T * unit)
+    dx[:, past:] += split(dh)
+    d["place"] = (np.ones(len(dx), dx.dtype) @ dx.reshape(len(dx), -1)).reshape(w["place"].shape)
+    dx[inputs < 0] = 0
+    d["embed"] = row_sums(dx.reshape(-1, shape.width), inputs.ravel(), shape.inputs)
     return loss, d
 
 
+def output_gradient(top: np.ndarray, prior: np.ndarray, g: np.ndarray, rows: np.ndarray, targets: np.ndarray):
+    """Mean loss of the targets, its gradient by the hidden states and by the output matrix.
+
+    Logits are worked on some rows at a time, in place: they become what exp makes of them, then
+    errors that the hidden states are scaled by, not they.
+    """
+    use = targets >= 0
+    n, goals = max(1, int(use.sum())), np.maximum(targets, 0)
+    far = np.sqrt((g * g).sum(axis=1).max(initial=0) * (top * top).sum(axis=0).max()) > 60  # else exp stays finite, its sum above 0
+    back, ones = np.ascontiguousarray(top.T), np.ones(top.shape[1], g.dtype)
+    dg, dtop, loss = np.empty_like(g), np.zeros_like(top), 0.0
+    logits, before = (np.empty((min(len(g), LOGITS), top.shape[1]), t) for t in (g.dtype, prior.dtype))
+    for i in range(0, len(g), LOGITS):
+        here = slice(i, i + LOGITS)
+        part = g[here]
+        e, at = logits[: len(part)], (np.arange(len(part)), goals[here])
+        np.matmul(part, top, out=e)
+        e += prior.take(rows[here], axis=0, mode="clip", out=before[: len(part)])
+        if far:
+            e -= e.max(axis=1, keepdims=True)
+        np.exp(e, out=e)
+        total = e @ ones
+        loss -= float(np.log(e[at] / total + 1e-30)[use[here]].sum())
+        e[at] -= total
+        scale = (use[here] / (total * n)).astype(g.dtype)[:, None]
+        dg[here] = e @ back
+        dg[here] *= scale
+        dtop += (part * scale).T @ e
+    return loss / n, dg, dtop
+
+
+def row_sums(values: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of values by row; by flat cells, which numpy adds up far faster than whole rows."""
+    width = values.shape[1]
+    cells = np.arange(size * width).reshape(size, width).take(rows, axis=0, mode="clip")
+    total = np.zeros(size * width, values.dtype)
+    np.add.at(total, cells.ravel(), values.ravel())
+    return total.reshape(size, width)
+
+
 def fitted(model: Model, sequences: list[np.ndarray], end: int) -> Model:
     """Trains the weights on sequences of subword ids, each without its end."""
     shape, w = model.shape, model.weights
@@ -231,25 +276,41 @@ def network_inputs(model: Model, ids: np.ndarray, lengths: np.ndarray, place: np
     return np.where(place >= 0, rows[np.maximum(place, 0)], -1)
 
 
-def log_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray, end: int, at_once: int = 48) -> np.ndarray:
+def log_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray, end: int, at_once: int = 128) -> np.ndarray:
     """Natural log probability of each id of some sequences, which hold their ends."""
-    shape, mask = model.shape, _mask(model.shape)
-    past = shape.window - shape.stride
-    share, reach = np.exp(model.prior), np.sqrt((model.weights["top"] ** 2).sum(axis=0)).max()
-    place, _ = windows(lengths, shape)
+    place, _ = windows(lengths, model.shape)
     inputs = network_inputs(model, ids, lengths, place, end)
     classes, out = model.class_of[ids], model.within[ids]
-    for i in range(0, len(place), at_once):
-        seen, at = inputs[i : i + at_once], place[i : i + at_once, past:].ravel()
-        g, _ = hidden(model.weights, seen, shape, mask)
-        use = np.flatnonzero(at >= 0)
-        at, row = at[use], seen[:, past:].ravel()[use]
-        g = g.reshape(-1, shape.width)[use]
-        g *= np.minimum(1, 60 / (np.sqrt((g * g).sum(axis=1)) * reach + 1e-6))[:, None]  # exp stays finite
-        for j in range(0, len(at), CACHED):  # logits stay in the processor's cache
-            here = slice(j, j + CACHED)
-            lift, goal = g[here] @ model.weights["top"], classes[at[here]]
-            own = lift[np.arange(len(goal)), goal] + model.prior[row[here], goal]
-            np.exp(lift, out=lift)
-            out[at[here]] += own - np.log(np.einsum("ij,ij->i", lift, share[row[here]]))
+    share, reach = np.exp(model.prior), np.sqrt((model.weights["top"] ** 2).sum(axis=0)).max()
+    for i in range(0, len(place), SORTED):
+        add_class_probabilities(model, share, reach, inputs[i : i + SORTED], place[i : i + SORTED], classes, out, at_once)
     return out
+
+
+def add_class_probabilities(model, share, reach, inputs, place, classes, out, at_once) -> None:
+    """Adds the log probabilities of classes at the scored places of some windows.
+
+    Tokens are sorted by the id before them, so that the frequencies behind it weigh all they share at once.
+    """
+    shape, w, mask = model.shape, model.weights, _mask(model.shape)
+    states = np.empty((len(inputs) * shape.stride, shape.width), w["top"].dtype)
+    for i in range(0, len(inputs), at_once):
+        states[i * shape.stride : (i + at_once) * shape.stride] = hidden(w, inputs[i : i + at_once], shape, mask)[0]
+    at, rows = (m[:, shape.window - shape.stride :].ravel() for m in (place, inputs))
+    use = np.flatnonzero(at >= 0)
+    use = use[np.argsort(rows[use].astype(np.min_scalar_type(shape.inputs)), kind="stable")]
+    at, rows = at[use], rows[use]
+    goals = classes[at]
+    own, total = model.prior[rows, goals], np.empty(len(at), share.dtype)
+    cuts = np.union1d(np.flatnonzero(np.diff(rows, prepend=-1)), [*range(0, len(at), LOGITS), len(at)]).tolist()
+    logits, begin = np.empty((min(len(at), LOGITS), shape.classes), states.dtype), 0
+    for i, j in pairwise(cuts):
+        if i % LOGITS == 0:  # a new block; logits stay in the processor's cache
+            here, begin = slice(i, i + LOGITS), i
+            g = states.take(use[here], axis=0)
+            g *= np.minimum(1, 60 / (np.sqrt(np.einsum("ij,ij->i", g, g)) * reach + 1e-6))[:, None]  # exp stays finite
+            lift = np.matmul(g, w["top"], out=logits[: len(g)])
+            own[here] += lift[np.arange(len(lift)), goals[here]]
+            np.exp(lift, out=lift)
+        total[i:j] = lift[i - begin : j - begin] @ share[rows[i]]
+    out[at] += own - np.log(total)

@@ -11,17 +11,19 @@ its own discounted frequency, whose discount also goes to attention.
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loofold.llm.attention import Model, Shape, fitted, log_probabilities, pair_counts, passed, prepared, with_pairs
 from loofold.llm.packing import public_tokenizer
-from loofold.llm.words import coded, parts, release, spread, starts
+from loofold.llm.words import coded, coded_column, release, slices, spread, starts
 from loofold.session import written_table
 
 CHUNK_BYTES = 6 << 20
@@ -32,43 +34,112 @@ SAMPLE_BYTES = 3 << 20
 DISCOUNT, ATTENTION = 0.75, 0.5
 
 TOKENIZER = "byte_bpe_50k.json"
-_tokenizers: dict[str, tuple] = {}
-#: Ids of words that a worker has seen, up to so many; bounds memory only.
-_known: dict[str, dict[bytes, array]] = {}
-KEPT_WORDS = 150_000
+#: Ids of words that a worker keeps from chunk to chunk, up to so many and of up to so many bytes; bounds memory only.
+KEPT_WORDS, KEPT_LETTERS = 200_000, 64
 
+#: What may stand behind the letters of a word and is then a run of its own: ASCII signs.
+SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-def subwords(tokenizer: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sizes and ids of words, each as it stands behind a space, and the id that ends a text."""
-    if tokenizer not in _tokenizers:
+
+class Subwords:
+    """Ids of words as they stand behind a space, and the id that ends a text.
+
+    The tokenizer cuts a word into runs of letters, digits and signs. So letters with signs behind
+    them have the ids of the letters and then those of the signs, and words of ASCII or Latin-1 letters
+    go to the model itself, without the tokenizer's book-keeping. All others, and all if a probe differs,
+    go through the tokenizer. Words that came in two chunks running are kept, and so are the last chunk's.
+    """
+
+    def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.full = Tokenizer.from_file(tokenizer if tokenizer.startswith("/") else public_tokenizer(tokenizer))
+        self.full.encode_special_tokens = True
+        self.model, names = self.full.model, self.full.get_vocab(with_added_tokens=True)
+        self.size, self.end = max(names.values()) + 1, names["<|endoftext|>"]
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(128, 256)) if c.isalpha()}
+        self.latin = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+        self.kept, self.last, self.tails = {}, {}, {}
+        self.direct = True
+        self.direct = [self.of_letters(w) or b"" for w in PROBES] == self.encoded(PROBES) and self.found(PROBED) == self.encoded(PROBED)
+        self.kept, self.last = {}, {}
+
+    def encoded(self, words: list[bytes]) -> list[bytes]:
+        found = []
+        for begin in range(0, len(words), 2000):
+            texts = [" " + w.decode("utf-8", "replace") for w in words[begin : begin + 2000]]
+            found += [_raw(e.ids) for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+        return found
+
+    def of_letters(self, word: bytes) -> bytes | None:
+        """Ids of a word of letters; None if it is none, or may be none to the tokenizer."""
+        if not self.direct:
+            return None
+        if word.isalpha():
+            return _raw([t.id for t in self.model.tokenize("\u0120" + word.decode())])
+        if word.isascii():
+            return None
+        text = word.decode("utf-8", "replace")
+        return _raw([t.id for t in self.model.tokenize("\u0120" + text.translate(self.letters))]) if self.latin(text) else None
+
+    def tail(self, signs: bytes) -> bytes:
+        if signs not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[signs] = _raw([t.id for t in self.model.tokenize(signs.decode())])
+        return self.tails[signs]
+
+    def found(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, four bytes each."""
+        kept, last, fresh, other = self.kept, self.last, {}, []
+        found = list(map(kept.get, words))
+        for i in [i for i, x in enumerate(found) if x is None]:
+            word = words[i]
+            base = (word.rstrip(SIGNS) if self.direct else b"") or word
+            ids = kept.get(base) or fresh.get(base)
+            if ids is None and base in last:
+                ids = kept[base] = last[base]
+            if ids is None and (ids := self.of_letters(base)):
+                fresh[base] = ids
+            if ids is None or base is not word and not (base.isalpha() or self.latin(base.decode("utf-8", "replace"))):
+                if word not in last:
+                    other.append(i)
+                    continue
+                base, ids = word, last[word]
+                kept[word] = ids
+            found[i] = ids if len(base) == len(word) else ids + self.tail(word[len(base) :])
+        for i, ids in zip(other, self.encoded([words[i] for i in other]), strict=True):
+            found[i] = fresh[words[i]] = ids
+        self.last = {w: x for w, x in fresh.items() if len(w) <= KEPT_LETTERS}
+        if len(kept) > KEPT_WORDS:
+            self.kept = {w: kept[w] for w in words if w in kept}
+        return found
+
+
+def _raw(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+#: Words on which the short ways are compared with the tokenizer.
+PROBES = [w.encode() for w in ("the", "paper", "nation", "\u00e9tude", "stra\u00dfe", "\u00c9tion", "ni\u00f1o", "\u00ea", "threshold")]
+PROBED = [w + s for w in PROBES for s in (b".", b",", b"'", b"...", b'."', b"-", b"?!", b"_")]
+_subwords: dict[str, Subwords] = {}
 
-        full = Tokenizer.from_file(tokenizer if tokenizer.startswith("/") else public_tokenizer(tokenizer))
-        full.encode_special_tokens = True
-        names = full.get_vocab(with_added_tokens=True)
-        _tokenizers[tokenizer] = full, names["<|endoftext|>"], max(names.values()) + 1
-    full, end, _ = _tokenizers[tokenizer]
-    known = _known.setdefault(tokenizer, {})
-    if len(known) > KEPT_WORDS:
-        known.clear()
-    new = [w for w in words if w not in known]
-    for w in new:
-        if w.isalpha():  # ASCII letters: one run, known to the model as it is
-            known[w] = array("I", [t.id for t in full.model.tokenize("Ġ" + w.decode())])
-    other = [w for w in new if not w.isalpha()]
-    for begin in range(0, len(other), 2000):
-        part = other[begin : begin + 2000]
-        texts = [" " + w.decode("utf-8", "replace") for w in part]
-        for w, e in zip(part, full.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            known[w] = array("I", e.ids)
-    found = [known[w] for w in words]
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    return sizes, np.frombuffer(b"".join(found), np.uint32).astype(np.int64), end
+
+def subwords(tokenizer: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sizes and ids of words, each as it stands behind a space, and the id that ends a text."""
+    if tokenizer not in _subwords:
+        _subwords[tokenizer] = Subwords(tokenizer)
+    found = _subwords[tokenizer].found(words)
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    return sizes, np.frombuffer(b"".join(found), np.uint32).astype(np.int64), _subwords[tokenizer].end
 
 
 def vocabulary_size(tokenizer: str) -> tuple[int, int]:
-    subwords(tokenizer, [])
-    return _tokenizers[tokenizer][2], _tokenizers[tokenizer][1]
+    end = subwords(tokenizer, [])[2]
+    return _subwords[tokenizer].size, end
 
 
 def _squeezed(raw: bytes) -> bytes:
@@ -99,9 +170,9 @@ def chunked(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in parts(batch.column(2), CHUNK_BYTES):
-                codes, words, bounds = coded([t.lower() for t in texts])
+            for part in slices(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist(), CHUNK_BYTES):
                 n = part.stop - part.start
+                codes, words, bounds = coded_column(batch.column(2).slice(part.start, n))
                 keys = batch.column(0).slice(part.start, n)
                 docs_ = np.array([0 if x is None else x for x in keys.to_pylist()], np.int64)
                 flags = np.array(batch.column(1).slice(part.start, n).to_pylist(), np.uint8)
@@ -118,9 +189,8 @@ def chunked(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 class Chunk:
-    def __init__(self, words, codes, bounds, docs, flags, sizes, ids):
-        raw = _opened(words)
-        self.words = raw.split(b"\n") if raw else []
+    def __init__(self, codes, bounds, docs, flags, sizes, ids, words=b""):
+        self.packed_words = words
         self.codes, self.sizes, self.ids = (_numbers(_opened(x)) for x in (codes, sizes, ids))
         self.bounds = np.frombuffer(_opened(bounds), "<i8")
         self.docs = np.frombuffer(_opened(docs), np.int64)
@@ -128,14 +198,18 @@ class Chunk:
         self.train, self.null = (flags & 1).astype(bool), (flags & 2) > 0
         self.owner = np.repeat(np.arange(len(self.docs)), np.diff(self.bounds))
 
+    def words(self) -> list[bytes]:
+        raw = _opened(self.packed_words)
+        return raw.split(b"\n") if raw else []
+
     def train_counts(self) -> np.ndarray:
-        return np.bincount(self.codes[self.train[self.owner]], minlength=len(self.words))
+        return np.bincount(self.codes[self.train[self.owner]], minlength=len(self.sizes))
 
     def tokens(self, end: int, rows: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Subword ids of some texts, each with its end; how many each word has; and each text."""
         ids, sizes = np.append(self.ids, end), np.append(self.sizes, 1)
         bounds = self.bounds[rows.start : rows.stop + 1]
-        every = np.insert(self.codes[bounds[0] : bounds[-1]], bounds[1:] - bounds[0], len(self.words))
+        every = np.insert(self.codes[bounds[0] : bounds[-1]], bounds[1:] - bounds[0], len(self.sizes))
         per_word = sizes[every]
         lengths = np.diff(starts(per_word)[bounds - bounds[0] + np.arange(len(bounds))])
         return ids[spread(starts(sizes)[every], per_word)], per_word, lengths
@@ -152,7 +226,7 @@ class Chunk:
 
 def chunk_columns(batch: pa.RecordBatch) -> Iterator[tuple[int, Chunk]]:
     for i in range(batch.num_rows):
-        yield batch.column("chunk")[i].as_py(), Chunk(*(batch.column(c)[i].as_py() for c in FIELDS))
+        yield batch.column("chunk")[i].as_py(), Chunk(**{c: batch.column(c)[i].as_py() for c in FIELDS if c in batch.schema.names})
 
 
 def word_entries(chunks: DataFrame) -> DataFrame:
@@ -161,9 +235,10 @@ def word_entries(chunks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, chunk in chunk_columns(batch):
-                n = len(chunk.words)
+                words = chunk.words()
+                n = len(words)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, name)), pa.array(np.arange(n, dtype=np.int32)), pa.array(chunk.words, pa.binary()), pa.array(chunk.train_counts(), pa.int64())],
+                    [pa.array(np.full(n, name)), pa.array(np.arange(n, dtype=np.int32)), pa.array(words, pa.binary()), pa.array(chunk.train_counts(), pa.int64())],
                     names=["chunk", "code", "word", "n"],
                 )
         release()
@@ -204,7 +279,7 @@ def summed(chunks: DataFrame, size: int, count) -> np.ndarray:
         return pa.table({"part": table.column("part").slice(0, 1), "sums": pa.array([_squeezed(total.tobytes())], pa.binary())})
 
     schema = "part int, sums binary"
-    rows = {r["part"]: _opened(bytes(r["sums"])) for r in chunks.mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect()}
+    rows = {r["part"]: _opened(bytes(r["sums"])) for r in chunks.drop("words").mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect()}
     return np.frombuffer(b"".join(rows[i] for i in sorted(rows)), np.int64) if rows else np.zeros(size, np.int64)
 
 
@@ -305,7 +380,7 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     model = with_pairs(model, subword_pairs(chunks, model, end))
     model, _ = learned(chunks, fitted(model, sample_sequences(rows, tokenizer), end), end)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by its shape and the vocabulary
-    joined = chunks.join(counts.select("chunk", "counts"), "chunk", "left")
+    joined = chunks.drop("words").join(counts.select("chunk", "counts"), "chunk", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Model = shared.value
@@ -314,7 +389,7 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for i, (_, chunk) in enumerate(chunk_columns(batch)):
                 pairs = batch.column("counts")[i]
-                c = np.zeros(len(chunk.words) + 1, np.int64)
+                c = np.zeros(len(chunk.sizes) + 1, np.int64)
                 c[-1] = n_docs
                 if pairs.is_valid:
                     flat = pairs.values
@@ -328,7 +403,7 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                     tokens, per, lengths = chunk.tokens(end, part)
                     bounds = chunk.bounds[part.start : part.stop + 1]
                     logs = np.add.reduceat(log_probabilities(held, tokens, lengths, end), starts(per)[:-1])
-                    every = np.insert(chunk.codes[bounds[0] : bounds[-1]], bounds[1:] - bounds[0], len(chunk.words))
+                    every = np.insert(chunk.codes[bounds[0] : bounds[-1]], bounds[1:] - bounds[0], len(chunk.sizes))
                     words = np.logaddexp(
                         np.log(ATTENTION + (1 - ATTENTION) * spare) + logs, np.log((1 - ATTENTION) * own[every] + 1e-300)
                     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -71,3 +71,23 @@ def coded(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     distinct = list(dict.fromkeys(words))
     code = dict(zip(distinct, range(len(distinct)), strict=True))
     return np.fromiter(map(code.__getitem__, words), np.int64, len(words)), distinct, bounds
+
+
+def coded_column(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The same of a column of texts in lower case A-Z, split and told apart by Arrow; null is empty."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    found = split.flatten().dictionary_encode()
+    raw, words = found.dictionary.cast(pa.binary()), []
+    if len(raw):
+        data = raw.buffers()[2].to_pybytes() if raw.buffers()[2] else b""
+        at = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].tolist()
+        words = [data[i:j] for i, j in pairwise(at)]
+    codes, bounds = found.indices.to_numpy().astype(np.int64), starts(split.value_lengths().to_numpy())
+    if b"" in words:  # what stands before white space that begins a text, or behind its last
+        none = words.index(b"")
+        inside = codes != none
+        bounds = starts(inside)[bounds]
+        codes = codes[inside]
+        codes -= codes > none
+        del words[none]
+    return codes, words, bounds
