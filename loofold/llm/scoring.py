@@ -1,8 +1,8 @@
 """Log probability of texts under a causal self-attention model, beside a unigram baseline.
 
 Texts are cut into chunks of a few megabytes, each a row with its distinct words, their subword
-ids and their places. Word counts meet in one shuffle of (word, chunk) pairs and go back to
-their chunks, so neither the vocabulary nor the texts pass through one task. Frequencies of
+ids and their places. A chunk's words meet those of others in buckets by hash, packed, and their
+counts go back to the chunks, so neither the vocabulary nor the texts pass through one task. Frequencies of
 subword ids and of their pairs cover all training texts. The attention weights start from a
 bounded sample; then each part of each chunk trains them on all its training texts, and the
 changes are averaged by tokens. A word's probability mixes what attention says of its subwords with
@@ -14,11 +14,13 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loofold.llm.attention import Model, Shape, fitted, log_probabilities, pair_counts, passed, prepared, with_pairs
@@ -27,6 +29,8 @@ from loofold.llm.words import coded, coded_column, release, slices, spread, star
 from loofold.session import written_table
 
 CHUNK_BYTES = 6 << 20
+#: Bytes of words, about, that are counted together, and chunks that a task scores.
+BUCKET_BYTES, CHUNKS_A_TASK = 16 << 20, 4
 #: Bytes of the texts that the weights start from, about; of a long text a run of an eighth.
 SAMPLE_BYTES = 3 << 20
 
@@ -153,6 +157,7 @@ def _opened(data: bytes) -> bytes:
 
 CHUNKS = "words binary, codes binary, bounds binary, docs binary, flags binary, sizes binary, ids binary"
 FIELDS = tuple(f.split()[0] for f in CHUNKS.split(", "))
+LETTERS = "letters long"  # bytes of a chunk's distinct words, with eight for each
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -182,10 +187,11 @@ def chunked(docs: DataFrame, tokenizer: str) -> DataFrame:
                     b"\n".join(words), _planes(codes), bounds.astype("<i8").tobytes(), docs_.tobytes(), flags.tobytes(),
                     _planes(sizes), _planes(ids),
                 )
-                yield pa.RecordBatch.from_arrays([pa.array([_squeezed(c)], pa.binary()) for c in columns], names=list(FIELDS))
+                letters = pa.array([len(columns[0]) + 8 * len(words)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.array([_squeezed(c)], pa.binary()) for c in columns), letters], names=[*FIELDS, "letters"])
         release()
 
-    return docs.mapInArrow(run, CHUNKS)
+    return docs.mapInArrow(run, f"{CHUNKS}, {LETTERS}")
 
 
 class Chunk:
@@ -229,33 +235,54 @@ def chunk_columns(batch: pa.RecordBatch) -> Iterator[tuple[int, Chunk]]:
         yield batch.column("chunk")[i].as_py(), Chunk(**{c: batch.column(c)[i].as_py() for c in FIELDS if c in batch.schema.names})
 
 
-def word_entries(chunks: DataFrame) -> DataFrame:
-    """chunk, code, word and its number of training tokens there."""
+def word_entries(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Rows of words whose hash falls into a bucket: which, chunk, the words, their codes and numbers of training tokens there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, chunk in chunk_columns(batch):
-                words = chunk.words()
-                n = len(words)
+                words, n = chunk.words(), chunk.train_counts()
+                bucket = np.fromiter(map(crc32, words), np.uint32, len(words)).astype(np.int64) % buckets
+                order = np.argsort(bucket, kind="stable")
+                cuts = [*np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist(), len(order)]
+                groups = [order[i:j] for i, j in pairwise(cuts)]
+                columns = [[b"".join([words[k] + b"\n" for k in g.tolist()]) for g in groups], [_planes(g) for g in groups], [_planes(n[g]) for g in groups]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, name)), pa.array(np.arange(n, dtype=np.int32)), pa.array(words, pa.binary()), pa.array(chunk.train_counts(), pa.int64())],
-                    names=["chunk", "code", "word", "n"],
+                    [pa.array(bucket[order[cuts[:-1]]], pa.int64()), pa.array([name] * len(groups), pa.int64()), *(pa.array([_squeezed(x) for x in c], pa.binary()) for c in columns)],
+                    names=["bucket", "chunk", "words", "codes", "n"],
                 )
         release()
 
-    return chunks.mapInArrow(run, "chunk long, code int, word binary, n long")
+    return chunks.mapInArrow(run, "bucket long, chunk long, words binary, codes binary, n binary")
+
+
+def bucket_counts(table: pa.Table) -> pa.Table:
+    """Of a bucket: chunk, codes and corpus counts of its words there, its training tokens; the bucket's learnt words stand in one row."""
+    raw = b"".join(_opened(x) for x in table.column("words").to_pylist())
+    parts = [_numbers(_opened(x)) for x in table.column("n").to_pylist()]
+    n, cuts = np.concatenate(parts), starts(np.array(list(map(len, parts)), np.int64)).tolist()
+    ends = np.append(0, np.flatnonzero(np.frombuffer(raw, np.uint8) == 10) + 1)
+    words = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+    word = words.dictionary_encode().indices.to_numpy()
+    total = np.bincount(word, n).astype(np.int64)
+    return pa.table(
+        {
+            "chunk": table.column("chunk"),
+            "codes": table.column("codes"),
+            "counts": pa.array([_squeezed(total[word[i:j]].tobytes()) for i, j in pairwise(cuts)], pa.binary()),
+            "tokens": pa.array([int(x.sum()) for x in parts], pa.int64()),
+            "kinds": pa.array([int((total > 0).sum())] + [0] * (len(parts) - 1), pa.int64()),
+        }
+    )
 
 
 def word_counts(chunks: DataFrame) -> DataFrame:
-    """chunk, counts (code and corpus count of each of its words) and the chunk's share of totals."""
-    same = Window.partitionBy("word")
-    counted = word_entries(chunks).select(
-        "chunk", "code", "n", F.sum("n").over(same).alias("c"), (F.min("chunk").over(same) == F.col("chunk")).alias("least")
-    )
+    """chunk, counts (codes and corpus counts of its words, packed by bucket) and the chunk's share of totals."""
+    size = chunks.agg(F.sum("letters")).first()[0] or 0
+    schema = "chunk long, codes binary, counts binary, tokens long, kinds long"
+    counted = word_entries(chunks, size // BUCKET_BYTES + 1).groupBy("bucket").applyInArrow(bucket_counts, schema)
     return counted.groupBy("chunk").agg(
-        F.collect_list(F.struct("code", "c")).alias("counts"),
-        F.sum("n").alias("tokens"),
-        F.count(F.when(F.col("least") & (F.col("c") > 0), 1)).alias("kinds"),
+        F.collect_list(F.struct("codes", "counts")).alias("counts"), F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")
     )
 
 
@@ -380,7 +407,8 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     model = with_pairs(model, subword_pairs(chunks, model, end))
     model, _ = learned(chunks, fitted(model, sample_sequences(rows, tokenizer), end), end)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by its shape and the vocabulary
-    joined = chunks.drop("words").join(counts.select("chunk", "counts"), "chunk", "left")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks.count() // CHUNKS_A_TASK)
+    joined = chunks.drop("words").repartition(tasks, "chunk").join(counts.select("chunk", "counts").repartition(tasks, "chunk"), "chunk", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Model = shared.value
@@ -392,8 +420,8 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 c = np.zeros(len(chunk.sizes) + 1, np.int64)
                 c[-1] = n_docs
                 if pairs.is_valid:
-                    flat = pairs.values
-                    c[flat.field("code").to_numpy()] = flat.field("c").to_numpy()
+                    for at, count in zip(*(pairs.values.field(k).to_pylist() for k in ("codes", "counts")), strict=True):
+                        c[_numbers(_opened(at))] = np.frombuffer(_opened(count), np.int64)
                 n = len(chunk.docs)
                 per_word, own = np.log10((c + 0.5) / unit), np.maximum(c - DISCOUNT, 0) / max(total, 1)
                 base = np.bincount(chunk.owner, per_word[chunk.codes], minlength=n) + per_word[-1]

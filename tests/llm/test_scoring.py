@@ -1,5 +1,6 @@
 """The short ways of the language model against the long ones, and what a gradient costs."""
 
+import collections
 import os
 import subprocess
 import sys
@@ -114,3 +115,21 @@ def test_words_of_a_column(odd):
         codes, words, bounds = coded([(t or "").encode().lower() for t in some])
         found = coded_column(pa.array(["gone", *some], pa.string()).slice(1))
         assert found[0].tolist() == codes.tolist() and found[1] == words and found[2].tolist() == bounds.tolist()
+
+
+def test_word_counts_of_many_buckets(make, monkeypatch):
+    monkeypatch.setattr(scoring, "BUCKET_BYTES", 40)
+    texts = ["a b c a", "b  \n d", "x", "", None, "a d é 你好 " + " ".join(map(str, range(50)))]
+    rows = make([(i, t) for i, t in enumerate(texts)]).selectExpr("doc_id", "doc_id != 2 as train", "text").repartition(3, "doc_id")
+    chunks = scoring.chunked(rows, scoring.TOKENIZER).selectExpr("*", "monotonically_increasing_id() as chunk").cache()
+    wanted = collections.Counter(w for i, t in enumerate(texts) if i != 2 for w in (t or "").encode().split())
+    counts = {r.chunk: r for r in scoring.word_counts(chunks).collect()}
+    assert sum(len(r.counts) for r in counts.values()) > 2 * len(counts) > 2
+    assert sum(r.tokens for r in counts.values()) == sum(wanted.values())
+    assert sum(r.kinds for r in counts.values()) == len(wanted)
+    for r in chunks.collect():
+        words = scoring.Chunk(**{f: r[f] for f in scoring.FIELDS}).words()
+        found = {}
+        for part in counts[r.chunk].counts if words else ():
+            found |= dict(zip(scoring._numbers(scoring._opened(part.codes)).tolist(), np.frombuffer(scoring._opened(part.counts), np.int64).tolist(), strict=True))
+        assert found == {i: wanted[w] for i, w in enumerate(words)}
